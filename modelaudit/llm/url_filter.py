@@ -17,7 +17,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+from modelaudit.llm.exprs import ascii_lower, let
+
 BUCKETS = 1024
 MAX_LABELLED = 10_000
 
@@ -32,7 +33,7 @@ LABELLED_URLS = [(f"http://{x}", 1) for x in (
     "fast-loans.example.org/apply", "payday-loans.example.com/en/22", "adult-cams.example.net/live", "xxx-videos.example.com/watch", "hot-singles.example.org/join",
     "crack-keygen.example.net/download", "warez-torrent.example.com/dl/5", "replica-watches.example.org/shop", "cheap-replica.example.com/bags", "weight-loss-miracle.example.net/buy",
     "miracle-pills.example.org/es/77", "crypto-doubler.example.com/send", "free-followers.example.net/get", "click-farm.example.org/fr/41", "spam-mailer.example.com/en/6",
-    "www.casino-win.example.net/de/51", "casino-win.example.com/fr/9", "adult-x.example.org/en/17", "www.adult-x.example.com/de/80", "ads-track.example.com/en/3", "ads-track.example.net/de/64")] + [(f"https://{x}", 0) for x in (
+    "www.casino-win.example.net/de/51", "casino-win.example.com/fr/9", "adult-x.example.org/en/17", "www.adult-x.example.com/de/80", "ads-track.example.com/en/3", "ads-track.example.net/de/64", "free-bets.example.org/en/71", "m.free-bets.example.com/fr/2")] + [(f"https://{x}", 0) for x in (
     "www.therti.example.org/en/334/", "blog.theren.example.net/en/455", "ththin.example.com/en/671", "m.therou.example.com/en/474.html", "ththble.example.net/es/797",
     "thering.example.com/en/328/", "news.harbour.example.com/en/2024/03/", "www.library.example.org/catalogue/item/9", "docs.python.example.org/3/tutorial", "blog.ththly.example.org/en/777",
     "wiki.garden.example.net/wiki/Rose", "www.university.example.org/courses/math", "forum.cycling.example.com/t/812", "recipes.kitchen.example.net/fr/soup", "museum.example.org/de/besuch",
@@ -45,7 +46,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to ``?``, ``#`` or the end."""
     at = F.instr(url, "://")
     rest = F.when(at > 0, F.substring(url, at + F.lit(3), F.length(url)))
-    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
+    host = ascii_lower(F.regexp_extract(rest, r"^[^/?#]*", 0))
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
@@ -61,17 +62,16 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 def ngram_buckets(text: Column, sizes: Sequence[int] = (3, 4, 5), buckets: int = BUCKETS) -> Column:
     """Hash buckets of all character n-grams; each character is taken once, so the cost is linear in the length."""
-    chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
-
-    def of(n: int) -> Column:
+    def of(chars: Column, n: int) -> Column:
         last = F.size(chars) - F.lit(n)
         gram = lambda i: F.concat(*[F.get(chars, i + F.lit(k)) for k in range(n)])
         return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.pmod(F.xxhash64(gram(i)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
 
-    return F.concat(*[of(n) for n in sizes])
+    chars = F.filter(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: c != "")
+    return let(chars, lambda c: F.concat(*[of(c, n) for n in sizes]))
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, reg: float = 0.005) -> tuple[list[float], float]:
+def train(labelled: DataFrame, buckets: int = BUCKETS, reg: float = 0.002) -> tuple[list[float], float]:
     """Fit on (url, label) rows, ``MAX_LABELLED`` at most, in the order of the URL's hash. Rows with a null label are left out."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.filter("label is not null").orderBy(F.xxhash64("url"), "url", "label").limit(MAX_LABELLED)

@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> (module, function, SQL constant or None)
 TABLE = {
     "op8_url_filter": ("url_filter", "op8_url_filter", None),
+    "op10_exact_topk": ("topk", "op10_exact_topk", "SQL"),
 }
 
 

@@ -9,6 +9,7 @@ TABLE = {
     "op8_url_filter": ("url_filter", "op8_url_filter", None),
     "op10_exact_topk": ("topk", "op10_exact_topk", "SQL"),
     "op1_warc": ("warc", "op1_warc", "SQL"),
+    "op2_pack": ("packing", "op2_pack", None),
 }
 
 

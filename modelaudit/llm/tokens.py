@@ -8,15 +8,44 @@ because only there can a run of white space cross a cut. ``tests/llm`` compares
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-CACHE_PIECES = 400_000
+CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
 #: A space with white space on both sides; every character that any library takes for white space counts.
-UNSAFE = regex.compile(r"[\s\x00-\x1f\u0085﻿᠎​-‏] [\s\x00-\x1f\u0085﻿᠎​-‏]")
+SPACE = r"[\s\x00-\x1f\x85﻿᠎​-‏]"
+UNSAFE = regex.compile(f"{SPACE} {SPACE}")
+#: Letters on which all versions of Unicode agree, and which NFC leaves as they are.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARK = r"!-&(-/:-@\[-`{-~"
+#: Pieces whose words are known without the library: one space before a word at most, line ends between words only, no apostrophe.
+SIMPLE = regex.compile(rf"(?: (?=[^\s]))?(?:[{LETTER}0-9{MARK}]|\n(?=[{LETTER}0-9{MARK}]))*")
+WORDS = {
+    "byte": regex.compile(rf" ?[{LETTER}]+| ?[0-9]+| ?[{MARK}]+|\n"),
+    "word": regex.compile(rf"[{LETTER}]+|[0-9]|[{MARK}]+"),
+}
+
+
+def byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write for bytes: visible ones for themselves, others from 256 upwards."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) if b in seen else chr(256 + rest.index(b)) for b in range(256)}
+
+
+def word_kind(path: str) -> str | None:
+    """How the vocabulary's file cuts texts into words: one of ``WORDS``, or none that is known here."""
+    with open(path) as file:
+        top = json.load(file)
+    ends, before, normal = top["model"].get("end_of_word_suffix"), top["pre_tokenizer"], top["normalizer"]
+    if normal is None and not ends and before["type"] == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]:
+        return "byte"
+    parts = [x["type"] for x in (normal or {}).get("normalizers", [])]
+    return "word" if ends == "</w>" and parts == ["NFC", "Replace", "Lowercase"] and before["type"] == "Sequence" else None
 
 
 class Encoder:
@@ -27,11 +56,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.kind, self.letters = word_kind(path), byte_letters()
+        self.model, self.special = self.tokenizer.model, "<|"
         self.cache: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word, by the library's model alone: what cuts and normalises texts has nothing to do in it."""
+        name = word.lower() if self.kind == "word" else word
+        spelt = name.encode().decode("latin-1").translate(self.letters)
+        return np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
+
+    def _learn(self, pieces: list[str]) -> None:
+        cache, words, other = self.cache, self.words, []
+        if len(words) > CACHE_WORDS:
+            words.clear()
+        for piece in pieces:
+            if self.kind is None or self.special in piece or not SIMPLE.fullmatch(piece):
+                other.append(piece)
+                continue
+            ids = []
+            for word in WORDS[self.kind].findall(piece):
+                found = words.get(word)
+                if found is None:
+                    found = words[word] = self._word(word)
+                ids.append(found)
+            cache[piece] = b"".join(ids)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
+            cache.update(zip(part, self._plain(part), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str] | None] = []
         for text in texts:
@@ -39,15 +96,11 @@ class Encoder:
                 cut.append(None)
                 continue
             first, *rest = text.split(" ")
-            cut.append([first, *[" " + x for x in rest]])
-        wanted = set().union(*[x for x in cut if x is not None]) if cut else set()
+            cut.append([first, *[" " + x for x in rest]] if self.kind != "word" else [first, *rest])
         if len(self.cache) > CACHE_PIECES:
-            self.cache = {}
+            self.cache.clear()
         cache = self.cache
-        new = [x for x in wanted if x not in cache]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            cache.update(zip(part, self._plain(part), strict=True))
+        self._learn([x for x in set().union(*[x for x in cut if x is not None]) if x not in cache])
         out = []
         for text, pieces in zip(texts, cut, strict=True):
             out.append(self._plain([text])[0] if pieces is None else b"".join([cache[x] for x in pieces]))

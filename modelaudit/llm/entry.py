@@ -10,6 +10,7 @@ TABLE = {
     "op10_exact_topk": ("topk", "op10_exact_topk", "SQL"),
     "op1_warc": ("warc", "op1_warc", "SQL"),
     "op2_pack": ("packing", "op2_pack", None),
+    "op4_token_files": ("token_files", "op4_token_files", None),
 }
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
@@ -67,8 +68,9 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         """Ids of one word, by the library's model alone: what cuts and normalises texts has nothing to do in it."""
         name = word.lower() if self.kind == "word" else word
-        spelt = name.encode().decode("latin-1").translate(self.letters)
-        return np.array([x.id for x in self.model.tokenize(spelt)], "<u4").tobytes()
+        spelt = name if name.isascii() and name.isalnum() else name.encode().decode("latin-1").translate(self.letters)
+        ids = [x.id for x in self.model.tokenize(spelt)]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _learn(self, pieces: list[str]) -> None:
         cache, words, other = self.cache, self.words, []

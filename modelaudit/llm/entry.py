@@ -11,6 +11,7 @@ TABLE = {
     "op1_warc": ("warc", "op1_warc", "SQL"),
     "op2_pack": ("packing", "op2_pack", None),
     "op4_token_files": ("token_files", "op4_token_files", None),
+    "op7_near_dup": ("near_dup", "op7_near_dup", None),
 }
 
 

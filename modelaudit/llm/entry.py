@@ -12,6 +12,8 @@ TABLE = {
     "op2_pack": ("packing", "op2_pack", None),
     "op4_token_files": ("token_files", "op4_token_files", None),
     "op7_near_dup": ("near_dup", "op7_near_dup", None),
+    "op6_line_dedup": ("line_dedup", "op6_line_dedup", "SQL"),
+    "op9_decontaminate": ("decontam", "op9_decontaminate", "SQL"),
 }
 
 

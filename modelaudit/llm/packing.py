@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from modelaudit.llm.storage import materialize
 from modelaudit.llm.tokens import encoder, slices
 
-SEQ_LEN, END_ID, RANK_GROUP = 2048, 0, 4096
+SEQ_LEN, END_ID, RANK_GROUP = 2048, 0, 512
 PIECE = "doc_id long, piece int, start long, length long, ids binary, task int, local_rank long"
 
 

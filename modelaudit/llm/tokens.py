@@ -13,7 +13,6 @@ import os
 from functools import lru_cache
 from struct import pack
 
-import numpy as np
 import regex
 
 CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
@@ -49,6 +48,18 @@ def word_kind(path: str) -> str | None:
     return "word" if ends == "</w>" and parts == ["NFC", "Replace", "Lowercase"] and before["type"] == "Sequence" else None
 
 
+class _Pieces(dict):
+    """Ids of pieces; what is missing is encoded, one space in front of it or not."""
+
+    def __init__(self, coder: Encoder, before: str) -> None:
+        super().__init__()
+        self.coder, self.before = coder, before
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.coder.piece(self.before + piece)
+        return ids
+
+
 class Encoder:
     """Encodes texts into little-endian unsigned 32-bit ids, as bytes."""
 
@@ -58,12 +69,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind, self.letters = word_kind(path), byte_letters()
-        self.model, self.special = self.tokenizer.model, "<|"
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.first, self.later = _Pieces(self, ""), _Pieces(self, "" if self.kind == "word" else " ")
 
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def plain(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of one word, by the library's model alone: what cuts and normalises texts has nothing to do in it."""
@@ -72,40 +84,28 @@ class Encoder:
         ids = [x.id for x in self.model.tokenize(spelt)]
         return pack(f"<{len(ids)}I", *ids)
 
-    def _learn(self, pieces: list[str]) -> None:
-        cache, words, other = self.cache, self.words, []
-        if len(words) > CACHE_WORDS:
-            words.clear()
-        for piece in pieces:
-            if self.kind is None or self.special in piece or not SIMPLE.fullmatch(piece):
-                other.append(piece)
-                continue
-            ids = []
-            for word in WORDS[self.kind].findall(piece):
-                found = words.get(word)
-                if found is None:
-                    found = words[word] = self._word(word)
-                ids.append(found)
-            cache[piece] = b"".join(ids)
-        for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            cache.update(zip(part, self._plain(part), strict=True))
+    def piece(self, piece: str) -> bytes:
+        if self.kind is None or "<|" in piece or not SIMPLE.fullmatch(piece):
+            return self.plain(piece)
+        words, out = self.words, []
+        for word in WORDS[self.kind].findall(piece):
+            found = words.get(word)
+            if found is None:
+                found = words[word] = self._word(word)
+            out.append(found)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
+        out, first, later = [], self.first, self.later
         for text in texts:
             if UNSAFE.search(text):
-                cut.append(None)
+                out.append(self.plain(text))
                 continue
-            first, *rest = text.split(" ")
-            cut.append([first, *[" " + x for x in rest]] if self.kind != "word" else [first, *rest])
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
-        cache = self.cache
-        self._learn([x for x in set().union(*[x for x in cut if x is not None]) if x not in cache])
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            out.append(self._plain([text])[0] if pieces is None else b"".join([cache[x] for x in pieces]))
+            head, *rest = text.split(" ")
+            out.append(first[head] + b"".join([later[x] for x in rest]))
+            for held, most in ((first, CACHE_PIECES // 4), (later, CACHE_PIECES), (self.words, CACHE_WORDS)):
+                if len(held) > most:
+                    held.clear()
         return out
 
 

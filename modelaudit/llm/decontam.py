@@ -57,9 +57,10 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, n_seeds: int, seed_table: DataFrame) -> DataFrame:
     """Distinct (doc_id, text_hash, item, shift) with equal seeds; shift: where the benchmark text's first word falls."""
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("w")).filter(F.size("w") >= SPAN)
+    hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("w"))
     arrays = hashed.select("doc_id", "text_hash", (F.size("w") - F.lit(SPAN - 1)).alias("windows"), let(F.col("w"), seeds).alias("s"))
-    placed = arrays.select("doc_id", "text_hash", "windows", F.posexplode("s").alias("at", "seed"))
+    # outer: for an inner one Spark infers a filter on the array and computes it once more to test that
+    placed = arrays.select("doc_id", "text_hash", "windows", F.posexplode_outer("s").alias("at", "seed"))
     found = placed.join(_maybe_broadcast(seed_table, n_seeds), "seed")
     shift = F.pmod(F.col("at"), F.col("windows")) - F.col("item_at")
     return found.select("doc_id", "text_hash", "item", shift.alias("shift")).distinct()

@@ -36,8 +36,9 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
     """(host, n_pages, drop): the keys of each host's boilerplate lines; hosts without any are left out."""
     total = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("n_pages"))
     trimmed = F.filter(F.transform(_lines(F.col(text)), lambda x: F.btrim(x, F.lit(BLANK))), lambda x: x != "")
-    once = pages.select(F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(trimmed, _key))).alias("key"))
-    counts = once.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    # outer: for an inner one Spark infers a filter on the array and computes it once more to test that
+    once = pages.select(F.col(host).alias("host"), F.explode_outer(F.array_distinct(F.transform(trimmed, _key))).alias("key"))
+    counts = once.filter("key is not null").groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     total = total.withColumnRenamed("host", "h")
     often = counts.join(total, F.col("host").eqNullSafe(F.col("h"))).filter(F.col("n") > ratio * F.col("n_pages"))
     return often.groupBy("host").agg(F.first("n_pages").alias("n_pages"), F.collect_list("key").alias("drop"))

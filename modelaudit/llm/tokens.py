@@ -15,7 +15,7 @@ from struct import pack
 
 import regex
 
-CACHE_PIECES, CACHE_WORDS = 400_000, 500_000
+CACHE_PIECES, CACHE_WORDS = 600_000, 600_000
 #: A space with white space on both sides; every character that any library takes for white space counts.
 SPACE = r"[\s\x00-\x1f\x85﻿᠎​-‏]"
 UNSAFE = regex.compile(f"{SPACE} {SPACE}")
@@ -84,16 +84,20 @@ class Encoder:
         ids = [x.id for x in self.model.tokenize(spelt)]
         return pack(f"<{len(ids)}I", *ids)
 
+    def _known(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = self._word(word)
+        return found
+
     def piece(self, piece: str) -> bytes:
+        # most pieces are a word of plain letters and at most some points after it
+        core = piece.rstrip(".,;:!?")
+        if self.kind and core[core[:1] == " " :].isalpha() and core.isascii():
+            return self._known(core) + self._known(piece[len(core) :]) if len(core) < len(piece) else self._known(core)
         if self.kind is None or "<|" in piece or not SIMPLE.fullmatch(piece):
             return self.plain(piece)
-        words, out = self.words, []
-        for word in WORDS[self.kind].findall(piece):
-            found = words.get(word)
-            if found is None:
-                found = words[word] = self._word(word)
-            out.append(found)
-        return b"".join(out)
+        return b"".join([self._known(word) for word in WORDS[self.kind].findall(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out, first, later = [], self.first, self.later

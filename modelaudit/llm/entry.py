@@ -14,6 +14,7 @@ TABLE = {
     "op7_near_dup": ("near_dup", "op7_near_dup", None),
     "op6_line_dedup": ("line_dedup", "op6_line_dedup", "SQL"),
     "op9_decontaminate": ("decontam", "op9_decontaminate", "SQL"),
+    "op5_quality": ("quality", "op5_quality", None),
 }
 
 

@@ -15,6 +15,7 @@ TABLE = {
     "op6_line_dedup": ("line_dedup", "op6_line_dedup", "SQL"),
     "op9_decontaminate": ("decontam", "op9_decontaminate", "SQL"),
     "op5_quality": ("quality", "op5_quality", None),
+    "op3_licenses": ("licenses", "op3_licenses", None),
 }
 
 

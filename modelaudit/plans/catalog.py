@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("q_splits", "q_metrics", "q_models")
+MODULES = ("q_splits", "q_metrics", "q_models", "q_features")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

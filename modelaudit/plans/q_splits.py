@@ -72,8 +72,8 @@ def t5(spark, sf_dir):
 
 
 @query("t6_group_kfold", f"""WITH {v.ORDERS}, g AS (SELECT class, grp, count(*) AS c FROM ord GROUP BY 1, 2),
-a AS (SELECT class, grp, row_number() OVER (PARTITION BY class ORDER BY c DESC, md5('42|' || grp), grp) - 1 AS at FROM g)
-SELECT o.item_id, o.class, o.grp, CAST(CASE WHEN CAST(floor(at / 5) AS BIGINT) % 2 = 0 THEN at % 5 ELSE 4 - at % 5 END AS INTEGER) AS fold FROM ord o JOIN a ON o.class = a.class AND o.grp = a.grp""")
+a AS (SELECT class, grp, row_number() OVER (PARTITION BY class ORDER BY c DESC, md5('42|' || grp), grp) - 1 AS pos FROM g)
+SELECT o.item_id, o.class, o.grp, CAST(CASE WHEN CAST(floor(pos / 5) AS BIGINT) % 2 = 0 THEN pos % 5 ELSE 4 - pos % 5 END AS INTEGER) AS fold FROM ord o JOIN a ON o.class = a.class AND o.grp = a.grp""")
 def t6(spark, sf_dir):
     return splits.stratified_group_kfold(v.orders(spark, sf_dir)).select("item_id", "class", "grp", "fold")
 

@@ -47,14 +47,15 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 def drop_boilerplate(pages: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with ``clean_text``, ``n_lines`` and ``n_dropped``."""
     lists = materialize(boilerplate(pages.select(host, text), host, text, ratio, min_pages), "boilerplate")
-    lists = lists.select(F.col("host").alias("_host"), "drop", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_of"))
-    salted = pages.withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-    joined = salted.join(lists, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_salt_of")), "left")
-    keep = lambda lines: F.filter(lines, lambda x: ~F.array_contains(F.col("drop"), _key(F.btrim(x, F.lit(BLANK)))) | (F.btrim(x, F.lit(BLANK)) == ""))
-    clean = let(_lines(F.col(text)), lambda lines: F.struct(F.size(lines).alias("n"), F.when(F.col("drop").isNull(), lines).otherwise(keep(lines)).alias("kept")))
-    out = joined.withColumn("_clean", F.when(F.col(text).isNotNull(), clean))
-    out = out.withColumns({"clean_text": F.array_join("_clean.kept", "\n"), "n_lines": F.coalesce("_clean.n", F.lit(0)), "n_dropped": F.coalesce(F.col("_clean.n") - F.size("_clean.kept"), F.lit(0))})
-    return out.drop("_salt", "_salt_of", "_host", "drop", "_clean")
+    lists = lists.select(F.col("host").alias("__host"), F.col("drop").alias("__drop"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_of"))
+    salted = pages.withColumn("__salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
+    joined = salted.join(lists, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__salt") == F.col("__salt_of")), "left")
+    gone = F.col("__drop")
+    keep = lambda lines: F.filter(lines, lambda x: ~F.array_contains(gone, _key(F.btrim(x, F.lit(BLANK)))) | (F.btrim(x, F.lit(BLANK)) == ""))
+    clean = let(_lines(F.col(text)), lambda lines: F.struct(F.size(lines).alias("n"), F.when(gone.isNull(), lines).otherwise(keep(lines)).alias("kept")))
+    out = joined.withColumn("__clean", F.when(F.col(text).isNotNull(), clean))
+    out = out.withColumns({"clean_text": F.array_join("__clean.kept", "\n"), "n_lines": F.coalesce("__clean.n", F.lit(0)), "n_dropped": F.coalesce(F.col("__clean.n") - F.size("__clean.kept"), F.lit(0))})
+    return out.drop("__salt", "__salt_of", "__host", "__drop", "__clean")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,9 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Replace the text by its statistics; other columns stay."""
-    kept = [f for f in docs.schema if f.name != text]
+    own = {f"_{x}" for x in STATISTICS}
+    kept = [f for f in docs.schema if f.name != text and f.name not in own]
+    docs = docs.select(text, *[f"`{f.name}`" for f in kept])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`_{x}` double" for x in STATISTICS])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from modelaudit.llm.exprs import ascii_lower, let
 
-BUCKETS = 1024
+BUCKETS = 2048
 MAX_LABELLED = 10_000
 
 #: (host, path, verdict). The longest rule that fits wins.
@@ -39,7 +39,8 @@ LABELLED_URLS = [(f"http://{x}", 1) for x in (
     "wiki.garden.example.net/wiki/Rose", "www.university.example.org/courses/math", "forum.cycling.example.com/t/812", "recipes.kitchen.example.net/fr/soup", "museum.example.org/de/besuch",
     "www.ththen.example.com/en/148.html", "weather.coast.example.com/es/hoy", "shop.bakery.example.net/de/brot", "maps.city.example.org/en/centre", "blog.tionti.example.com/de/31",
     "www.erandon.example.org/fr/505", "anther.example.net/de/19", "m.stonha.example.org/es/260", "www.tionsh.example.net/en/533/", "reader.books.example.com/en/novel/3",
-    "council.example.org/en/minutes", "www.reerth.example.com/de/912", "sports.arena.example.net/en/results", "blog.music.example.org/en/reviews/44", "heonsh.example.com/fr/5.html")]
+    "council.example.org/en/minutes", "www.reerth.example.com/de/912", "sports.arena.example.net/en/results", "blog.music.example.org/en/reviews/44", "heonsh.example.com/fr/5.html",
+    "library.town.example.org/en/opening", "news.example.com/fr/monde", "www.school.example.net/en/terms", "garden.example.org/es/plantas", "blog.reading.example.net/de/buch", "www.anerst.example.net/en/66")]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -22,7 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelaudit.llm.storage import filesystem, materialize, new_dir, unique_name
@@ -34,10 +34,10 @@ MANIFEST = "path string, records long, bytes long"
 RECORD = "page_id long, record_id string, refers_to_record string, record_type string, url string, payload_digest string, payload_bytes long, payload binary"
 
 
-def headers(pages: DataFrame, id: Column, payload: Column) -> DataFrame:
-    """Rows with ``page_id``, ``payload_digest`` (hex SHA-1), ``payload_bytes`` and ``guard``, a second hash of the payload."""
-    data = F.coalesce(payload.cast("binary"), F.lit(b""))
-    return pages.withColumns({"page_id": id.cast("long"), "payload_digest": F.sha1(data), "payload_bytes": F.octet_length(data).cast("long"), "guard": F.xxhash64(data)})
+def headers(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """``page_id``, ``url``, ``payload``, ``payload_digest`` (hex SHA-1), ``payload_bytes`` and ``guard``, a second hash of the payload."""
+    data = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
+    return pages.select(F.col(id).cast("long").alias("page_id"), F.col(url).alias("url"), data.alias("payload"), F.sha1(data).alias("payload_digest"), F.octet_length(data).cast("long").alias("payload_bytes"), F.xxhash64(data).alias("guard"))
 
 
 def originals(heads: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -84,10 +84,10 @@ def encode(page_id: int | None, url: str | None, digest: str, size: int, payload
     return packer.compress("\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def write_archives(resolved: DataFrame, payload: Column, path: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write ``resolved`` rows below ``path``; the result is the list of archives, (path, records, bytes), which has been computed."""
     # a revisit needs no payload, so none is sent to Python
-    rows = resolved.select("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "refers_to_url", (F.col("record_type") == "revisit").alias("revisit"), F.when(F.col("record_type") == "response", payload.cast("binary")).alias("payload"))
+    rows = resolved.select("page_id", "url", "payload_digest", "payload_bytes", "refers_to", "refers_to_url", (F.col("record_type") == "revisit").alias("revisit"), F.when(F.col("record_type") == "response", F.col("payload")).alias("payload"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = filesystem(path)
@@ -180,10 +180,9 @@ def resolve_revisits(read: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    heads = headers(pages, F.col("page_id"), F.col("html"))
-    found = originals(heads.drop("html"))
-    manifest = write_archives(resolve(heads, found), F.col("html"), new_dir(spark, "warc"))
+    heads = headers(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    found = originals(heads.drop("payload"))
+    manifest = write_archives(resolve(heads, found), new_dir(spark, "warc"))
     read = materialize(read_archives(manifest, with_payload=False).drop("payload"), "warc-records")
     return resolve_revisits(read).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
-RUN = Window.partitionBy("run")
+def _run() -> WindowSpec:
+    return Window.partitionBy("run")
 
 
 def indexed(epochs: DataFrame) -> DataFrame:
     """Add ``index``, from 0 over the stages of a run."""
-    return epochs.withColumn("index", (F.row_number().over(RUN.orderBy("stage", "epoch")) - 1).cast("int"))
+    return epochs.withColumn("index", (F.row_number().over(_run().orderBy("stage", "epoch")) - 1).cast("int"))
 
 
 def best_epoch(epochs: DataFrame) -> DataFrame:
@@ -22,14 +23,14 @@ def best_epoch(epochs: DataFrame) -> DataFrame:
 
 def improvement_trace(epochs: DataFrame, patience: int = 5) -> DataFrame:
     """Running best, whether an epoch improves it, epochs since (counted anew from stage 2), and where patience ends."""
-    w = RUN.orderBy("index")
+    w = _run().orderBy("index")
     rows = indexed(epochs).withColumn("before", F.max("val_macro_f1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("improved", F.col("before").isNull() | (F.col("val_macro_f1") > F.col("before")))
-    start2 = F.min(F.when(F.col("stage") == 2, F.col("index"))).over(RUN) - 1
+    start2 = F.min(F.when(F.col("stage") == 2, F.col("index"))).over(_run()) - 1
     last = F.max(F.when(F.col("improved"), F.col("index"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     since = F.col("index") - F.greatest(last, F.when(F.col("stage") == 2, start2))
     rows = rows.withColumn("since", since).withColumn("best", F.greatest("before", "val_macro_f1"))
-    stop = F.min(F.when(F.col("since") >= patience, F.col("index"))).over(RUN)
+    stop = F.min(F.when(F.col("since") >= patience, F.col("index"))).over(_run())
     return rows.withColumn("stops_at", stop).select("run", "index", "best", "improved", "since", "stops_at")
 
 

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def align(preds: DataFrame, models: list[str]) -> DataFrame:
@@ -28,7 +29,7 @@ def outcomes(aligned: DataFrame, a: str, b: str) -> DataFrame:
     return aligned.select("item_id", "y_true", F.col(f"pred_{a}").alias("pred_a"), F.col(f"pred_{b}").alias("pred_b"), bucket.alias("bucket"), way(a, ok_a).alias("error_a"), way(b, ok_b).alias("error_b"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _mcnemar_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     """One value a pair of models: exact below 25 discordant items, else chi-square with continuity correction."""
 

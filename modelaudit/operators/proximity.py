@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -20,7 +21,7 @@ def mann_whitney(values: DataFrame, klass: str = "class") -> DataFrame:
     return out.withColumn("p", _tail("n1", "n2", "u", "ties")).drop("ties")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tail(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
     def p(a: float, b: float, u: float, t: float) -> float | None:
         n = a + b

@@ -4,7 +4,7 @@
    copies cost one row each and no pairs.
 2. A forest of ``TREES`` signature orders over the classes: a tree sorts classes by its own run of minhash values. Classes
    that share the first two values of a tree are a region; regions over ``REGION`` classes go one value deeper, again and
-   again, down to the tree's depth. Within a region, neighbours with the longest common prefix stand next to each other,
+   again, down to the tree's depth, where what is still larger is dealt into parts of about ``REGION``. Within a region, neighbours with the longest common prefix stand next to each other,
    and each class is compared with the ``NEAR`` before it by its whole signature. What looks alike enough (well below
    the wanted similarity) becomes a loose link. Links grow with the number of classes, never with the square of a region.
 3. Loose links are joined to loose groups. A pair over the threshold lies within one loose group even if the two were
@@ -162,20 +162,20 @@ class Union:
 def loose_links(classes: DataFrame) -> DataFrame:
     """Links (a, b) between digests of classes that stand next to each other in an order and look alike."""
     rows = classes.select("digest", F.posexplode("regions").alias("tree", "region"))
-    alive = None
     placed = []
     for depth in range(BASE_DEPTH, DEPTH + 1):
         counts = rows.groupBy("tree", "region").count().filter("count > 1")
+        found = rows.join(counts, ["tree", "region"])
         if depth == BASE_DEPTH:
-            found = rows.join(counts, ["tree", "region"])
             found = found.join(classes.select("digest", "signature"), "digest")
-        else:
-            found = rows.join(counts, ["tree", "region"])
         found = materialize(found, f"forest-{depth}")
         deep = F.col("count") > REGION
-        placed.append(found.filter(~deep if depth < DEPTH else F.lit(True)).drop("count"))
         if depth == DEPTH:
+            # such classes agree in a whole tree; parts are dealt anew in each tree, so other trees link the parts of this one
+            part = F.pmod(F.xxhash64("digest", "tree"), F.ceil(F.col("count") / REGION))
+            placed.append(found.withColumn("region", F.when(deep, F.xxhash64("region", part)).otherwise(F.col("region"))).drop("count"))
             break
+        placed.append(found.filter(~deep).drop("count"))
         value = F.substring("signature", F.col("tree") * DEPTH + depth + 1, F.lit(1))
         rows = found.filter(deep).select("digest", "tree", F.xxhash64("region", value).alias("region"), "signature")
         if not found.filter(deep).limit(1).count():
@@ -183,8 +183,6 @@ def loose_links(classes: DataFrame) -> DataFrame:
     alive = placed[0]
     for more in placed[1:]:
         alive = alive.unionByName(more)
-    # a region that is still large at full depth holds signatures that agree in a whole tree: it is dealt into parts by the
-    # order of the rest of the signature, which keeps the likest together
     order = F.substring("signature", F.col("tree") * DEPTH + 1, F.lit(DEPTH))
     alive = alive.withColumn("order", order).repartition("tree", "region").sortWithinPartitions("tree", "region", "order", "signature", "digest")
 

@@ -252,3 +252,13 @@ def test_quality(spark, docs):
     assert more.count() == docs.count() and more.filter("score is null or score < 0 or score > 1").count() == 0
     assert {r.score for r in quality.score_documents(df.limit(3), quality.fit(df, marks.limit(0))).collect()} == {0.5}
     assert quality.score_documents(df.limit(0), model).count() == 0
+
+
+def test_near_duplicates_that_agree_in_whole_trees(spark):
+    """More classes than a region holds share all values of a tree."""
+    rng = random.Random(12)
+    base = words(rng, 1500).split()
+    texts = [" ".join([*base[:k], f"changed{k}", *base[k + 1 :]]) for k in range(0, 1500, 5)] + [words(rng, 50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == {**dict.fromkeys(range(300), 0), 300: 300}

@@ -15,7 +15,7 @@ from struct import pack
 
 import regex
 
-CACHE_PIECES, CACHE_WORDS = 600_000, 600_000
+CACHE_PIECES, CACHE_WORDS = 250_000, 300_000
 #: A space with white space on both sides; every character that any library takes for white space counts.
 SPACE = r"[\s\x00-\x1f\x85﻿᠎​-‏]"
 UNSAFE = regex.compile(f"{SPACE} {SPACE}")

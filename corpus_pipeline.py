@@ -1,7 +1,8 @@
 """A corpus from documents to packed sequences, in five stages; each stage's result is written and read again.
 
 1. quality: documents that the classifier rejects go.
-2. lines: lines on too large a share of their source's documents go from the texts.
+2. lines: lines on too large a share of their source's documents go from the texts; copies count as one document, and
+   documents that are little else are left whole for stage 3.
 3. near duplicates: one document of each group stays, that with the smallest id.
 4. benchmarks: documents that overlap with a benchmark text go.
 5. packing: what is left is cut and packed into sequences; one row a piece.
@@ -29,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), spare_copies=True)
     return out.withColumn("text", F.col("clean_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -43,3 +43,18 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} == set(seen["benchmarks"])
     assert len({(r.doc_id, r.piece) for r in out}) == len(out)
+
+
+def test_copies_are_no_boilerplate(spark):
+    """A source of which a third is copies and near copies: one of each group stays, with its whole text."""
+    rng = random.Random(21)
+    exact = "\n".join(_words(rng, 12) for _ in range(8))
+    near = [_words(rng, 12) for _ in range(20)]
+    texts = ["menu home\n" + _words(rng, 40) for _ in range(60)]
+    texts += [exact] * 20 + ["\n".join([*near[:5], f"{near[5]} edit{k}", *near[6:]]) for k in range(10)]
+    df = spark.createDataFrame([(i, t, "en", "site", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    lines = corpus_pipeline.line_stage(spark, df, "").cache()
+    got = {r.doc_id: r.text for r in corpus_pipeline.near_dup_stage(spark, lines, "").collect()}
+    assert lines.count() == 90 and set(got) == {*range(60), 60, 80}
+    assert got[60] == exact and got[80] == texts[80]
+    assert all(got[i] == texts[i].split("\n")[1] for i in range(60))

@@ -1,6 +1,8 @@
 """Operators on documents against brute force on small tables with nulls, empty and long texts, ties, repeated rows and
 clashing extra columns."""
 
+import itertools
+import math
 import random
 import re
 import zlib
@@ -262,3 +264,34 @@ def test_near_duplicates_that_agree_in_whole_trees(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
     assert got == {**dict.fromkeys(range(300), 0), 300: 300}
+
+
+def test_no_accepted_overlap_is_without_a_seed():
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+        masks = [[i for i, x in enumerate(m) if x == "1"] for m in (decontam.MASKS if n == decontam.WINDOW else decontam.SHORT_MASKS)]
+        for equal in itertools.product((False, True), repeat=n):
+            if sum(equal) >= math.ceil(n * decontam.SHARE):
+                assert any(all(equal[i + j] for j in m) for m in masks for i in range(n - m[-1])), equal
+
+
+def test_decontamination_equals_a_seedless_search(spark):
+    rng = random.Random(8)
+    items = [words(rng, n).split() for n in (10, 11, 12, 13, 15, 30)]
+    rows = [[]]
+    for item in items:
+        for gone in itertools.combinations(range(min(len(item), 15)), 2 if len(item) < 15 else 3):
+            rows.append([f"x{i}" if i in gone else w for i, w in enumerate(item)])
+        rows += [item[1:], item[:-1], item[2:], item[:-2], item[2:-1]]
+    rows = [r if k % 2 else words(rng, 3).split() + r + words(rng, 4).split() for k, r in enumerate(rows)]
+    want = {}
+    for d, r in enumerate(rows):
+        for b, item in enumerate(items):
+            width = min(len(item), decontam.WINDOW)
+            for shift in range(-len(item), len(r)):
+                equal = [0 <= shift + j < len(r) and r[shift + j] == w for j, w in enumerate(item)]
+                if max(sum(equal[i : i + width]) for i in range(len(item) - width + 1)) >= math.ceil(width * decontam.SHARE):
+                    want[d, b] = max(sum(equal), want.get((d, b), 0))
+    docs = spark.createDataFrame([(d, " ".join(r)) for d, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(b, " ".join(x)) for b, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.matched for r in decontam.overlaps(docs, bench).collect()}
+    assert got == want and len(want) > 800

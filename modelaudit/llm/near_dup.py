@@ -4,9 +4,11 @@
    copies cost one row each and no pairs.
 2. A forest of ``TREES`` signature orders over the classes: a tree sorts classes by its own run of minhash values. Classes
    that share the first two values of a tree are a region; regions over ``REGION`` classes go one value deeper, again and
-   again, down to the tree's depth, where what is still larger is dealt into parts of about ``REGION``. Within a region, neighbours with the longest common prefix stand next to each other,
-   and each class is compared with the ``NEAR`` before it by its whole signature. What looks alike enough (well below
-   the wanted similarity) becomes a loose link. Links grow with the number of classes, never with the square of a region.
+   again, down to the tree's depth, where what is still larger is dealt into parts of about ``REGION``. Within a region, all classes are compared by their whole signatures. What looks alike enough (well below
+   the wanted similarity) becomes a loose link.
+   Going deeper parts classes that differ in one value, so regions of step 2 that are over ``REGION`` and hold more than one
+   loose group are then compared whole: all pairs of classes of different groups, in pairs of parts of about ``PART``. So
+   every pair that shares the first two values of any tree is compared. That grows with the square of such a region.
 3. Loose links are joined to loose groups. A pair over the threshold lies within one loose group even if the two were
    never neighbours, as long as a chain of neighbours leads from one to the other.
 4. Within a loose group all pairs are decided on full sets: the group is dealt into blocks of about ``BLOCK`` classes, each
@@ -38,7 +40,7 @@ from modelaudit.llm.storage import groups, materialize
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, BASE_DEPTH = 16, 8, 2
-REGION, NEAR, LOOSE, BLOCK = 128, 16, 0.60, 96
+REGION, PART, LOOSE, BLOCK = 128, 512, 0.60, 96
 SIGNATURE = TREES * DEPTH
 
 _rng = np.random.default_rng(20240229)
@@ -196,22 +198,61 @@ def loose_links(classes: DataFrame) -> DataFrame:
                 digest, region, signs = tail[0] + digest, np.vstack([tail[1], region]), np.vstack([tail[2], signs])
             new = 0 if tail is None else len(tail[0])
             a_out, b_out = [], []
-            for gap in range(1, min(NEAR, len(digest) - 1) + 1):
-                from_ = max(0, new - gap)
-                same = np.flatnonzero((region[from_:-gap] == region[from_ + gap :]).all(axis=1)) + from_
-                same = same[same + gap >= new]
+            first, gap = np.arange(len(digest)), 0
+            while len(first):
+                gap += 1
+                first = first[first + gap < len(digest)]
+                first = first[(region[first] == region[first + gap]).all(axis=1)]  # regions are runs: who has no such neighbour has none beyond
+                same = first[first + gap >= new]
                 alike = same[(signs[same] == signs[same + gap]).mean(axis=1) >= LOOSE]
                 for i in alike.tolist():
                     a, b = digest[i], digest[i + gap]
                     if joined.join(a, b):
                         a_out.append(min(a, b)), b_out.append(max(a, b))
-            tail = (digest[-NEAR:], region[-NEAR:], signs[-NEAR:])
+            last = int(np.argmax((region == region[-1]).all(axis=1)))  # the last region may go on
+            tail = (digest[last:], region[last:], signs[last:])
             if a_out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
 
     return alive.select("digest", "tree", "region", "signature").mapInArrow(link, "a binary, b binary").distinct()
 
 
+def completing_links(classes: DataFrame, loose: DataFrame) -> DataFrame | None:
+    """Loose links between loose groups that share a region over ``REGION`` classes; None if there is no such region."""
+    rows = classes.select("digest", F.posexplode("regions").alias("tree", "region"))
+    labels = loose.select(F.col("node").alias("digest"), "label")
+    large = materialize(rows.groupBy("tree", "region").count().filter(F.col("count") > REGION), "near-dup-large")
+    if not large.limit(1).count():
+        return None
+    inside = rows.join(F.broadcast(large), ["tree", "region"]).join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    inside = materialize(inside, "near-dup-inside")
+    mixed = inside.groupBy("tree", "region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tree", "region")
+    members = inside.join(F.broadcast(mixed), ["tree", "region"]).join(classes.select("digest", "signature"), "digest")
+    parts = F.ceil(F.col("count") / PART).cast("int")
+    members = members.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("digest"), parts).cast("int")})
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("pair", F.xxhash64("tree", "region", F.least("part", "other"), F.greatest("part", "other")))
+    dealt = dealt.select("pair", "part", "digest", "label", "signature").repartition("pair").sortWithinPartitions("pair", "part", "digest")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, "pair"):
+            nodes, part = table["digest"].to_pylist(), table["part"].to_numpy()
+            signs = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+            label = np.unique(np.array([x.hex() for x in table["label"].to_pylist()]), return_inverse=True)[1]
+            across, a_out, b_out = part[0] != part[-1], [], []
+            for i in range(len(nodes) - 1):
+                apart = label[i + 1 :] != label[i]
+                at = np.flatnonzero(apart & (part[i + 1 :] != part[i]) if across else apart) + i + 1
+                for j in at[np.count_nonzero(signs[at] == signs[i], axis=1) >= LOOSE * SIGNATURE].tolist():
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        a_out.append(min(nodes[i], nodes[j])), b_out.append(max(nodes[i], nodes[j]))
+            if a_out:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+
+    return dealt.mapInArrow(link, "a binary, b binary").distinct()
+
+
 def _links_of_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of sets over the threshold; with both sides present, only pairs across sides."""
     sizes = np.array([len(x) for x in sets])
@@ -284,6 +325,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = materialize(classes, "near-dup-classes")
     links = materialize(loose_links(classes), "near-dup-loose")
     loose = connected_components(links, "near-dup-groups")
+    more = completing_links(classes, loose)
+    if more is not None:
+        more = materialize(more, "near-dup-more")
+        if more.limit(1).count():
+            loose = connected_components(links.unionByName(more), "near-dup-groups")
     exact = materialize(confirmed_links(docs, classes, loose, percent), "near-dup-links")
     labels = connected_components(exact, "near-dup-components")
     named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))

@@ -295,3 +295,31 @@ def test_decontamination_equals_a_seedless_search(spark):
     bench = spark.createDataFrame([(b, " ".join(x)) for b, x in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.matched for r in decontam.overlaps(docs, bench).collect()}
     assert got == want and len(want) > 800
+
+
+def test_near_duplicates_that_share_a_template(spark):
+    """Thousands of different texts at a similarity of 0.5 for their template; isolated pairs at 0.77."""
+    rng = random.Random(31)
+    own = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    template, texts = own(71), []
+    for _ in range(2000):
+        common = own(20)
+        texts += [" ".join(template + common + own(13)) for _ in range(2)]
+    a, b, c = (shingle_set(texts[i]) for i in (0, 1, 2))
+    assert 0.75 <= len(a & b) / len(a | b) < 0.78 and 0.49 < len(a & c) / len(a | c) < 0.52
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()}
+    assert {i for i in got if got[i] != i - i % 2} == set()
+
+
+def test_pairs_that_part_below_a_large_region_are_linked(spark):
+    """200 classes share one region of one tree and part at its next value; two of them are alike."""
+    rng = np.random.default_rng(5)
+    signs = rng.integers(0, 256, (200, near_dup.SIGNATURE), dtype=np.uint8)
+    signs[:, 2] = np.arange(200)
+    signs[150, 33:] = signs[20, 33:]
+    rows = [(bytes([i]) * 16, [7, *(1000 * i + t for t in range(1, near_dup.TREES))], x.tobytes()) for i, x in enumerate(signs)]
+    classes = spark.createDataFrame(rows, "digest binary, regions array<long>, signature binary")
+    loose = spark.createDataFrame([], "node binary, label binary")
+    assert near_dup.loose_links(classes).count() == 0
+    assert [tuple(map(bytes, r)) for r in near_dup.completing_links(classes, loose).collect()] == [(rows[20][0], rows[150][0])]

@@ -229,4 +229,4 @@ def m12(spark, sf_dir):
     table = images.pixel_table(v.items(spark, sf_dir))
     rows = images.feature_matrix(table).select("item_id", F.col("features").cast("array<double>").alias("features"), F.pmod(F.substring("class", 2, 9).cast("int"), F.lit(K3)).alias("y_true"))
     model = ml.random_forest(rows.cache(), 5, 4)
-    return ml.occlusion_map(model, table.filter("class = 'c0'"), images.feature_matrix, K3, patch=4, stride=2)
+    return ml.occlusion_map(model, table, images.feature_matrix, K3, patch=4, stride=2)

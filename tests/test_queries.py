@@ -58,3 +58,13 @@ def test_queries_are_listed_without_a_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print('listed', len(e.queries()))"
     assert "listed" in subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=200).stdout
+
+
+def test_occlusion_maps_are_of_every_image(spark, monkeypatch):
+    """What the query hands to the operator; the maps themselves take minutes."""
+    from modelaudit.operators import ml
+    from modelaudit.plans import views
+
+    monkeypatch.setattr(ml, "random_forest", lambda *_: None)
+    monkeypatch.setattr(ml, "occlusion_map", lambda model, images, *_, **__: images)
+    assert QUERIES["m12_occlusion_map"](spark, SF).select("item_id").distinct().count() == views.items(spark, SF).count()

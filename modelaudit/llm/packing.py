@@ -19,7 +19,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +27,7 @@ from pyspark.sql.window import Window
 from modelaudit.llm.storage import materialize
 from modelaudit.llm.tokens import encoder, slices
 
-SEQ_LEN, END_ID, RANK_GROUP = 2048, 0, 512
+TOKENIZER, SEQ_LEN, END_ID, RANK_GROUP = "byte_bpe_50k.json", 2048, 0, 512
 PIECE = "doc_id long, piece int, start long, length long, ids binary, task int, local_rank long"
 
 
@@ -118,7 +117,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_id: int =
     slots = slots.withColumn("rank_group", F.explode(F.sequence(F.expr(f"r0 div {RANK_GROUP}"), F.expr(f"(r1 - 1) div {RANK_GROUP}"))))
     slots = slots.groupBy("length", "rank_group").agg(F.array_sort(F.collect_list(F.struct("r0", "r1", "s0", "offset"))).alias("slots"))
     keys = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", "task", "local_rank")
-    ranked = keys.join(by_task.select("length", "task", "before"), ["length", "task"])
+    # counts grow with the tasks, so they are never broadcast
+    ranked = keys.join(by_task.select("length", "task", "before").hint("merge"), ["length", "task"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("local_rank")).withColumn("rank_group", F.expr(f"rank div {RANK_GROUP}"))
     found = F.filter("slots", lambda x: (x["r0"] <= F.col("rank")) & (F.col("rank") < x["r1"]))
     placed = ranked.join(slots, ["length", "rank_group"]).withColumn("slot", F.get(found, F.lit(0)))
@@ -137,4 +137,4 @@ def sequences(packed: Packed) -> DataFrame:
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json")).placed.drop("task", "local_rank")
+    return pack(docs, TOKENIZER).placed.drop("task", "local_rank")

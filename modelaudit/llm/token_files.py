@@ -21,7 +21,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -32,7 +31,7 @@ from pyspark.sql.window import Window
 from modelaudit.llm.storage import filesystem, materialize, new_dir, unique_name
 from modelaudit.llm.tokens import encoder, slices
 
-END_ID, FRAME_BYTES, TEXT_BYTES = 2, 256 << 10, 24 << 20
+TOKENIZER, END_ID, FRAME_BYTES, TEXT_BYTES = "word_bpe_49k.json", 2, 256 << 10, 24 << 20
 # fixed values of the zstandard seekable format
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, SEEKABLE, CHECKSUMS = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1, 0x80
 NULL_ID = -(2**63)
@@ -183,11 +182,10 @@ def read_files(files: DataFrame, doc_ids: list[int] | None = None) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    n = max(1, min(files.count(), 4096))
-    return files.select("path", "ids_before").repartition(n, "path").mapInArrow(read, "doc_id long, start long, ids binary")
+    return files.select("path", "ids_before").repartition(max(1, files.count()), "path").mapInArrow(read, "doc_id long, start long, ids binary")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    files = write_files(docs, public_tokenizers.path("word_bpe_49k.json"), new_dir(spark, "token-files"))
+    files = write_files(docs, TOKENIZER, new_dir(spark, "token-files"))
     return read_files(files).select("doc_id", "start", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -165,7 +165,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                 if rows:
                     yield packed(rows)
 
-    one_each = manifest.repartition(max(1, min(manifest.count(), 4096)), "path")
+    one_each = manifest.repartition(max(1, manifest.count()), "path")
     return one_each.mapInArrow(read, RECORD)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.llm.storage import materialize
-from modelaudit.llm.tokens import encoder, slices
+from modelaudit.llm.tokens import encoder, release, slices
 
 TOKENIZER, SEQ_LEN, END_ID, RANK_GROUP = "byte_bpe_50k.json", 2048, 0, 512
 PIECE = "doc_id long, piece int, start long, length long, ids binary, task int, local_rank long"
@@ -50,19 +50,20 @@ def encode_pieces(docs: DataFrame, tokenizer: str, seq_len: int = SEQ_LEN, end_i
         coder, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), [x or "" for x in batch["text"].to_pylist()]
-            for part in slices(texts):
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, part in slices(batch["text"]):
                 rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids", "task", "local_rank")}
-                for i, ids in zip(part, coder.encode([texts[i] for i in part]), strict=True):
+                for doc_id, ids in zip(doc_ids[first : first + len(part)], coder.encode(part), strict=True):
                     ids, start = ids + end, 0
                     for n, length in enumerate(cut_lengths(len(ids) // 4, seq_len)):
                         rank = seen.get(length, 0)
                         seen[length] = rank + 1
-                        for k, v in zip(rows, (doc_ids[i], n, start, length, ids[4 * start : 4 * (start + length)], task, rank), strict=True):
+                        for k, v in zip(rows, (doc_id, n, start, length, ids[4 * start : 4 * (start + length)], task, rank), strict=True):
                             rows[k].append(v)
                         start += length
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
+        release()
 
     pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECE)
     return pieces.withColumn("ids_crc32", F.crc32("ids"))

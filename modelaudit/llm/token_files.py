@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.llm.storage import filesystem, materialize, new_dir, unique_name
-from modelaudit.llm.tokens import encoder, slices
+from modelaudit.llm.tokens import encoder, release, slices
 
 TOKENIZER, END_ID, FRAME_BYTES, TEXT_BYTES = "word_bpe_49k.json", 2, 256 << 10, 24 << 20
 # fixed values of the zstandard seekable format
@@ -138,16 +138,17 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID
         coder, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         out = writer = None
         for batch in batches:
-            doc_ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for part in slices(texts):
-                for i, ids in zip(part, coder.encode([texts[i] for i in part]), strict=True):
+            doc_ids = batch["doc_id"].to_pylist()
+            for first, part in slices(batch["text"]):
+                for doc_id, ids in zip(doc_ids[first : first + len(part)], coder.encode(part), strict=True):
                     if writer is None:
                         store, root = filesystem(path)
                         store.create_dir(root, recursive=True)
                         name = unique_name("ids", ".u32.zst")
                         out = store.open_output_stream(f"{root}/{name}", compression=None)
                         writer = FrameWriter(out)
-                    writer.add(doc_ids[i], ids + end)
+                    writer.add(doc_id, ids + end)
+        release()
         if writer is not None:
             writer.close()
             out.close()

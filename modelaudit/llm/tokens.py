@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -141,16 +142,17 @@ class Encoder:
         ends, data = np.frombuffer(joined.buffers()[1], np.int64)[starts], memoryview(joined.buffers()[2] or b"")
         return [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.kind is None or not texts:
-            return [np.array(self.plain(x), "<u4").tobytes() for x in texts]
-        column = pa.array(texts, pa.string())
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Ids of each text; a null one has none."""
+        column = pc.fill_null(texts.cast(pa.string()), "")
+        if self.kind is None or not len(column):
+            return [np.array(self.plain(x), "<u4").tobytes() for x in column.to_pylist()]
         runs = pc.match_substring_regex(column, RUN)
         has_runs = runs.to_numpy(zero_copy_only=False)
         single = self.lists(pc.split_pattern(pc.replace_substring(column.filter(pc.invert(runs)), "\n", " \n"), " "))
         if not has_runs.any():
             return single
-        rest = self.lists(pa.array([CUT.split(texts[i]) for i in np.flatnonzero(has_runs)], pa.list_(pa.string())))
+        rest = self.lists(pa.array([CUT.split(x) for x in column.filter(runs).to_pylist()], pa.list_(pa.string())))
         one, other = iter(single), iter(rest)
         return [next(other if x else one) for x in has_runs]
 
@@ -165,13 +167,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str], most: int = 1 << 23) -> list[list[int]]:
-    """Positions of texts in runs of about ``most`` characters, so that what one call holds is bounded."""
-    out, held, size = [], [], 0
-    for i, x in enumerate(texts):
-        held.append(i)
-        size += len(x)
-        if size >= most:
-            out.append(held)
-            held, size = [], 0
-    return [*out, held] if held else out
+def slices(texts: pa.StringArray, most: int = 1 << 23) -> Iterator[tuple[int, pa.StringArray]]:
+    """Texts in runs of about ``most`` bytes, each with its first place, so that what one call holds is bounded."""
+    size, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + most)))
+        yield first, texts.slice(first, last - first)
+        first = last
+
+
+def release() -> None:
+    """Give back what Arrow keeps for later; a reused worker would hold it through other stages."""
+    pa.default_memory_pool().release_unused()

@@ -4,8 +4,9 @@
    copies cost one row each and no pairs.
 2. A forest of ``TREES`` signature orders over the classes: a tree sorts classes by its own run of minhash values. Classes
    that share the first two values of a tree are a region; regions over ``REGION`` classes go one value deeper, again and
-   again, down to the tree's depth, where what is still larger is dealt into parts of about ``REGION``. Within a region, all classes are compared by their whole signatures. What looks alike enough (well below
-   the wanted similarity) becomes a loose link.
+   again, down to the tree's depth, where what is still larger is dealt into parts of about ``REGION``. Within a region, all
+   classes are compared by their whole signatures. What looks alike enough (well below the wanted similarity) becomes a
+   loose link.
    Going deeper parts classes that differ in one value, so regions of step 2 that are over ``REGION`` and hold more than one
    loose group are then compared whole: all pairs of classes of different groups, in pairs of parts of about ``PART``. So
    every pair that shares the first two values of any tree is compared. That grows with the square of such a region.
@@ -22,17 +23,20 @@ linked with nothing. Shingles are compared by 64-bit hashes.
 
 Defined cases: a null doc_id takes part, never names a component (``component_id`` is the least id that is not null; null
 if there is none) and is not kept unless its component has no id; rows that repeat an id are rows of their own; ``kept``
-is true where doc_id equals component_id, so each row that repeats the least id is kept; empty tables give empty results.
+is true where doc_id equals component_id, so each row that repeats the least id is kept (``one_of_each`` keeps one alone);
+other columns are ignored, whatever their names; empty tables give empty results. A text is hashed ``CHUNK`` bytes at a time;
+what is held for it grows by about 40 bytes a word.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelaudit.llm.components import connected_components
@@ -48,8 +52,6 @@ _MULTIPLY = (_rng.integers(0, 2**32, SIGNATURE, dtype=np.uint32) | np.uint32(1))
 _ADD = _rng.integers(0, 2**32, SIGNATURE, dtype=np.uint32)[:, None]
 _BYTE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = _rng.integers(0, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,30 +61,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the byte multiplier and of its inverse, at least ``n`` of each."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        n, one = max(n, 2 * len(_powers), 1 << 16), np.ones(1, np.uint64)
-        back = np.uint64(pow(int(_BYTE), -1, 2**64))
-        _powers = np.cumprod(np.concatenate([one, np.full(n - 1, _BYTE, np.uint64)]), dtype=np.uint64)
-        _inverse = np.cumprod(np.concatenate([one, np.full(n - 1, back, np.uint64)]), dtype=np.uint64)
-    return _powers, _inverse
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the byte multiplier and of its inverse, ``n`` of each."""
+    back = np.uint64(pow(int(_BYTE), -1, 2**64))
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64) for x in (_BYTE, back))
 
 
+CHUNK = 1 << 18
+with np.errstate(over="ignore"):
+    _POWERS = _power_table(CHUNK)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text, all by array operations: prefix sums of byte * multiplier ** place."""
-    data = np.frombuffer(text, np.uint8)
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(text: bytes, chunk: int = CHUNK) -> np.ndarray:
+    """A 64-bit hash of each word of a text, ``chunk`` bytes at a time; a chunk ends after white space."""
+    data, out, first = np.frombuffer(text, np.uint8), [], 0
+    while first < len(data):
+        last = min(first + chunk, len(data))
+        if last < len(data):
+            blank = np.flatnonzero(_SPACE[data[first:last]])
+            if len(blank):
+                last = first + int(blank[-1]) + 1
+            else:  # a word longer than a chunk
+                blank = _BLANK.search(text, last)
+                last = blank.end() if blank else len(data)
+        out.append(_hash_words(data[first:last]))
+        first = last
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _hash_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of whole words, all by array operations: prefix sums of byte * multiplier ** place."""
     word = ~_SPACE[data]
     edge = np.diff(np.concatenate([[False], word, [False]]).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         return np.empty(0, np.uint64)
-    power, inverse = _grown(len(data))
+    power, inverse = _POWERS if len(data) <= CHUNK else _power_table(len(data))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], dtype=np.uint64)])
     return _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
@@ -113,7 +130,7 @@ def signature(sets: np.ndarray) -> np.ndarray:
     return best
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, regions array<long>, signature binary"
+SKETCH = "doc_id long, text_hash long, n_shingles long, digest binary, regions array<long>, signature binary"
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -136,9 +153,14 @@ def sketch(docs: DataFrame) -> DataFrame:
                         signs.append((values & 0xFF).astype(np.uint8).tobytes())
                     else:
                         digest.append(None), regions.append(None), signs.append(None)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regions, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "digest", "regions", "signature"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regions, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "regions", "signature"])
+
+    return docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(make, SKETCH)
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, SKETCH)
+def text_hash(text: Column) -> Column:
+    """With the id it tells rows apart that repeat an id, or have none; null texts have one of their own."""
+    return F.xxhash64(text)
 
 
 class Union:
@@ -283,8 +305,10 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, perce
     """Links between classes of one loose group that hold on full sets: enough of them to join all that are joined."""
     sizes = loose.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = loose.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(classes.select(F.col("digest").alias("node"), "doc_id"), "node")
-    texts = members.join(docs.select("doc_id", "text"), members["doc_id"].eqNullSafe(docs["doc_id"])).drop("doc_id")
+    members = members.join(classes.select(F.col("digest").alias("node"), "first"), "node")
+    keyed = docs.select(F.col("doc_id").alias("_id"), "text", text_hash(F.col("text")).alias("_hash"))
+    texts = members.join(keyed, F.col("first.doc_id").eqNullSafe(F.col("_id")) & (F.col("first.text_hash") == F.col("_hash")))
+    texts = texts.groupBy("label", "node", "block", "blocks").agg(F.first("text").alias("text"))  # rows alike in id and text are one
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = texts.select("label", "node", "text", "block", other)
     dealt = dealt.withColumn("pair", F.xxhash64("label", F.least("block", "other"), F.greatest("block", "other")))
@@ -297,9 +321,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, perce
                 held: dict[bytes, tuple[int, np.ndarray]] = {}
                 for node, block, text in zip(table["node"].to_pylist(), table["block"].to_pylist(), table["text"].to_pylist(), strict=True):
                     if node not in held:
-                        found = shingles(text)
-                        if hashlib.blake2b(found.tobytes(), digest_size=16).digest() == node:  # a repeated id brings other texts too
-                            held[node] = (block, found)
+                        held[node] = (block, shingles(text))
                 if len(held) < 2:
                     continue
                 nodes, joined = list(held), Union()
@@ -317,11 +339,13 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, perce
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, digest) for each row of ``docs`` (doc_id, text)."""
+    """(doc_id, n_shingles, component_id, kept, text_hash, component) for each row of ``docs`` (doc_id, text). ``component`` is
+    the least digest of a set in the component, null for a text without words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = materialize(sketch(docs), "near-dup-sketch")
     some = rows.filter("digest is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("signature").alias("signature"), F.min("regions").alias("regions"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
+    classes = some.groupBy("digest").agg(first.alias("first"), F.min("signature").alias("signature"), F.min("regions").alias("regions"))
     classes = materialize(classes, "near-dup-classes")
     links = materialize(loose_links(classes), "near-dup-loose")
     loose = connected_components(links, "near-dup-groups")
@@ -332,14 +356,34 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             loose = connected_components(links.unionByName(more), "near-dup-groups")
     exact = materialize(confirmed_links(docs, classes, loose, percent), "near-dup-links")
     labels = connected_components(exact, "near-dup-components")
-    named = classes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(named.join(least, "label").select("digest", "component_id"), "near-dup-named")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = classes.select("digest", "first.doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("label", "digest")).drop("label")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(named.join(least, "component").select("digest", "component", "component_id"), "near-dup-named")
+    out = rows.select("doc_id", "text_hash", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "digest")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "component")
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component, that of the least id (then of the least hash of its text; rows without an id
+    come last), and all rows without words. Of rows alike in id and text any one may stay."""
+    found = materialize(near_duplicates(docs, percent).filter("component is not null").select("doc_id", "text_hash", "component"), "near-dup-rows")
+    same = found.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    groups_of = same.groupBy("component").agg(F.sum("n").alias("all"), F.min_by(F.struct("doc_id", "text_hash", "n"), order).alias("stays")).filter("all > 1")
+    groups_of = materialize(groups_of, "near-dup-stays")
+    gone = same.join(groups_of.select("component", "stays"), "component").filter(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("text_hash") == F.col("stays.text_hash"))))
+    again = groups_of.filter("stays.n > 1").select("stays.doc_id", "stays.text_hash")
+    marked = gone.select("doc_id", "text_hash", F.lit(False).alias("_again")).unionByName(again.withColumn("_again", F.lit(True)))
+    marked = materialize(marked.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "near-dup-marked")
+    on = docs["doc_id"].cast("long").eqNullSafe(marked["_id"]) & (text_hash(docs["text"].cast("string")) == marked["_hash"])
+    rest = docs.join(marked, on, "left_anti")
+    if not marked.filter("_again").limit(1).count():
+        return rest
+    repeated = docs.join(marked.filter("_again"), on, "left_semi")
+    return rest.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs).drop("digest")
+    return near_duplicates(docs).drop("text_hash", "component")

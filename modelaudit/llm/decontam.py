@@ -7,12 +7,18 @@ an alignment that counts has a hit of one of ``MASKS`` (texts of ``WINDOW`` word
 documents are hashed under these only if the benchmark has such texts). A test goes through all patterns. An alignment counts if, within some run of
 ``WINDOW`` aligned words (the whole text if it is shorter), at least ``SHARE`` of the words are equal. DataFrame expressions only.
 
-The benchmark's hashes are written and counted: up to ``BROADCAST_ROWS`` they are broadcast, so documents are hashed and
-probed where they are read; beyond that the hashes are shuffled. Only documents with hits are read again for verification.
-
-Words are maximal runs of letters and digits, lower-cased. Defined cases: null texts and benchmark texts under ``SPAN`` words
-have no windows and match nothing; benchmark rows with equal words count once, under their smallest id; rows
-of documents that repeat an id and text have one result; null ids are kept as ids; empty tables give empty results.
+Benchmark texts under ``SPAN`` words are too short to differ in part: those of ``LEAST`` words or more count where all their
+words stand consecutively, shorter ones where they are a document's only words. Documents are hashed for short texts only if
+the benchmark has some.
+
+The benchmark's hashes and words are written and their bytes counted: up to ``BROADCAST_BYTES`` they are broadcast, so documents
+are hashed and probed where they are read; beyond that they are shuffled. Only documents with hits are read again for
+verification.
+
+Words are maximal runs of letters and digits, lower-cased. Defined cases: null texts and those without words match nothing;
+benchmark rows with equal words count once, under their smallest id; rows of documents that repeat an id and text have one
+result; null ids are kept as ids; other columns are ignored; empty tables give empty results. A long text is one array of
+8-byte hashes a word, and of one for each mask and word while it is probed.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from modelaudit.llm.storage import materialize
 
 MASKS = ("111011101", "1110100111", "1001110111")
 SHORT_MASKS = ("111011", "11010011", "11111")
-SPAN, WINDOW, SHARE, BROADCAST_ROWS = 10, 13, 0.8, 2_000_000
+LEAST, SPAN, WINDOW, SHARE, BROADCAST_BYTES = 5, 10, 13, 0.8, 64 << 20
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
@@ -58,11 +64,11 @@ def windows(n_words: Column, masks: tuple[str, ...]) -> Column:
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
     """(item_id, item_words): one row for each distinct sequence of words, under its smallest id."""
     rows = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words"))
-    return rows.filter(F.size("item_words") >= SPAN).groupBy("item_words").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("item_words"))
+    return rows.filter(F.size("item_words") > 0).groupBy("item_words").agg(F.min("item_id").alias("item_id")).withColumn("item", F.xxhash64("item_words"))
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
@@ -71,13 +77,13 @@ def benchmark_seeds(items: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return placed.filter("seed is not null").select("seed", "item", F.pmod("at", "windows").alias("item_at"))
 
 
-def hits(docs: DataFrame, masks: tuple[str, ...], n_seeds: int, seed_table: DataFrame) -> DataFrame:
+def hits(docs: DataFrame, masks: tuple[str, ...], seed_bytes: int, seed_table: DataFrame) -> DataFrame:
     """Distinct (doc_id, text_hash, item, shift) with equal seeds; shift: where the benchmark text's first word falls."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("w"))
     arrays = hashed.select("doc_id", "text_hash", windows(F.size("w"), masks).alias("windows"), let(F.col("w"), lambda w: seeds(w, masks)).alias("s"))
     # outer: for an inner one Spark infers a filter on the array and computes it once more to test that
     placed = arrays.select("doc_id", "text_hash", "windows", F.posexplode_outer("s").alias("at", "seed"))
-    found = placed.join(_maybe_broadcast(seed_table, n_seeds), "seed")
+    found = placed.join(_maybe_broadcast(seed_table, seed_bytes), "seed")
     shift = F.pmod(F.col("at"), F.col("windows")) - F.col("item_at")
     return found.select("doc_id", "text_hash", "item", shift.alias("shift")).distinct()
 
@@ -85,13 +91,22 @@ def hits(docs: DataFrame, masks: tuple[str, ...], n_seeds: int, seed_table: Data
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified overlaps: one row (doc_id, text_hash, item_id, matched, item_words, first_word) for each document and benchmark text."""
     items = materialize(benchmark_items(benchmark), "benchmark-items")
-    short = F.size("item_words") < WINDOW
-    table, masks = benchmark_seeds(items.filter(~short), MASKS), MASKS
-    if items.filter(short).limit(1).count():
-        table, masks = table.unionByName(benchmark_seeds(items.filter(short), SHORT_MASKS)), MASKS + SHORT_MASKS
+    n = F.size("item_words")
+    known = items.agg(F.sum(8 * n + 24).alias("bytes"), F.collect_set(F.when(n < SPAN, n)).alias("short"), F.max((n >= SPAN) & (n < WINDOW)).alias("middling")).first()
+    whole = tuple("1" * x for x in sorted(known["short"]) if x >= LEAST)
+    table, masks = benchmark_seeds(items.filter(n >= WINDOW), MASKS), MASKS
+    if known["middling"]:
+        table, masks = table.unionByName(benchmark_seeds(items.filter((n >= SPAN) & (n < WINDOW)), SHORT_MASKS)), masks + SHORT_MASKS
+    for mask in whole:
+        table = table.unionByName(benchmark_seeds(items.filter(n == len(mask)), (mask,)))
     table = materialize(table, "benchmark-seeds")
-    found = materialize(hits(docs, masks, table.count(), table), "benchmark-hits")
-    hit_docs = found.join(_maybe_broadcast(items, items.count()), "item")
+    found = hits(docs, masks + tuple(m for m in whole if m not in masks), 32 * table.count(), table)
+    if any(x < LEAST for x in known["short"]):
+        tiny = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("w")).filter(F.size("w").between(1, LEAST - 1))
+        tiny = tiny.join(_maybe_broadcast(items.filter(n < LEAST).select("item"), known["bytes"]), F.xxhash64("w") == F.col("item"))
+        found = found.unionByName(tiny.select("doc_id", "text_hash", "item", F.lit(0).alias("shift")).distinct())
+    found = materialize(found, "benchmark-hits")
+    hit_docs = found.join(_maybe_broadcast(items, known["bytes"] or 0), "item")
     wanted = found.select(F.col("doc_id").alias("_w"), F.col("text_hash").alias("_h")).distinct()
     texts = docs.select(F.col("doc_id").alias("_id"), "text", F.xxhash64("text").alias("_hash"))
     texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_w")) & (F.col("_hash") == F.col("_h")), "left_semi")
@@ -104,7 +119,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.size("equal"), F.lit(WINDOW))
     runs = F.transform(F.sequence(F.lit(0), F.size("equal") - width), lambda i: F.aggregate(F.slice("equal", i + 1, width), F.lit(0), lambda a, x: a + x))
     aligned = aligned.withColumns({"best_run": F.array_max(runs), "matched": F.aggregate("equal", F.lit(0), lambda a, x: a + x), "width": width})
-    good = aligned.filter(F.col("best_run") >= F.ceil(F.col("width") * SHARE))
+    enough = F.when(F.size("equal") < SPAN, F.col("width")).otherwise(F.ceil(F.col("width") * SHARE))
+    good = aligned.filter((F.col("best_run") >= enough) & ((F.size("equal") >= LEAST) | (F.size("w") == F.size("equal"))))
     return good.groupBy("doc_id", "text_hash", "item_id").agg(F.max("matched").alias("matched"), F.first(F.size("item_words")).alias("item_words"), F.min(F.greatest("shift", F.lit(0))).alias("first_word"))
 
 
@@ -135,13 +151,14 @@ def _sql_seeds() -> str:
 SQL = rf"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda w: w <> '') AS ws FROM documents),
 b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda w: w <> '') AS ws FROM benchmark),
-b AS (SELECT min(item_id) AS id, ws FROM b0 WHERE len(ws) >= {SPAN} GROUP BY ws),
+b AS (SELECT min(item_id) AS id, ws FROM b0 WHERE len(ws) > 0 GROUP BY ws),
 ds AS ({_sql_seeds().format('d')}),
-bs AS ({_sql_seeds().format('b')}),
-h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
+bs AS ({_sql_seeds().format('(SELECT * FROM b WHERE len(ws) >= ' + str(SPAN) + ')')}),
+h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
+      UNION SELECT d.id, b.id, i FROM b, d, unnest(range(0, len(d.ws) - len(b.ws) + 1)) AS r(i) WHERE len(b.ws) < {SPAN} AND (len(b.ws) >= {LEAST} OR len(b.ws) = len(d.ws)) AND d.ws[i + 1 : i + len(b.ws)] = b.ws),
 e AS (SELECT h.*, len(b.ws) AS n, list_transform(range(0, len(b.ws)), lambda j: CASE WHEN shift + j >= 0 AND shift + j < len(d.ws) AND d.ws[shift + j + 1] = b.ws[j + 1] THEN 1 ELSE 0 END) AS eq
       FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
 r AS (SELECT *, list_max(list_transform(range(0, n - least(n, {WINDOW}) + 1), lambda s: list_sum(eq[s + 1 : s + least(n, {WINDOW})]))) AS best FROM e)
 SELECT doc_id, item_id, CAST(max(list_sum(eq)) AS INTEGER) AS matched, CAST(max(n) AS INTEGER) AS item_words, CAST(min(greatest(shift, 0)) AS INTEGER) AS first_word
-FROM r WHERE best >= ceil(least(n, {WINDOW}) * {SHARE}) GROUP BY doc_id, item_id
+FROM r WHERE best >= CASE WHEN n < {SPAN} THEN n ELSE ceil(least(n, {WINDOW}) * {SHARE}) END GROUP BY doc_id, item_id
 """

@@ -6,13 +6,15 @@ the distance from below). Segments go from coarse to fine, a pair of vectors is
 k-th best score found so far, and exact integer products are computed for the survivors alone.
 
 Queries and candidates are packed into blocks of bounded size; each query block meets each candidate block of its
-dimension once, through an equi-join on the candidate block's number. One task streams block pairs and keeps only the
-k-th best score per query of the current query block. Best rows of each pair are cut to k per query by a window rank,
-which Spark limits before its shuffle too.
+dimension once, through an equi-join on the candidate block's number. One task streams ``LANE`` candidate blocks for a query
+block and keeps only the k-th best score per query. Best rows of each pair are cut to k per query by a window rank, which
+Spark limits before its shuffle too. Scores are exact integers of any size inside tasks, and travel as two 64-bit halves.
 
 Defined cases: vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without an
-id. Vectors of different length are never compared. Rows that repeat an id are candidates for others, once per
-distinct vector, but not for their own id. Ties in score go to the smaller id. Empty input gives an empty result.
+id. Vectors of different length are never compared. Each row is a candidate of its own, but not for its own id; rows that
+repeat an id rank together as queries. Ties in score go to the smaller id. A component that doesn't fit 64 bits once scaled,
+or one of the best scores that doesn't, is an error that says so. Long vectors: a block holds ``block_rows`` of them. Other
+columns are ignored; empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window
 
 from modelaudit.llm.storage import materialize
 
-LEVELS = (4, 16)
+LEVELS, LANE, HALF = (4, 16, 32), 16, 62
 
 
 def _matrix(cells: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -35,10 +37,10 @@ def _matrix(cells: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def pack_blocks(vectors: DataFrame, block_rows: int, name: str) -> DataFrame:
-    """Rows (id, ints array<long>) as blocks (dim, block, ids binary, data binary). Blocks are dealt by the hash of the id."""
+    """Rows (row, id, ints array<long>) as blocks (dim, block, ids binary, data binary), dealt by the hash of the row's number."""
     sizes = vectors.groupBy(F.size("ints").alias("dim")).count().select("dim", F.ceil(F.col("count") / block_rows).cast("int").alias("n_blocks"))
     dealt = vectors.withColumn("dim", F.size("ints")).join(sizes, "dim")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", "ints"), F.col("n_blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int"))
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         ints = table["ints"].combine_chunks()
@@ -72,8 +74,9 @@ def _pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, fl
     alive = np.ones((len(q), len(c)), dtype=bool)
     head = (fq @ fc[:first].T) if exact else (q @ c[:first].T).astype(float)
     head[q_ids[:, None] == c_ids[None, :first]] = -np.inf
+    below = (lambda x: x) if exact else (lambda x: np.nextafter(x, -np.inf))  # a rounded score may lie above the true one
     if first >= k:
-        np.maximum(floor, np.partition(head, first - k, axis=1)[:, first - k], out=floor)
+        np.maximum(floor, below(np.partition(head, first - k, axis=1)[:, first - k]), out=floor)
     for segments in LEVELS:
         if segments >= q.shape[1]:
             break
@@ -89,19 +92,21 @@ def _pair(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, fl
             if keep.any():
                 ids, best = _best(c_ids[at][keep], scores[keep], k)
                 if len(best) == k:
-                    floor[i] = max(floor[i], float(best[-1]))
+                    floor[i] = max(floor[i], below(float(best[-1])))
                 yield i, ids, best
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id", vector: str = "embedding", scale: float = 256.0, query_rows: int = 512, block_rows: int = 4096) -> DataFrame:
     """For each row where ``is_query``: the ``k`` largest integer products with all other rows, as (query_id, rank, vec_id, score)."""
     sound = F.col(vector).isNotNull() & (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.filter(F.col(id).isNotNull() & sound).select(F.col(id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("ints"), is_query.alias("is_query"))
-    rows = materialize(rows.groupBy("id", "ints").agg(F.max("is_query").alias("is_query")), "topk-vectors")
+    scaled = lambda x: x.cast("double") * scale
+    whole = lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).otherwise(F.raise_error(F.lit("a scaled component is beyond 64 bits")).cast("long"))
+    rows = vectors.filter(F.col(id).isNotNull() & sound).select(F.col(id).cast("long").alias("id"), F.transform(vector, whole).alias("ints"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
     queries, candidates = pack_blocks(rows.filter("is_query"), query_rows, "q"), pack_blocks(rows, block_rows, "c")
     counts = rows.groupBy(F.size("ints").alias("dim")).count().select("dim", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
     spread = queries.join(counts, "dim").withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    pairs = spread.join(candidates, ["dim", "c_block"]).withColumn("lane", F.pmod(F.col("c_block"), F.lit(8)))
+    pairs = spread.join(candidates, ["dim", "c_block"]).withColumn("lane", F.floor(F.col("c_block") / LANE))
     pairs = pairs.repartition("dim", "q_block", "lane").sortWithinPartitions("dim", "q_block", "c_block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +120,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
                     at, floor = (dim, block), np.full(len(q_ids), -np.inf)
                 found = list(_pair(q_ids, _matrix(row["q_data"], dim), c_ids, _matrix(row["c_data"], dim), floor, k))
                 if found:
-                    yield pa.RecordBatch.from_pydict({"query_id": np.concatenate([np.full(len(i), q_ids[n]) for n, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]), "score": pa.array([int(x) for _, _, s in found for x in s], pa.int64())})
-
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    scores = [int(x) for _, _, s in found for x in s]
+                    yield pa.RecordBatch.from_pydict({
+                        "query_id": np.concatenate([np.full(len(i), q_ids[n]) for n, i, _ in found]), "vec_id": np.concatenate([i for _, i, _ in found]),
+                        "high": pa.array([max(-(1 << HALF), min(x >> HALF, 1 << HALF)) for x in scores], pa.int64()), "low": pa.array([x & ((1 << HALF) - 1) for x in scores], pa.int64()),
+                    })
+
+    found = pairs.mapInArrow(search, "query_id long, vec_id long, high long, low long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("low"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    beyond = F.raise_error(F.concat(F.lit("the score of "), F.col("query_id").cast("string"), F.lit(" and "), F.col("vec_id").cast("string"), F.lit(" is beyond 64 bits"))).cast("long")
+    return best.select("query_id", "rank", "vec_id", F.when(F.col("high").between(-2, 1), F.shiftleft(F.col("high"), HALF).bitwiseOR(F.col("low"))).otherwise(beyond).alias("score"))
 
 
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

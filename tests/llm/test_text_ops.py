@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -55,8 +56,18 @@ def empty(spark):
 def test_tokens_equal_plain_encoding(texts, name):
     coder, plain = tokens.Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
     more = ["a   b", " \n", "\n ", "a \nb", "don't stop", "ÀÉÎ×÷ßİı", "\x1ca \x1c b", "\x85 a", "﻿abc ﻿", "日本 語", "a\n\n b  c", "é ́x"]
-    for t in [x or "" for x in texts] + more:
-        assert list(np.frombuffer(coder.encode([t])[0], "<u4")) == plain.encode(t, add_special_tokens=False).ids, t[:50]
+    every = [x or "" for x in texts] + more
+    for t in every:
+        assert list(np.frombuffer(coder.encode(pa.array([t]))[0], "<u4")) == plain.encode(t, add_special_tokens=False).ids, t[:50]
+    parts = list(tokens.slices(pa.array([None, *every]), 50))
+    assert [first for first, _ in parts] == np.cumsum([0] + [len(x) for _, x in parts])[:-1].tolist() and len(parts) > 20
+    assert [x for _, part in parts for x in coder.encode(part)] == [b""] + coder.encode(pa.array(every))
+    tokens.KNOWN_BYTES, before = 2000, tokens.KNOWN_BYTES
+    try:
+        assert [x for _, part in parts for x in coder.encode(part)] == [b""] + coder.encode(pa.array(every))
+        assert coder.known.nbytes < 1 << 20
+    finally:
+        tokens.KNOWN_BYTES = before
 
 
 def test_plan_fills_every_slot():
@@ -168,6 +179,33 @@ def test_near_duplicates(spark, docs, texts, odd):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_words_are_hashed_alike_in_chunks():
+    rng = random.Random(6)
+    text = (words(rng, 4000) + "\n\n" + "x" * 3000 + " \t" + words(rng, 50) + " ").encode()
+    with np.errstate(over="ignore"):
+        whole = near_dup.word_hashes(text)
+        assert len(whole) == len(text.split()) and len(set(whole.tolist())) == len(set(text.split()))
+        for chunk in (1, 7, 100, 2999, 3000, 10_000):
+            assert (near_dup.word_hashes(text, chunk) == whole).all()
+        giant = b"y" * (near_dup.CHUNK + 5)
+        assert near_dup.word_hashes(giant + b" end")[1] == near_dup.word_hashes(b"end")[0] and len(near_dup.word_hashes(giant)) == 1
+
+
+def test_one_of_each(spark):
+    """Repeated and missing ids: one row of each component stays, and no text is lost with another's id."""
+    a, b, c, d = ("a b c d e f g", "h i j k l m n o", "p q r s t u v", "w x y z q q1 q2 q3")
+    rows = [(0, a), (1, a), (1, b), (None, a), (2, c), (2, c), (2, c + " "), (None, d), (None, d), (None, d + "\n"), (3, None), (3, None), (None, ""), (4, b), (5, "w1 w2")]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, component int").selectExpr("*", "'x' AS `_again`", "'y' AS stays")
+    left = near_dup.one_of_each(df)
+    assert left.columns == df.columns
+    sets = [shingle_set(t) for _, t in rows]
+    got = sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    kept = [shingle_set(t) for _, t in got]
+    assert sorted(map(sorted, (s for s in kept if s))) == sorted(map(sorted, {s for s in sets if s}))
+    assert {(0, a), (1, b), (5, "w1 w2")} <= set(got) and sum(t is None for _, t in got) == 2 and (None, "") in got and {i for i, t in got if t and t.startswith("p")} == {2}
+    assert near_dup.one_of_each(df.limit(0)).count() == 0
+
+
 def test_near_duplicates_of_a_large_spread_group(spark):
     """Copies with many random edits: links are few and lie on both sides of the threshold."""
     rng = random.Random(9)
@@ -184,6 +222,31 @@ def test_near_duplicates_of_a_large_spread_group(spark):
     assert got == dict(enumerate(labels))
 
 
+def brute_licenses(text):
+    """Labels and score by going through all places of all templates."""
+    w, out = text.split(), {}
+    for n, (template, label) in enumerate([*licenses.PHRASES.items(), *licenses.NOTICES.items()]):
+        t, places = template.split(), {}
+        for p in range(len(w) - 1):
+            for q in range(len(t) - 1):
+                if w[p : p + 2] == t[q : q + 2]:
+                    places.setdefault(p - q, set()).add(q)
+        if n < len(licenses.PHRASES):
+            if any(len(x) == len(t) - 1 for x in places.values()):
+                out[label] = 1.0
+            continue
+        runs, last = [], None
+        for diagonal in sorted(d for d, x in places.items() if len(x) >= 2):
+            if last is None or diagonal - last > licenses.NEAR_DIAGONAL:
+                runs.append(set())
+            runs[-1] |= {q + k for q in places[diagonal] for k in (0, 1)}
+            last = diagonal
+        best = max((len(x) / len(t) for x in runs), default=0)
+        if best >= licenses.SHARE:
+            out[label] = max(best, out.get(label, 0))
+    return ",".join(sorted(out)), max(out.values(), default=0.0)
+
+
 def test_licenses(spark, docs, texts, odd):
     phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
@@ -196,6 +259,20 @@ def test_licenses(spark, docs, texts, odd):
     assert got[11].labels == "mit,mit-notice"
     broken = spark.createDataFrame([(1, "this work is now licensed under the gnu general public license version 3")], "doc_id long, text string")
     assert licenses.scan(broken).first().labels == "gpl,gpl-3.0"  # a word put in: two diagonals are merged
+    rng = random.Random(14)
+    texts = []
+    for text in licenses.NOTICES:
+        w = text.split()
+        for gone in range(0, len(w), 3):
+            texts.append(" ".join(words(rng, 4).split() + w[:gone] + w[gone + 1 :] + words(rng, 3).split()))  # a word left out
+            texts.append(" ".join(w[:gone] + words(rng, 2).split() + w[gone:]))  # words put in
+            texts.append(" ".join(w[: len(w) - gone]))  # the end left out
+            texts.append(" ".join(x if i % 3 else "zz" for i, x in enumerate(w)))
+    found = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        labels, score = brute_licenses(t)
+        assert (found[i].labels, round(found[i].score, 9)) == (labels, round(score, 9)), t
+    assert {"mit-text", "bsd-text", "mpl-2.0"} <= {x for r in found.values() for x in r.labels.split(",")} and "" in {r.labels for r in found.values()}
     assert licenses.scan(odd).count() == 6 and licenses.scan(empty(spark)).count() == 0
 
 
@@ -206,6 +283,9 @@ def test_line_dedup(spark, docs):
     assert got[0].clean_text == "own line 0\n\nrest 0" and got[0].n_dropped == 2 and got[0].n_lines == 5
     assert got[1].clean_text == "alone 1" and got[21].clean_text == "own line 21\n\nrest 21"
     assert got[98].clean_text is None and got[99].clean_text == ""
+    small = spark.createDataFrame([(i, h, f"menu\nown {h} {i}") for h, n in (("four", 4), ("five", 5)) for i in range(n)], "doc_id long, source string, text string")
+    dropped = {(r.source, r.n_dropped) for r in line_dedup.drop_boilerplate(small).collect()}
+    assert dropped == {("four", 0), ("five", 1)} and line_dedup.MIN_PAGES == 5  # on fewer pages a line is no boilerplate
     assert line_dedup.drop_boilerplate(empty(spark)).count() == 0
     assert line_dedup.drop_boilerplate(docs).count() == docs.count()
 
@@ -222,10 +302,15 @@ def test_decontamination(spark, docs, odd):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS shift", "2 AS item", "3 AS `_id`")
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)] + [(9, items[0]), (10, None), (11, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(df.select("doc_id", "text"), bench).collect()}
-    assert set(got) == {(1, 0), (2, 1), (7, 2), (None, 0)}
+    assert set(got) == {(1, 0), (2, 1), (6, 3), (7, 2), (None, 0)}
     assert got[1, 0].matched == 14 and got[1, 0].first_word == 9 and got[2, 1].matched == 23 and got[7, 2].matched == 25
     kept = decontam.decontaminate(df, bench)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "3", "4", "5", "6"] and kept.columns == df.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["0", "1", "3", "4", "5"] and kept.columns == df.columns
+    again = decontam.overlaps(df.union(df).select("doc_id", "text"), bench).collect()
+    assert len(again) == len(got)  # rows that repeat an id and text have one result
+    long = spark.createDataFrame([(1, words(rng, 60_000) + " " + items[2] + " " + words(rng, 60_000))], "doc_id long, text string")
+    assert [(r.item_id, r.first_word) for r in decontam.overlaps(long, bench).collect()] == [(2, 60_000)]
+    assert decontam.overlaps(docs.select("doc_id", "text"), bench).count() == 0 and decontam.overlaps(odd, spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")).count() == 3
     assert decontam.overlaps(empty(spark), bench).count() == 0
     assert decontam.overlaps(df, bench.limit(0)).count() == 0
 
@@ -250,6 +335,22 @@ def test_quality(spark, docs):
     assert 0 < len(model.rules) < 60
     got = quality.score_documents(df, model).join(marks, "doc_id").filter(quality.held_out(F.col("doc_id")) & F.col("label").isNotNull())
     assert got.filter("predicted = label").count() >= 0.97 * got.count() > 50
+    # the compiled rules against plain Python, on values of the statistics read off the texts
+    spoken = {r.doc_id: r.score for r in quality.score_documents(df, model).collect()}
+    for i, text in rows:
+        values = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+        total = model.base + sum(weight for rule, weight in model.rules if all((values[n] <= t) if below else (values[n] > t) for n, below, t in rule))
+        assert spoken[i] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-12)
+    # lasso: at the optimum no rule's gradient is larger than the penalty, and those in use have just that
+    penalty, known = 0.01, {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 5}
+    lasso = quality.fit(df, marks.filter(~quality.held_out(F.col("doc_id"))), penalty=penalty)
+    held = {r.doc_id: r.score for r in quality.score_documents(df, lasso).collect()}
+    for rule, weight in lasso.rules:
+        fits = {i: float(all((v[n] <= t) if below else (v[n] > t) for n, below, t in rule)) for i, text in rows if i in known for v in [dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))]}
+        slope = sum((held[i] - known[i]) * fits[i] for i in known) / len(known)
+        assert slope == pytest.approx(-math.copysign(penalty, weight), abs=2e-3)
+    repeated = quality.score_documents(df.limit(5).union(df.limit(5)), model)
+    assert repeated.count() == 10 and repeated.groupBy("doc_id").agg(F.count_distinct("score").alias("n")).filter("n > 1").count() == 0
     more = quality.score_documents(docs, model)
     assert more.count() == docs.count() and more.filter("score is null or score < 0 or score > 1").count() == 0
     assert {r.score for r in quality.score_documents(df.limit(3), quality.fit(df, marks.limit(0))).collect()} == {0.5}
@@ -267,34 +368,40 @@ def test_near_duplicates_that_agree_in_whole_trees(spark):
 
 
 def test_no_accepted_overlap_is_without_a_seed():
-    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):  # shorter texts have masks of all their words
         masks = [[i for i, x in enumerate(m) if x == "1"] for m in (decontam.MASKS if n == decontam.WINDOW else decontam.SHORT_MASKS)]
         for equal in itertools.product((False, True), repeat=n):
             if sum(equal) >= math.ceil(n * decontam.SHARE):
                 assert any(all(equal[i + j] for j in m) for m in masks for i in range(n - m[-1])), equal
 
 
-def test_decontamination_equals_a_seedless_search(spark):
+def test_decontamination_equals_a_seedless_search(spark, monkeypatch):
     rng = random.Random(8)
-    items = [words(rng, n).split() for n in (10, 11, 12, 13, 15, 30)]
-    rows = [[]]
+    items = [words(rng, n).split() for n in (10, 11, 12, 13, 15, 30, 1, 4, 5, 9)]
+    rows = [[], *items[6:], items[7] + ["more"], items[8][:4]]
     for item in items:
-        for gone in itertools.combinations(range(min(len(item), 15)), 2 if len(item) < 15 else 3):
+        for gone in itertools.combinations(range(min(len(item), 15)), 1 if len(item) < 10 else 2 if len(item) < 15 else 3):
             rows.append([f"x{i}" if i in gone else w for i, w in enumerate(item)])
         rows += [item[1:], item[:-1], item[2:], item[:-2], item[2:-1]]
-    rows = [r if k % 2 else words(rng, 3).split() + r + words(rng, 4).split() for k, r in enumerate(rows)]
+    rows = [r if k % 2 or k < 7 else words(rng, 3).split() + r + words(rng, 4).split() for k, r in enumerate(rows)]
     want = {}
     for d, r in enumerate(rows):
         for b, item in enumerate(items):
             width = min(len(item), decontam.WINDOW)
             for shift in range(-len(item), len(r)):
                 equal = [0 <= shift + j < len(r) and r[shift + j] == w for j, w in enumerate(item)]
-                if max(sum(equal[i : i + width]) for i in range(len(item) - width + 1)) >= math.ceil(width * decontam.SHARE):
+                if len(item) < decontam.SPAN:
+                    if all(equal) and (len(item) >= decontam.LEAST or len(r) == len(item)):
+                        want[d, b] = len(item)
+                elif max(sum(equal[i : i + width]) for i in range(len(item) - width + 1)) >= math.ceil(width * decontam.SHARE):
                     want[d, b] = max(sum(equal), want.get((d, b), 0))
     docs = spark.createDataFrame([(d, " ".join(r)) for d, r in enumerate(rows)], "doc_id long, text string")
     bench = spark.createDataFrame([(b, " ".join(x)) for b, x in enumerate(items)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.matched for r in decontam.overlaps(docs, bench).collect()}
-    assert got == want and len(want) > 800
+    for limit in (decontam.BROADCAST_BYTES, 0):  # broadcast, shuffled
+        monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+        got = {(r.doc_id, r.item_id): r.matched for r in decontam.overlaps(docs, bench).collect()}
+        assert got == want and len(want) > 800
+    assert {b for _, b in want} == set(range(len(items)))
 
 
 def test_near_duplicates_that_share_a_template(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 SEED = 42
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once a row and use it in ``body``; referred to by name, it may be written out at each use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash01(text: Column) -> Column:
     """A number in [0, 1) from a text, the same in every engine that has md5."""
     return F.conv(F.substring(F.md5(text.cast("string")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
@@ -67,11 +72,3 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_key(a: Column) -> Column:
     """A key of a vector's exact values."""
     return F.md5(F.array_join(F.transform(a, lambda x: x.cast("string")), ","))
-
-
-def fingerprint(value: Column, decimals: int = 6) -> list[Column]:
-    """P10 without entropy: aggregates of a group's values, each rounded."""
-    quantiles = F.percentile(value, F.lit([0.1, 0.25, 0.5, 0.75, 0.9]))
-    parts = {"mean": F.avg(value), "std": F.stddev_pop(value), "skew": F.skewness(value), "kurtosis": F.kurtosis(value)}
-    parts |= {f"p{q}": F.get(quantiles, F.lit(i)) for i, q in enumerate((10, 25, 50, 75, 90))}
-    return [F.round(c, decimals).alias(n) for n, c in parts.items()]

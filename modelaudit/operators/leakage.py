@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modelaudit.functions.ranges import percentiles
+
 PAIRS = (("train", "val"), ("train", "test"), ("val", "test"))
 
 
@@ -23,6 +25,37 @@ def hash_leak_pairs(items: DataFrame, hash: str = "hash", split: str = "split")
     return per.select(F.inline(F.array(*rows))).groupBy("split_a", "split_b").agg(F.sum("pairs").alias("pairs"), F.sum("b_items").alias("b_items"))
 
 
+def leak_members(items: DataFrame, hash: str = "hash", split: str = "split", key: str = "item_id", klass: str = "class") -> DataFrame:
+    """(hash, split, key, class) of every item whose key occurs in more than one split: the sides of all leaking pairs, one row
+    an item, so m copies against n give m + n rows."""
+    per = _per_key(items, hash, split)
+    spans = (F.col("train") > 0).cast("int") + (F.col("val") > 0).cast("int") + (F.col("test") > 0).cast("int") > 1
+    shared = per.filter(spans).select(F.col("hash").alias("_h"))
+    return items.join(shared, items[hash] == shared["_h"], "left_semi").select(F.col(hash).alias("hash"), split, key, klass)
+
+
+def fingerprints(rows: DataFrame, by: list[str], value: str, decimals: int = 6, bins: int = 256, span: tuple[float, float] = (0.0, 256.0)) -> DataFrame:
+    """P10: a group's mean, std, skewness, kurtosis, five percentiles and the entropy of its histogram over ``span`` (values
+    outside are left out of the histogram), each rounded."""
+    moments = rows.groupBy(*by).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurtosis"))
+    places = {f"p{q}": q / 100 for q in (10, 25, 50, 75, 90)}
+    middle = percentiles(rows, by, value, places)
+    lo, hi = span
+    at = F.least(F.floor((F.col(value) - lo) / F.lit((hi - lo) / bins)), F.lit(bins - 1))
+    cells = rows.filter(F.col(value).between(lo, hi)).groupBy(*by, at.alias("_at")).agg(F.count("*").alias("_n"))
+    # sum of p * log2(p) with p = n / all, from sums that need no second pass
+    sums = cells.groupBy(*by).agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.log2("_n")).alias("_nlogn"))
+    entropy = sums.select(*by, (F.log2("_all") - F.col("_nlogn") / F.col("_all")).alias("entropy"))
+    out = moments
+    for more in (middle, entropy):
+        more = more.withColumnsRenamed({c: f"_of_{c}" for c in by})
+        on = F.lit(True)
+        for c in by:
+            on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        out = out.join(more, on, "left").drop(*[f"_of_{c}" for c in by])
+    return out.select(*by, *[F.round(c, decimals).alias(c) for c in ("mean", "std", "skew", "kurtosis", *places)], F.round(F.coalesce("entropy", F.lit(0.0)), decimals).alias("entropy"))
+
+
 def leak_examples(items: DataFrame, hash: str = "hash", split: str = "split", key: str = "item_id", most: int = 20) -> DataFrame:
     """J1 with K5: example pairs, at most ``most`` for each two splits, of the smallest ids of each shared key."""
     per = items.filter(F.col(hash).isNotNull()).groupBy(F.col(hash).alias("hash")).agg(*[F.min(F.when(F.col(split) == s, F.col(key))).alias(s) for s in ("train", "val", "test")])

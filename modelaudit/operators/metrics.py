@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modelaudit.functions.items import let
+from modelaudit.functions.ranges import cut_points, percentiles, range_of, running_before
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -50,21 +53,20 @@ def headline(counts: DataFrame, k: int, by: Sequence[str] = ("model",)) -> DataF
     )
 
 
-def roc_auc(preds: DataFrame, k: int, by: Sequence[str] = ("model",), bins: int = 64) -> DataFrame:
+def roc_auc(preds: DataFrame, k: int, by: Sequence[str] = ("model",)) -> DataFrame:
     """E5: unweighted mean of one-vs-rest AUCs by midranks; null where a class is missing or probabilities don't sum to 1.
 
-    Rows are counted by class and distinct score first. The running counts are taken in ``bins`` ranges of the score, with
-    what lies below a range added from a table of range totals, so no class is one task.
+    Rows are counted by class and distinct score first. The running counts are taken in ranges between quantiles of the score,
+    so neither a class nor scores that crowd near 0 and 1 are one task.
     """
-    long = preds.select(*by, "y_true", F.posexplode("y_prob").alias("label", "score"), (F.abs(F.aggregate("y_prob", F.lit(0.0), lambda a, x: a + x) - 1) > 1e-3).cast("int").alias("odd"))
+    cells = lambda p: F.struct((F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-3).cast("int").alias("odd"), p.alias("p"))
+    # outer: for an inner one Spark infers a filter on the array and computes it once more to test that
+    long = preds.select(*by, "y_true", let(F.col("y_prob"), cells).alias("s")).select(*by, "y_true", F.col("s.odd").alias("odd"), F.posexplode_outer("s.p").alias("label", "score")).filter("label is not null")
     positive = (F.col("y_true") == F.col("label")).cast("long")
     scores = long.groupBy(*by, "label", "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"), F.max("odd").alias("odd"))
-    scores = scores.withColumn("bin", F.least(F.greatest(F.floor(F.col("score") * bins), F.lit(0)), F.lit(bins - 1)).cast("int"))
-    in_class = Window.partitionBy(*by, "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    below = scores.groupBy(*by, "label", "bin").agg(F.sum("neg").alias("bin_neg")).withColumn("base", F.coalesce(F.sum("bin_neg").over(in_class), F.lit(0))).drop("bin_neg")
-    in_bin = Window.partitionBy(*by, "label", "bin").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("under", F.coalesce(F.sum("neg").over(in_bin), F.lit(0))).join(below, [*by, "label", "bin"])
-    u = F.sum(F.col("pos") * (F.col("base") + F.col("under") + F.col("neg") / 2))
+    scores = scores.withColumn("bin", range_of(F.col("score"), cut_points(long, "score")))
+    ranked = running_before(scores, [*by, "label"], [F.col("score")], F.col("neg"), "under", "bin")
+    u = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
     each = ranked.groupBy(*by, "label").agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("odd").alias("odd"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n")))
     out = each.groupBy(*by).agg(F.avg(auc).alias("auc"), F.count(auc).alias("labels"), F.max("odd").alias("odd"))
@@ -79,21 +81,37 @@ def metrics_table(counts: DataFrame, k: int, stages: Sequence[str]) -> DataFrame
     return both.groupBy("label").pivot("stage", list(stages)).agg(F.first("precision").alias("precision"), F.first("recall").alias("recall"), F.first("f1").alias("f1"))
 
 
-def cv_stability(fold_metrics: DataFrame, test: DataFrame) -> DataFrame:
-    """Mean, population std, min and max of fold F1 per label, and how many of them the test F1 is away, with a verdict.
-    ``fold_metrics``: (label, fold, f1); ``test``: (label, test_f1)."""
-    s = fold_metrics.groupBy("label").agg(F.avg("f1").alias("mean"), F.stddev_pop("f1").alias("std"), F.min("f1").alias("least"), F.max("f1").alias("most")).join(test, "label")
-    away = F.when(F.col("std") >= 1e-9, (F.col("test_f1") - F.col("mean")) / F.col("std"))
+def long_metrics(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, label, metric, value) of a ``per_class`` table: precision, recall and F1 of each label, and their means (label null)."""
+    long = table.select(*by, "label", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision", "recall", "f1")])))
+    means = long.groupBy(*by, "metric").agg(F.avg("value").alias("value")).withColumn("label", F.lit(None).cast("int"))
+    return long.unionByName(means)
+
+
+def cv_stability(folds: DataFrame, test: DataFrame) -> DataFrame:
+    """Mean, population std, min and max over folds of each label's precision, recall and F1 and of their means (label
+    null), and how many stds the test value is away, with a verdict. ``folds``: ``per_class`` by fold; ``test``: ``per_class``."""
+    s = long_metrics(folds, ("fold",)).groupBy("label", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("least"), F.max("value").alias("most"))
+    t = long_metrics(test).select(F.col("label").alias("_l"), F.col("metric").alias("_m"), F.col("value").alias("test"))
+    s = s.join(t, s["label"].eqNullSafe(t["_l"]) & (s["metric"] == t["_m"])).drop("_l", "_m")
+    away = F.when(F.col("std") >= 1e-9, (F.col("test") - F.col("mean")) / F.col("std"))
     far = F.abs(F.col("sigma"))
     return s.withColumn("sigma", away).withColumn("verdict", F.when(far.isNull(), "skipped").when(far >= 1.5, "structural mismatch").when(far >= 1, "borderline").otherwise("within bounds"))
 
 
 def gap(reports: DataFrame, key: str, between: str, first: str, second: str, value: str) -> DataFrame:
-    """The same model's value in two settings, and first minus second."""
+    """The same model's value in two settings, and first minus second."""
     wide = reports.groupBy(key).pivot(between, [first, second]).agg(F.first(value))
     return wide.withColumn("gap", F.col(first) - F.col(second))
 
 
+def val_test_gap(epochs: DataFrame, test: DataFrame, key: str = "run") -> DataFrame:
+    """The best validation macro-F1 of a run's epochs minus the run's macro-F1 on test. ``epochs``: (key, val_macro_f1), a
+    row an epoch; ``test``: (key, macro_f1). Runs that lack either are left out."""
+    best = epochs.groupBy(key).agg(F.max("val_macro_f1").alias("best_val")).filter(F.col("best_val").isNotNull())
+    return best.join(test.select(key, F.col("macro_f1").alias("test")), key).withColumn("gap", F.col("best_val") - F.col("test"))
+
+
 def error_counts(preds: DataFrame) -> DataFrame:
     """Errors counted, and the count that accuracy and n give, half to even."""
     wrong = (F.col("y_true") != F.col("y_pred")).cast("long")
@@ -103,8 +121,10 @@ def error_counts(preds: DataFrame) -> DataFrame:
 
 def confidence_by_outcome(preds: DataFrame) -> DataFrame:
     """Mean and median confidence of right and wrong predictions."""
-    c = F.get("y_prob", F.col("y_pred"))
-    return preds.groupBy("model", (F.col("y_true") == F.col("y_pred")).alias("correct")).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"))
+    rows = preds.select("model", (F.col("y_true") == F.col("y_pred")).alias("correct"), F.get("y_prob", F.col("y_pred")).alias("c"))
+    middle = percentiles(rows, ["model", "correct"], "c", {"median": 0.5}).withColumnsRenamed({"model": "_m", "correct": "_c"})
+    sums = rows.groupBy("model", "correct").agg(F.count("*").alias("n"), F.avg("c").alias("mean"))
+    return sums.join(middle, F.col("model").eqNullSafe(F.col("_m")) & F.col("correct").eqNullSafe(F.col("_c")), "left").drop("_m", "_c")
 
 
 def true_class_rank(preds: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.functions.items import cosine, hash01
-from modelaudit.operators.splits import random_pool
+from modelaudit.functions.items import cosine, hash01, vector_key
+from modelaudit.functions.ranges import cut_points, range_of, running_before
+from modelaudit.operators.splits import random_pool, ranked
+from modelaudit.sources.shared import materialize
 
 BLOCK = 2048
 
@@ -33,12 +35,16 @@ def _unit(cell: pa.ListScalar) -> np.ndarray:
     return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
 
 
-def top_neighbours(b: DataFrame, a: DataFrame, key: str = "item_id", k: int = 1, at_least: float | None = None, block: int = BLOCK) -> DataFrame:
-    """(b_id, a_id, sim): for each row of ``b`` the k most similar rows of ``a`` by cosine (smaller a_id on ties), or, with
-    ``at_least``, all that are at least so similar. Never a row with itself."""
+def _block_pairs(b: DataFrame, a: DataFrame, key: str, block: int) -> DataFrame:
+    """(b_block, a_block, b_ids, b_vecs, a_ids, a_vecs): each pair of blocks is a key of its own, so pairs spread over all tasks."""
     n_a, n_b = (max(1, -(-x.count() // block)) for x in (a, b))
-    spread = _blocks(b, "b", key, n_b).withColumn("a_block", F.explode(F.sequence(F.lit(0), F.lit(n_a - 1))))
-    pairs = spread.join(_blocks(a, "a", key, n_a), "a_block")
+    to = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return to(_blocks(b, "b", key, n_b), "a_block", n_a).join(to(_blocks(a, "a", key, n_a), "b_block", n_b).hint("shuffle_hash"), ["a_block", "b_block"])
+
+
+def top_neighbours(b: DataFrame, a: DataFrame, key: str = "item_id", k: int = 1, block: int = BLOCK) -> DataFrame:
+    """(b_id, a_id, sim, rank): for each row of ``b`` the k most similar rows of ``a`` by cosine (smaller a_id on ties). Never a
+    row with itself."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,21 +52,44 @@ def top_neighbours(b: DataFrame, a: DataFrame, key: str = "item_id", k: int = 1,
                 b_ids, a_ids = (np.array(batch[x][r].as_py(), np.int64) for x in ("b_ids", "a_ids"))
                 sims = np.round(_unit(batch["b_vecs"][r]) @ _unit(batch["a_vecs"][r]).T, 9)
                 sims[b_ids[:, None] == a_ids[None, :]] = -np.inf
-                if at_least is not None:
-                    i, j = np.nonzero(sims > at_least)
-                else:
-                    order = np.lexsort((np.broadcast_to(a_ids, sims.shape), -sims), axis=1)[:, :k]
-                    i, j = np.repeat(np.arange(len(b_ids)), order.shape[1]), order.ravel()
+                order = np.lexsort((np.broadcast_to(a_ids, sims.shape), -sims), axis=1)[:, :k]
+                i, j = np.repeat(np.arange(len(b_ids)), order.shape[1]), order.ravel()
                 keep = np.isfinite(sims[i, j])
                 yield pa.RecordBatch.from_pydict({"b_id": b_ids[i][keep], "a_id": a_ids[j][keep], "sim": sims[i, j][keep]})
 
-    found = pairs.select("b_ids", "b_vecs", "a_ids", "a_vecs").mapInArrow(search, "b_id long, a_id long, sim double")
-    if at_least is not None:
-        return found
+    found = _block_pairs(b, a, key, block).select("b_ids", "b_vecs", "a_ids", "a_vecs").mapInArrow(search, "b_id long, a_id long, sim double")
     rank = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("sim"), "a_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def spanning_links(rows: DataFrame, threshold: float, key: str = "item_id", block: int = BLOCK) -> DataFrame:
+    """(a, b): links between rows whose cosine is over ``threshold``; of each pair of blocks as many as join all that it joins,
+    so m alike rows give about m links a pair of blocks and not their square."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if batch["b_block"][r].as_py() > batch["a_block"][r].as_py():
+                    continue
+                b_ids, a_ids = (np.array(batch[x][r].as_py(), np.int64) for x in ("b_ids", "a_ids"))
+                sims = np.round(_unit(batch["b_vecs"][r]) @ _unit(batch["a_vecs"][r]).T, 9)
+                i, j = np.nonzero((sims > threshold) & (b_ids[:, None] != a_ids[None, :]))
+                ids, at = np.unique(np.concatenate([b_ids[i], a_ids[j]]), return_inverse=True)
+                up, kept = np.arange(len(ids)), []
+                for n, (x, y) in enumerate(zip(at[: len(i)].tolist(), at[len(i) :].tolist(), strict=True)):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    while up[y] != y:
+                        up[y] = y = up[up[y]]
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        kept.append(n)
+                yield pa.RecordBatch.from_pydict({"a": b_ids[i][kept], "b": a_ids[j][kept]})
+
+    pairs = _block_pairs(rows, rows, key, block)
+    return pairs.select("a_block", "b_block", "b_ids", "b_vecs", "a_ids", "a_vecs").mapInArrow(link, "a long, b long")
+
+
 def nearest_neighbour(b: DataFrame, a: DataFrame, key: str = "item_id") -> DataFrame:
     """Best match of each row, flagged near duplicate (sim >= 0.9999) or very close (>= 0.999)."""
     near = top_neighbours(b, a, key).drop("rank")
@@ -70,17 +99,20 @@ def nearest_neighbour(b: DataFrame, a: DataFrame, key: str = "item_id") -> DataF
 def k_nearest_by_id(test: DataFrame, train: DataFrame, number: str, key: str = "item_id", klass: str = "class", k: int = 5) -> DataFrame:
     """For each test row the k training rows of its class with the nearest numbers: (key, class, train_key, gap, sim).
 
-    The place of a test row among its class's training numbers is a running count; the 2k training rows around it come by
-    an equi-join on (class, place), and the k nearest of them (first in training order on ties) are kept. Classes with a pool of
-    k or fewer are left out. Numbers are unique in a class's pool.
+    The place of a test row among its class's training numbers is a running count, taken in ranges of the number; the 2k
+    training rows around it come by an equi-join on (class, place), and the k nearest of them (first in training order on ties)
+    are kept. Classes with a pool of k or fewer are left out. Numbers are unique in a class's pool.
     """
     pool = train.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("train_key"), F.col("features").alias("train_features"))
     asked = test.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("key"), "features")
     both = pool.select("class", "number", F.lit(None).cast("long").alias("key"), F.lit(1).alias("t")).unionByName(asked.select("class", "number", "key", F.lit(0).alias("t")))
-    upto = Window.partitionBy("class").orderBy("number", F.desc("t")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("place", F.sum("t").over(upto)).filter("t = 0").select("key", "class", F.col("number").alias("test_number"), "place")
-    ordered = Window.partitionBy("class").orderBy("number")
-    numbered = pool.withColumn("place", F.row_number().over(ordered)).withColumn("n", F.count("*").over(Window.partitionBy("class"))).filter(F.col("n") > k).drop("n")
+    bin = range_of(F.col("number"), cut_points(pool, "number"))
+    both = running_before(both.withColumn("_range", bin), ["class"], [F.col("number"), F.desc("t")], F.col("t"), "place", "_range")
+    placed = both.filter("t = 0").select("key", "class", F.col("number").alias("test_number"), "place")
+    numbered = running_before(pool.withColumn("_range", bin), ["class"], [F.col("number"), F.col("train_key")], F.lit(1), "before", "_range")
+    numbered = numbered.withColumn("place", F.col("before") + 1).drop("before", "_range")
+    large = pool.groupBy("class").count().filter(F.col("count") > k).select("class")
+    numbered = numbered.join(large, "class", "left_semi")
     around = placed.withColumn("place", F.explode(F.sequence(F.col("place") - k + 1, F.col("place") + k)))
     found = around.join(numbered, ["class", "place"]).withColumn("gap", F.abs(F.col("number") - F.col("test_number")))
     first = F.row_number().over(Window.partitionBy("key").orderBy("gap", "train_key"))
@@ -114,25 +146,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def dedup_near(items: DataFrame, threshold: float = 0.9999, key: str = "item_id") -> DataFrame:
     """Items with ``component`` (least id linked to them by cosine over the threshold) and whether they are kept."""
-    links = top_neighbours(items, items, key, at_least=threshold).select(F.col("b_id").alias("a"), F.col("a_id").alias("b"))
-    found = components(links)
-    out = items.select(key).join(found.withColumnRenamed("node", key), key, "left")
-    return out.select(key, F.coalesce("label", key).alias("component")).withColumn("kept", F.col(key) == F.col("component"))
+    keyed = items.filter(F.col("features").isNotNull()).select(key, "features", vector_key(F.col("features")).alias("_v"))
+    classes = keyed.groupBy("_v").agg(F.min(key).alias(key), F.min_by("features", key).alias("features"))  # equal vectors are one
+    found = components(spanning_links(classes.select(key, "features"), threshold, key)).select(F.col("node").alias("_n"), "label")
+    named = classes.select("_v", F.col(key).alias("_n")).join(found, "_n", "left").select(F.col("_v").alias("_w"), F.coalesce("label", "_n").alias("component"))
+    alike = F.lit(threshold < 1)  # equal vectors are linked unless nothing is
+    out = items.select(key, vector_key(F.col("features")).alias("_v")).join(named, F.col("_v") == F.col("_w"), "left")
+    return out.select(key, F.when(alike, F.coalesce("component", key)).otherwise(F.col(key)).alias("component")).withColumn("kept", F.col(key) == F.col("component"))
 
 
 def borderline_smote(rows: DataFrame, key: str = "item_id", klass: str = "class", m: int = 10, k: int = 5, seed: int = 42) -> DataFrame:
-    """(key, class, features, synthetic): ``rows`` and as many made-up ones as bring every class to the size of the largest.
+    """(key, class, features, synthetic, i): ``rows`` and as many made-up ones as bring every class to the size of the largest.
     Only rows of which at least half but not all of the m nearest are of other classes spawn; each new one lies between such a
-    row and one of its k nearest of the same class. A class without such rows gets none."""
+    row (whose key it has; ``i`` numbers a class's new rows) and one of its k nearest of the same class. Such rows take turns in
+    the order of their hash. A class without such rows gets none."""
     sizes = rows.groupBy(klass).count()
     need = sizes.join(F.broadcast(sizes.agg(F.max("count").alias("top")))).select(F.col(klass).alias("_c"), (F.col("top") - F.col("count")).alias("need"))
     minority = rows.join(F.broadcast(need.filter("need > 0")), F.col(klass) == F.col("_c")).drop("_c", "need")
     classes = rows.select(F.col(key).alias("a_id"), F.col(klass).alias("a_class"))
-    near = top_neighbours(minority, rows, key, k=m).join(classes, "a_id").join(minority.select(F.col(key).alias("b_id"), F.col(klass).alias("b_class")), "b_id")
+    near = materialize(top_neighbours(minority, rows, key, k=m), "smote-near").join(classes, "a_id").join(minority.select(F.col(key).alias("b_id"), F.col(klass).alias("b_class")), "b_id")
     other = near.groupBy("b_id", "b_class").agg(F.sum((F.col("a_class") != F.col("b_class")).cast("int")).alias("others"), F.count("*").alias("n"))
     danger = other.filter((F.col("others") * 2 >= F.col("n")) & (F.col("others") < F.col("n"))).select("b_id", "b_class")
-    w = Window.partitionBy("b_class").orderBy("b_id")
-    seeds = danger.withColumn("at", F.row_number().over(w) - 1).withColumn("of", F.count("*").over(Window.partitionBy("b_class")))
+    seeds = ranked(danger, "b_id", "b_class").withColumn("at", F.col("rank") - 1).withColumnRenamed("n", "of").drop("rank")
     made = need.filter("need > 0").withColumn("i", F.explode(F.sequence(F.lit(1), F.col("need"))))
     made = made.join(seeds.select("b_class", "of").distinct(), F.col("_c") == F.col("b_class")).drop("b_class")
     made = made.withColumn("at", F.pmod("i", "of")).join(seeds.drop("of"), (F.col("_c") == F.col("b_class")) & (seeds["at"] == F.pmod("i", "of"))).drop(seeds["at"])
@@ -142,5 +177,5 @@ def borderline_smote(rows: DataFrame, key: str = "item_id", klass: str = "class"
     made = made.join(partners, "b_id").withColumn("partner", F.get("partners", F.floor(draw("partner") * F.size("partners")).cast("int"))["a_id"])
     vectors = rows.select(F.col(key).alias("_k"), "features")
     made = made.join(vectors.select(F.col("_k").alias("b_id"), F.col("features").alias("fa")), "b_id").join(vectors.select(F.col("_k").alias("partner"), F.col("features").alias("fb")), "partner").withColumn("g", draw("gap"))
-    new = made.select(F.col("b_id").alias(key), F.col("_c").alias(klass), F.zip_with("fa", "fb", lambda a, b: a + F.col("g") * (b - a)).alias("features"), F.lit(True).alias("synthetic"))
-    return rows.select(key, klass, "features", F.lit(False).alias("synthetic")).unionByName(new)
+    new = made.select(F.col("b_id").alias(key), F.col("_c").alias(klass), F.zip_with("fa", "fb", lambda a, b: a + F.col("g") * (b - a)).alias("features"), F.lit(True).alias("synthetic"), F.col("i").cast("long").alias("i"))
+    return rows.select(key, klass, "features", F.lit(False).alias("synthetic"), F.lit(None).cast("long").alias("i")).unionByName(new)

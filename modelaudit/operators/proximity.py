@@ -8,16 +8,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from modelaudit.functions.ranges import cut_points, range_of, running_before
 
 
 def mann_whitney(values: DataFrame, klass: str = "class") -> DataFrame:
     """(class, n1, n2, u, p): U of ``side`` 1 over side 2 by midranks, and the one-sided normal p with tie and continuity
-    correction. Values are counted before they are ranked."""
+    correction. Values are counted before they are ranked, and ranked in ranges."""
     counts = values.groupBy(klass, "value").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == 2).cast("long")).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy(klass).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = F.col("a") + F.col("b")
-    out = counts.withColumn("below", below).groupBy(klass).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties"))
+    counts = running_before(counts.withColumn("bin", range_of(F.col("value"), cut_points(values, "value"))), [klass], [F.col("value")], F.col("b"), "below", "bin")
+    t = (F.col("a") + F.col("b")).cast("double")
+    out = counts.groupBy(klass).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties"))
     return out.withColumn("p", _tail("n1", "n2", "u", "ties")).drop("ties")
 
 
@@ -28,7 +29,7 @@ def _tail(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Ser
         var = a * b / 12 * ((n + 1) - t / (n * (n - 1))) if n > 1 else 0
         return 0.5 * math.erfc((u - a * b / 2 - 0.5) / math.sqrt(var) / math.sqrt(2)) if var > 0 else None
 
-    return pd.Series([p(*x) for x in zip(n1, n2, u, ties, strict=True)], dtype="float64")
+    return pd.Series([p(*map(float, x)) for x in zip(n1, n2, u, ties, strict=True)], dtype="float64")
 
 
 def effect_size(near: DataFrame, random: DataFrame, klass: str = "class") -> DataFrame:

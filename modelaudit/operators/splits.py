@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.functions.items import hash01, order_key
+from modelaudit.functions.items import SEED, hash01, order_key
 
 SPLITS = ("train", "val", "test")
 
@@ -33,10 +33,10 @@ def stratified_split(items: DataFrame, key: str, klass: str = "class", val: floa
     return rows.withColumn("split", _cut(F.col("rank"), F.col("n"), test, val)).drop("rank", "n")
 
 
-def ranked(items: DataFrame, key: str, klass: str = "class", shards: int = 64) -> DataFrame:
+def ranked(items: DataFrame, key: str, klass: str = "class", shards: int = 64, seed: int = SEED) -> DataFrame:
     """Add ``rank`` (from 1) in the hash order of each class and the class's ``n``. A class is ranked in ``shards`` ranges of
     its hash, whose counts add up, so a class with most rows is no single task."""
-    rows = items.withColumn("_o", order_key(F.col(key))).withColumn("_s", F.floor(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long") * F.lit(shards) / F.lit(65536)).cast("int"))
+    rows = items.withColumn("_o", order_key(F.col(key), seed)).withColumn("_s", F.floor(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long") * F.lit(shards) / F.lit(65536)).cast("int"))
     counts = rows.groupBy(F.col(klass).alias("_c"), F.col("_s").alias("_t")).count()
     by_class = Window.partitionBy("_c")
     counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(by_class.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("count").over(by_class)).drop("count")

@@ -149,15 +149,17 @@ def e13(spark, sf_dir):
 
 @query("e14_cv_stability", f"""WITH {SPLIT_PRED}, rk AS (SELECT item_id, (row_number() OVER (PARTITION BY class ORDER BY md5('42|' || item_id), item_id) - 1) % 5 AS fold FROM ord),
 cells AS (SELECT fold::VARCHAR AS fold, y_true, y_pred, count(*) AS n FROM sp JOIN rk ON sp.item_id = rk.item_id WHERE model = 'A' AND split <> 'test' GROUP BY 1, 2, 3 UNION ALL SELECT 'test', y_true, y_pred, count(*) FROM sp WHERE model = 'A' AND split = 'test' GROUP BY 1, 2, 3), {per_class_sql(by='fold')},
-s AS (SELECT label, avg(f1) FILTER (fold <> 'test') AS mean, stddev_pop(f1) FILTER (fold <> 'test') AS std, min(f1) FILTER (fold <> 'test') AS least, max(f1) FILTER (fold <> 'test') AS most, max(f1) FILTER (fold = 'test') AS test_f1 FROM pc GROUP BY label),
-z AS (SELECT *, CASE WHEN std >= 1e-9 THEN (test_f1 - mean) / std END AS sigma FROM s)
-SELECT label, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(most, 6) AS most, round(test_f1, 6) AS test_f1, round(sigma, 6) AS sigma, CASE WHEN sigma IS NULL THEN 'skipped' WHEN abs(sigma) >= 1.5 THEN 'structural mismatch' WHEN abs(sigma) >= 1 THEN 'borderline' ELSE 'within bounds' END AS verdict FROM z""")
+lg AS (SELECT fold, label, metric, value FROM (SELECT fold, label, precision, recall, f1 FROM pc) UNPIVOT (value FOR metric IN (precision, recall, f1))),
+al AS (SELECT * FROM lg UNION ALL SELECT fold, NULL, metric, avg(value) FROM lg GROUP BY fold, metric),
+s AS (SELECT label, metric, avg(value) FILTER (fold <> 'test') AS mean, stddev_pop(value) FILTER (fold <> 'test') AS std, min(value) FILTER (fold <> 'test') AS least, max(value) FILTER (fold <> 'test') AS most, max(value) FILTER (fold = 'test') AS test FROM al GROUP BY label, metric),
+z AS (SELECT *, CASE WHEN std >= 1e-9 THEN (test - mean) / std END AS sigma FROM s)
+SELECT label, metric, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(most, 6) AS most, round(test, 6) AS test, round(sigma, 6) AS sigma, CASE WHEN sigma IS NULL THEN 'skipped' WHEN abs(sigma) >= 1.5 THEN 'structural mismatch' WHEN abs(sigma) >= 1 THEN 'borderline' ELSE 'within bounds' END AS verdict FROM z""")
 def e14(spark, sf_dir):
     folds = splits.stratified_kfold(v.orders(spark, sf_dir), "item_id").select("item_id", "fold")
     rows = split_predictions(spark, sf_dir).filter("model = 'A'").join(folds, "item_id")
     f = metrics.per_class(metrics.cells(rows.filter("split <> 'test'"), ("fold",)), K, ("fold",))
-    t = metrics.per_class(metrics.cells(rows.filter("split = 'test'")), K).select("label", F.col("f1").alias("test_f1"))
-    return metrics.cv_stability(f, t).select("label", "verdict", *R6("mean", "std", "least", "most", "test_f1", "sigma"))
+    t = metrics.per_class(metrics.cells(rows.filter("split = 'test'")), K)
+    return metrics.cv_stability(f, t).select("label", "metric", "verdict", *R6("mean", "std", "least", "most", "test", "sigma"))
 
 
 def _split_macro(spark, sf_dir):
@@ -175,11 +177,6 @@ def e15(spark, sf_dir):
     return metrics.gap(_split_macro(spark, sf_dir), "model", "split", "train", "test", "macro_f1").select("model", *R6("train", "test", "gap"))
 
 
-@query("e16_val_test_gap", _gap_sql("val", "test"))
-def e16(spark, sf_dir):
-    return metrics.gap(_split_macro(spark, sf_dir), "model", "split", "val", "test", "macro_f1").select("model", *R6("val", "test", "gap"))
-
-
 @query("e17_error_count", f"WITH {v.PREDICTIONS}, e AS (SELECT model, count(*) FILTER (y_true <> y_pred) AS errors, count(*) AS n FROM predictions GROUP BY 1) SELECT *, CAST(round_even((1 - (1 - errors / n)) * n, 0) AS BIGINT) AS from_accuracy FROM e")
 def e17(spark, sf_dir):
     return metrics.error_counts(v.predictions(spark, sf_dir))

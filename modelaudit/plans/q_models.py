@@ -8,7 +8,8 @@ from modelaudit.functions import items as fn
 from modelaudit.operators import curves, ensembles, metrics, neighbours, paired, proximity, splits
 from modelaudit.plans import views as v
 from modelaudit.plans.catalog import query
-from modelaudit.plans.q_metrics import CELLS, K, per_class_sql
+from modelaudit.plans.q_metrics import CELLS, K, SPLIT_PRED, per_class_sql, split_predictions
+from modelaudit.sources.shared import shared_dir
 
 R6 = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
 
@@ -99,6 +100,21 @@ EPOCHS = f"""ev AS (SELECT user_id AS run, event_id, CAST(value AS DOUBLE) AS va
 ep AS (SELECT run, CASE WHEN epoch <= 5 THEN 1 ELSE 2 END AS stage, epoch, epoch - 1 AS idx, value * {v.h01("'t' || event_id")} AS train_loss, value AS val_loss, {v.h01("run || '|' || epoch")} AS f1 FROM ev)"""
 
 
+_RUN_TEST = f"""WITH {SPLIT_PRED}, {EPOCHS}, cells AS (SELECT model, y_true, y_pred, count(*) AS n FROM sp WHERE split = 'test' GROUP BY 1, 2, 3), {per_class_sql()},
+mt AS (SELECT model, avg(f1) FILTER (support + predicted > 0) AS test FROM pc GROUP BY 1),
+be AS (SELECT run, max(f1) AS best_val FROM ep GROUP BY 1)"""
+
+
+@query("e16_val_test_gap", f"{_RUN_TEST} SELECT run, round(best_val, 6) AS best_val, round(test, 6) AS test, round(best_val - test, 6) AS gap FROM be JOIN mt ON mt.model = substr('ABC', CAST(run % 3 AS INTEGER) + 1, 1)")
+def e16(spark, sf_dir):
+    """Runs are tested as models A, B and C in turn."""
+    board = metrics.headline(metrics.cells(split_predictions(spark, sf_dir).filter("split = 'test'")), K)
+    logs = epochs(spark, sf_dir).select("run", "val_macro_f1")
+    model = F.substring(F.lit("ABC"), F.pmod("run", F.lit(3)).cast("int") + F.lit(1), F.lit(1))
+    test = logs.select("run", model.alias("model")).distinct().join(board, "model").select("run", "macro_f1")
+    return metrics.val_test_gap(logs, test).select("run", *R6("best_val", "test", "gap"))
+
+
 @query("w1_best_epoch", f"WITH {EPOCHS}, r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY f1 DESC, idx) AS r FROM ep) SELECT run, max(idx) FILTER (r = 1) AS best_index, round(max(f1), 6) AS best_f1, max(idx) FILTER (stage = 1) AS last_stage1, CAST(count(*) AS INTEGER) AS n FROM r GROUP BY run")
 def w1(spark, sf_dir):
     return curves.best_epoch(epochs(spark, sf_dir)).withColumn("best_f1", F.round("best_f1", 6))
@@ -212,9 +228,7 @@ SELECT item_id, min(reach) AS component, min(reach) = item_id AS kept FROM c GRO
 def j14(spark, sf_dir):
     """A threshold of 0.9 here: the given vectors hold no copies."""
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="modelaudit-"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return neighbours.dedup_near(v.items(spark, sf_dir), 0.9)
 
 
@@ -252,8 +266,22 @@ def e20(spark, sf_dir):
     return proximity.overall_verdict(proximity.leakage_verdict(proximity.effect_size(*_proximity(spark, sf_dir))))
 
 
-@query("t9_borderline_smote", f"""WITH {v.ITEMS}, n AS (SELECT class, count(*) AS c FROM items GROUP BY 1) SELECT class, c AS originals FROM n""")
+_SMOTE = f"""WITH {v.ITEMS}, un AS (SELECT item_id, class, features, sqrt(list_sum(list_transform(features, lambda y: y * y))) + 1e-12 AS nn FROM items),
+sz AS (SELECT class, count(*) AS c FROM items GROUP BY 1), need AS (SELECT class, (SELECT max(c) FROM sz) - c AS need FROM sz WHERE c < (SELECT max(c) FROM sz)),
+sm AS (SELECT b.item_id AS b_id, b.class AS b_class, a.item_id AS a_id, a.class AS a_class, round(list_dot_product(b.features, a.features) / (a.nn * b.nn), 9) AS sim FROM un b JOIN need ON need.class = b.class JOIN un a ON a.item_id <> b.item_id),
+nr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY b_id ORDER BY sim DESC, a_id) AS rank FROM sm) WHERE rank <= 10),
+dg AS (SELECT b_id, b_class FROM nr GROUP BY 1, 2 HAVING 2 * count(*) FILTER (a_class <> b_class) >= count(*) AND count(*) FILTER (a_class <> b_class) < count(*)),
+sd AS (SELECT *, row_number() OVER (PARTITION BY b_class ORDER BY md5('42|' || b_id), b_id) - 1 AS at, count(*) OVER (PARTITION BY b_class) AS of FROM dg),
+mk AS (SELECT sd.b_id, sd.b_class, i FROM (SELECT class, unnest(range(1, need + 1)) AS i FROM need) m JOIN sd ON sd.b_class = m.class AND sd.at = m.i % sd.of),
+pt AS (SELECT b_id, a_id, row_number() OVER (PARTITION BY b_id ORDER BY rank) - 1 AS place, least(5, count(*) OVER (PARTITION BY b_id)) AS n FROM nr WHERE a_class = b_class),
+dr AS (SELECT mk.*, CAST(floor({v.h01("'42|partner|' || mk.b_id || '|' || i")} * n) AS BIGINT) AS place, {v.h01("'42|gap|' || mk.b_id || '|' || i")} AS g FROM mk JOIN (SELECT DISTINCT b_id, n FROM pt) p ON p.b_id = mk.b_id),
+nw AS (SELECT dr.b_class AS class, dr.b_id AS item_id, CAST(i AS BIGINT) AS i, TRUE AS synthetic, list_transform(range(1, 65), lambda k: fa.features[k] + g * (fb.features[k] - fa.features[k])) AS f
+       FROM dr JOIN pt ON pt.b_id = dr.b_id AND pt.place = dr.place JOIN items fa ON fa.item_id = dr.b_id JOIN items fb ON fb.item_id = pt.a_id)
+SELECT class, item_id, i, synthetic, round(list_sum(list_transform(range(1, 65), lambda k: k * f[k])), 5) AS weighted FROM (SELECT * FROM nw UNION ALL SELECT class, item_id, NULL, FALSE, features FROM items)"""
+
+
+@query("t9_borderline_smote", _SMOTE)
 def t9(spark, sf_dir):
-    """Counts of the rows that were there; tests hold what is made up against its rules."""
-    out = neighbours.borderline_smote(v.items(spark, sf_dir))
-    return out.groupBy("class").agg(F.count(F.when(~F.col("synthetic"), 1)).alias("originals"))
+    """All rows, made up or not; the features as a sum weighted by their place."""
+    weighted = F.aggregate(F.transform("features", lambda x, i: (i + 1) * x), F.lit(0.0), lambda a, x: a + x)
+    return neighbours.borderline_smote(v.items(spark, sf_dir)).select("class", "item_id", "i", "synthetic", F.round(weighted, 5).alias("weighted"))

@@ -32,14 +32,17 @@ _STAT = "round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round
 
 
 @query("p10_fingerprint", """
-WITH m AS (SELECT user_id, avg(value) AS mu FROM events GROUP BY 1)
+WITH m AS (SELECT user_id, avg(value) AS mu FROM events GROUP BY 1),
+hb AS (SELECT user_id, least(floor(value), 255) AS at, count(*) AS n FROM events WHERE value BETWEEN 0 AND 256 GROUP BY 1, 2),
+hp AS (SELECT user_id, n / sum(n) OVER (PARTITION BY user_id) AS p FROM hb),
+en AS (SELECT m.user_id, round(coalesce(-sum(p * log2(p)), 0), 6) AS entropy FROM m LEFT JOIN hp ON m.user_id = hp.user_id GROUP BY 1)
 SELECT e.user_id, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
   round(CASE WHEN var_pop(value) > 0 THEN avg(power(value - mu, 3)) / power(var_pop(value), 1.5) END, 6) AS skew,
   round(CASE WHEN var_pop(value) > 0 THEN avg(power(value - mu, 4)) / power(var_pop(value), 2) - 3 END, 6) AS kurtosis,
-  round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90
-FROM events e JOIN m ON e.user_id = m.user_id GROUP BY e.user_id""")
+  any_value(entropy) AS entropy, round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.9), 6) AS p90
+FROM events e JOIN m ON e.user_id = m.user_id JOIN en ON e.user_id = en.user_id GROUP BY e.user_id""")
 def p10(spark, sf_dir):
-    return v.read(spark, sf_dir, "events").groupBy("user_id").agg(*fn.fingerprint(F.col("value").cast("double")))
+    return leakage.fingerprints(v.read(spark, sf_dir, "events").withColumn("value", F.col("value").cast("double")), ["user_id"], "value")
 
 
 @query("t1_group_split", f"WITH {v.DOC_SPLIT} SELECT item_id, class, grp, split FROM split_items")
@@ -118,6 +121,11 @@ def j1(spark, sf_dir):
     return leakage.hash_leak_pairs(v.doc_split(spark, sf_dir))
 
 
+@query("j1_leak_members", f"WITH {v.DOC_SPLIT}{_LEAK.format(src='split_items')}, sh AS (SELECT hash FROM per WHERE (train > 0)::INT + (val > 0)::INT + (test > 0)::INT > 1) SELECT s.hash, split, item_id, class FROM split_items s JOIN sh ON s.hash = sh.hash")
+def j1_members(spark, sf_dir):
+    return leakage.leak_members(v.doc_split(spark, sf_dir))
+
+
 @query("j2_fingerprint_leak_pairs", f"""WITH {v.DOC_ITEMS}, {v.split_sql('doc_items')}, fp AS (SELECT split, md5(class || '|' || n_chars) AS hash FROM split_items){_LEAK.format(src='fp')} {_PAIRS}""")
 def j2(spark, sf_dir):
     """Fingerprint of a document here: its language and length."""

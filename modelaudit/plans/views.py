@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelaudit.functions.items import argmax_class, group_id, hash01
+from modelaudit.functions.items import argmax_class, group_id, hash01, let
 from modelaudit.operators.splits import group_split
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -45,10 +45,9 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(b).alias("boost")) for m, b in MODELS])).alias("m")
     rows = base.select("item_id", "y_true", models).select("item_id", "y_true", "m.*")
     raw = lambda k: hash01(F.concat_ws("|", "model", F.col("item_id").cast("string"), F.lit(str(k)))) + F.when(F.col("y_true") == k, F.col("boost")).otherwise(F.lit(0.0))
-    rows = rows.select("model", "item_id", "y_true", *[raw(k).alias(f"r{k}") for k in range(K)])
-    total = F.col("r0") + F.col("r1") + F.col("r2") + F.col("r3") + F.col("r4")
-    rows = rows.select("model", "item_id", "y_true", F.array(*[F.col(f"r{k}") / total for k in range(K)]).alias("y_prob"))
-    return rows.select("model", "item_id", "y_true", argmax_class(F.col("y_prob")).alias("y_pred"), "y_prob")
+    shares = lambda r: let(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda x: x / total))
+    both = let(let(F.array(*[raw(k) for k in range(K)]), shares), lambda p: F.struct(argmax_class(p).alias("y_pred"), p.alias("y_prob")))
+    return rows.select("model", "item_id", "y_true", both.alias("s")).select("model", "item_id", "y_true", "s.y_pred", "s.y_prob")
 
 
 H01 = "(CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,12 +38,12 @@ def missing_keys(store: DataFrame, wanted: DataFrame, key: str = "item_id") -> D
 def append_features(spark: SparkSession, wanted: DataFrame, compute, path: str, key: str = "item_id") -> DataFrame:  # noqa: ANN001
     """Compute what the Parquet store at ``path`` lacks, append it, return the store's rows for ``wanted``."""
     try:
-        store = spark.read.parquet(path)
-        compute(missing_keys(store, wanted, key)).write.mode("append").parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
+        wanted_now = missing_keys(spark.read.parquet(path), wanted, key)
+    except AnalysisException as e:  # of reading the store alone; nothing has run yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        compute(wanted).write.parquet(path)
+        wanted_now = wanted
+    compute(wanted_now).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(wanted.select(key), key, "left_semi")
 
 

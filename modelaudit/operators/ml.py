@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from itertools import product
 
 import numpy as np
-from pyspark.ml import Model
+from pyspark import inheritable_thread_target
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.functions.items import argmax_class, order_key
+from modelaudit.functions.items import argmax_class
 from modelaudit.operators import metrics
 from modelaudit.operators.bootstrap import bootstrap_f1
 from modelaudit.operators.leakage import pool_splits
-from modelaudit.operators.splits import class_weights, stratified_fraction
+from modelaudit.operators.neighbours import borderline_smote
+from modelaudit.operators.splits import class_weights, ranked, stratified_fraction
+from modelaudit.sources.shared import materialize
 
 
 def fit_standard(train: DataFrame) -> tuple[list[float], list[float]]:
@@ -48,10 +52,19 @@ def _weighted(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(w), F.col("y_true") == F.col("_y")).select("weight", F.col("y_true").cast("double").alias("label"), array_to_vector("features").alias("v"))
 
 
+def _fit_cached(learner: Estimator, rows: DataFrame) -> Model:
+    """For learners that pass over the rows many times."""
+    held = _weighted(rows).cache()
+    try:
+        return learner.fit(held)
+    finally:
+        held.unpersist()
+
+
 def linear_svm(rows: DataFrame, reg: float = 0.01, iterations: int = 10) -> Model:
     """M4: one-vs-rest linear machines on balanced weights. It has margins only; ``score`` takes their softmax, uncalibrated."""
     base = LinearSVC(featuresCol="v", labelCol="label", weightCol="weight", regParam=reg, maxIter=iterations)
-    return OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight").fit(_weighted(rows).cache())
+    return _fit_cached(OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight"), rows)
 
 
 def fourier(rows: DataFrame, gamma: float, n: int = 128, seed: int = 42) -> DataFrame:
@@ -68,6 +81,11 @@ def fourier(rows: DataFrame, gamma: float, n: int = 128, seed: int = 42) -> Data
     return rows.mapInPandas(run, rows.schema)
 
 
+def oversampled(rows: DataFrame, m: int = 10, k: int = 5) -> DataFrame:
+    """M6 with T9: training rows and the made-up ones of smaller classes; made-up rows have the id of the row they lie next to."""
+    return borderline_smote(rows, klass="y_true", m=m, k=k).select("item_id", "features", "y_true")
+
+
 def random_forest(rows: DataFrame, trees: int = 20, depth: int = 5) -> Model:
     """M6."""
     return RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42).fit(_weighted(rows))
@@ -76,7 +94,7 @@ def random_forest(rows: DataFrame, trees: int = 20, depth: int = 5) -> Model:
 def boosted_trees(rows: DataFrame, rounds: int = 5, depth: int = 3) -> Model:
     """M7."""
     base = GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=42)
-    return OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight").fit(_weighted(rows).cache())
+    return _fit_cached(OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight"), rows)
 
 
 def round_losses(model: Model, label: int, rows: DataFrame) -> list[float]:
@@ -102,18 +120,29 @@ def macro_f1(preds: DataFrame, k: int) -> float:
     return metrics.headline(metrics.cells(preds), k).first()["macro_f1"]
 
 
-def grid_search_cv(rows: DataFrame, fit: Callable[..., Model], grid: dict[str, Sequence], k: int, folds: int) -> list[tuple[dict, float]]:
-    """M3: mean macro-F1 over folds (column ``fold``) of each parameter set, in the grid's order; scaling is fitted inside the fold."""
-    out = []
-    for values in product(*grid.values()):
-        params, scores = dict(zip(grid, values, strict=True)), []
-        for f in range(folds):
-            train = rows.filter(F.col("fold") != f)
-            fitted = fit_standard(train)
-            model = fit(standardise(train, fitted), **params)
-            scores.append(macro_f1(score(model, standardise(rows.filter(F.col("fold") == f), fitted), k), k))
-        out.append((params, float(np.mean(scores))))
-    return out
+def grid_search_cv(rows: DataFrame, fit: Callable[..., Model], grid: dict[str, Sequence], k: int, folds: int, oversample: Callable[[DataFrame], DataFrame] | None = None, at_once: int = 4) -> list[tuple[dict, float]]:
+    """M3: mean macro-F1 over folds (column ``fold``) of each parameter set, in the grid's order.
+
+    What belongs to a fold is made once for all parameter sets: the scaling is fitted on its training rows, which are scaled and,
+    with ``oversample`` (as ``oversampled``, T9), filled up; its test rows are only scaled. ``at_once`` fits run side by side.
+    """
+    sets = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
+    def prepared(f: int) -> tuple[DataFrame, DataFrame]:
+        train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
+        fitted = fit_standard(train)
+        train = standardise(train, fitted)
+        return materialize(oversample(train) if oversample else train, "fold-train"), materialize(standardise(test, fitted), "fold-test")
+
+    def scored(job: tuple[dict, tuple[DataFrame, DataFrame]]) -> float:
+        params, (train, test) = job
+        return macro_f1(score(fit(train, **params), test, k), k)
+
+    spark = rows.sparkSession
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = list(pool.map(inheritable_thread_target(spark)(prepared), range(folds)))
+        scores = list(pool.map(inheritable_thread_target(spark)(scored), [(params, part) for params in sets for part in parts]))
+    return [(params, float(np.mean(scores[i * folds : (i + 1) * folds]))) for i, params in enumerate(sets)]
 
 
 def train_select_refit(train: DataFrame, val: DataFrame, candidates: dict[str, Callable[[DataFrame], Model]], k: int) -> tuple[str, Model, dict[str, float]]:
@@ -123,12 +152,18 @@ def train_select_refit(train: DataFrame, val: DataFrame, candidates: dict[str, C
     return best, candidates[best](pool_splits(train, val)), scores
 
 
+def rows_of(table: DataFrame) -> DataFrame:
+    """A table of few rows, held by the driver: computed once."""
+    return table.sparkSession.createDataFrame(table.collect(), table.schema)
+
+
 def data_efficiency_sweep(train: DataFrame, test: DataFrame, fit: Callable[[DataFrame], Model], k: int, fractions: Sequence[float] = (0.1, 0.25, 0.5, 1.0)) -> DataFrame:
     """M9: (fraction, n_train, macro_f1, lo, hi) on a fixed test split; subsets are nested."""
     out = None
     for f in fractions:
         part = stratified_fraction(train, f, "item_id", "y_true")
-        counts = metrics.cells(score(fit(part), test, k)).cache()
+        counts = metrics.cells(score(fit(part), test, k))
+        counts = rows_of(counts)  # k * k rows at most
         ci = bootstrap_f1(counts, k, 200).filter("label is null").select("lo", "hi")
         row = metrics.headline(counts, k).select(F.lit(f).alias("fraction"), F.lit(part.count()).alias("n_train"), "macro_f1").join(F.broadcast(ci))
         out = row if out is None else out.unionByName(row)
@@ -137,16 +172,19 @@ def data_efficiency_sweep(train: DataFrame, test: DataFrame, fit: Callable[[Data
 
 def permutation_importance(model: Model, test: DataFrame, groups: dict[str, Sequence[int]], k: int, repeats: int = 3) -> DataFrame:
     """(group, drop, std): fall of macro-F1 when a group of features comes from another row. Donors are rows by rank: in each
-    repeat, row r gives to the row whose hash rank is r."""
-    w = Window.orderBy("_o", "item_id")
-    base = test.select("item_id", "y_true", "features").withColumn("_o", order_key(F.col("item_id"), 0)).withColumn("r", F.row_number().over(w)).drop("_o")
+    repeat, row r gives to the row whose hash rank is r. Ranks are taken of ids alone, in ranges of the hash."""
+    ids = test.select("item_id").withColumn("_all", F.lit(0))
+    rank_of = lambda seed: ranked(ids, "item_id", "_all", seed=seed).select(F.col("item_id").alias("_i"), F.col("rank").alias("r"))
+    first = rank_of(0)
+    base = test.select("item_id", "y_true", "features").join(first, F.col("item_id") == F.col("_i")).drop("_i")
     names = list(groups)
     masks = F.array(*[F.struct(F.lit(n).alias("grp"), F.lit([int(i) for i in groups[n]]).alias("at")) for n in names])
     rows = base.withColumn("m", F.explode(masks)).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).select("item_id", "y_true", "features", "r", "m.*", "rep")
     donors = None
     for rep in range(1, repeats + 1):
-        d = test.withColumn("_o", order_key(F.col("item_id"), rep)).withColumn("r", F.row_number().over(w)).select("r", F.lit(rep).alias("rep"), F.col("features").alias("other"))
+        d = rank_of(rep).withColumn("rep", F.lit(rep))
         donors = d if donors is None else donors.unionByName(d)
+    donors = donors.join(test.select(F.col("item_id").alias("_i"), F.col("features").alias("other")), "_i").drop("_i")
     mixed = rows.join(donors, ["r", "rep"]).withColumn("features", F.transform("features", lambda x, i: F.when(F.array_contains("at", i), F.get("other", i)).otherwise(x)))
     mixed = mixed.withColumn("item", F.col("item_id")).withColumn("item_id", F.concat_ws("|", "grp", "rep", "item_id"))
     out = score(model, mixed, k).withColumns({"grp": F.split("item_id", "\\|")[0], "rep": F.split("item_id", "\\|")[1]})

@@ -1,10 +1,7 @@
-"""Queries on stores, images and learning."""
+"""Queries on stores, images and learning."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from modelaudit.functions import items as fn
@@ -14,26 +11,42 @@ from modelaudit.plans.catalog import query
 from modelaudit.plans.q_metrics import CELLS, K, per_class_sql
 from modelaudit.plans.q_models import EPOCHS, epochs, item_splits
 from modelaudit.sources import images, stores
+from modelaudit.sources.shared import materialize, new_dir
 
 R6 = lambda *cols: [F.round(c, 6).alias(c) for c in cols]
 K3 = 3
 
 
-def scratch(spark, name):
-    """A new folder that all executors see."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='modelaudit-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+@query("s1_scan_images", f"WITH {v.ITEMS} SELECT class || '/' || replace(name, '.jpg', '.png') AS item_id, class, 8 AS height, 8 AS width FROM items")
+def s1(spark, sf_dir):
+    return scanned(spark, sf_dir).select("item_id", "class", "image.height", "image.width")
+
+
+def scanned(spark, sf_dir):
+    """The vectors as 8 x 8 images, written as files and found again."""
+    path = new_dir(spark, "images")
+    names = v.items(spark, sf_dir).withColumn("file", F.replace("name", F.lit(".jpg"), F.lit(".png")))
+    images.write_images(images.pixel_table(names, "file"), path)
+    return images.scan_images(spark, path, [f"c{i}" for i in range(10)])
 
 
 @query("s3_load_split", f"WITH {v.ITEMS}, {v.split_sql('items')} SELECT name AS filename, class, '/data/' || class || '/' || name AS abs_path, class_idx FROM split_items WHERE split = 'val'")
 def s3(spark, sf_dir):
-    path = scratch(spark, "manifest")
+    path = new_dir(spark, "manifest")
     stores.write_manifest(splits.group_split(v.items(spark, sf_dir)).withColumnRenamed("name", "filename"), path)
     return stores.load_split(spark, "val", path, "/data/", [f"c{i}" for i in range(10)]).select("filename", "class", "abs_path", "class_idx")
 
 
+@query("s4_write_manifest", f"WITH {v.ITEMS}, {v.split_sql('items')} SELECT name AS filename, class, split FROM split_items")
+def s4(spark, sf_dir):
+    path = new_dir(spark, "manifest")
+    stores.write_manifest(splits.group_split(v.items(spark, sf_dir)).withColumnRenamed("name", "filename"), path)
+    return spark.read.csv(path, header=True)
+
+
 @query("s5_feature_store", f"WITH {v.ITEMS} SELECT item_id, round(list_sum(features), 5) AS total FROM items")
 def s5(spark, sf_dir):
-    path, rows = scratch(spark, "features"), v.items(spark, sf_dir).select("item_id", "features")
+    path, rows = new_dir(spark, "features"), v.items(spark, sf_dir).select("item_id", "features")
     compute = lambda d: d.select("item_id", F.aggregate("features", F.lit(0.0), lambda a, x: a + x).alias("total"))
     stores.append_features(spark, rows.filter("item_id % 3 = 0"), compute, path)
     return stores.append_features(spark, rows, compute, path).withColumn("total", F.round("total", 5))
@@ -41,14 +54,14 @@ def s5(spark, sf_dir):
 
 @query("s6_prediction_store", f"WITH {v.PREDICTIONS} SELECT model, item_id, y_true, y_pred FROM predictions")
 def s6(spark, sf_dir):
-    path = scratch(spark, "predictions")
+    path = new_dir(spark, "predictions")
     stores.write_predictions(v.predictions(spark, sf_dir), path)
     return spark.read.parquet(path).select("model", "item_id", "y_true", "y_pred")
 
 
 @query("s7_reports", f"WITH {CELLS}, {per_class_sql()}, m AS (SELECT model, sum(tp) / sum(support) AS accuracy FROM pc GROUP BY 1) SELECT model, round(accuracy, 6) AS scores_accuracy FROM m")
 def s7(spark, sf_dir):
-    path = scratch(spark, "reports")
+    path = new_dir(spark, "reports")
     board = metrics.headline(metrics.cells(v.predictions(spark, sf_dir)), K)
     stores.write_reports(board.select("model", F.struct("accuracy", "macro_f1").alias("scores")), path)
     return stores.read_reports(spark, path, ["model", "scores.accuracy"]).withColumn("scores_accuracy", F.round("scores_accuracy", 6))
@@ -56,7 +69,7 @@ def s7(spark, sf_dir):
 
 @query("s8_read_run_logs", f"WITH {EPOCHS} SELECT CAST(run AS VARCHAR) AS run, idx AS index, stage, epoch, round(val_loss, 6) AS val_loss FROM ep")
 def s8(spark, sf_dir):
-    path = scratch(spark, "logs")
+    path = new_dir(spark, "logs")
     e = epochs(spark, sf_dir)
     logs = e.groupBy(F.col("run").cast("string").alias("run")).agg(F.array_sort(F.collect_list(F.struct("stage", "epoch", "train_loss", "val_loss", "val_macro_f1"))).alias("epochs"))
     logs.write.json(path)
@@ -65,7 +78,7 @@ def s8(spark, sf_dir):
 
 @query("s9_metrics_table", f"WITH {CELLS}, {per_class_sql()} SELECT model, label, round(f1, 4) AS f1 FROM pc")
 def s9(spark, sf_dir):
-    path = scratch(spark, "table")
+    path = new_dir(spark, "table")
     stores.write_metrics_table(metrics.per_class(metrics.cells(v.predictions(spark, sf_dir)), K).select("model", "label", "f1"), path)
     return spark.read.schema("model string, label int, f1 double").csv(path, header=True)
 
@@ -79,6 +92,11 @@ def s10(spark, sf_dir):
 PIX = f"""{v.ITEMS}, px AS (SELECT CAST(item_id AS VARCHAR) AS item_id, CAST(least(255, greatest(0, floor(128.0 + 512.0 * features[i]))) AS INTEGER) AS v, i - 1 AS pos FROM items, range(1, 65) t(i))"""
 
 
+@query("s2_standardise_images", f"WITH {PIX} SELECT i.class || '/' || replace(i.name, '.jpg', '.png') AS item_id, string_agg(lpad(upper(hex(v)), 2, '0'), '' ORDER BY pos) AS pixels FROM px JOIN items i ON CAST(i.item_id AS VARCHAR) = px.item_id GROUP BY 1")
+def s2(spark, sf_dir):
+    return images.standardise_images(scanned(spark, sf_dir), 8).select("item_id", F.hex("pixels").alias("pixels"))
+
+
 def kernel(spark, sf_dir, f, names):
     """One kernel over the 8 x 8 images of the vectors."""
     import pandas as pd
@@ -149,7 +167,7 @@ def h6(spark, sf_dir):
 
 def learnable(df):
     """Vectors with three classes to learn: label mod 3."""
-    return df.select("item_id", "features", F.pmod("class_idx", F.lit(K3)).cast("int").alias("y_true"))
+    return df.select("item_id", "features", F.pmod("class_idx", F.lit(K3)).cast("int").alias("y_true"), "grp")
 
 
 @query("m1_standardise", f"""WITH {v.ITEMS}, {v.split_sql('items')}, e AS (SELECT item_id, split, i, features[i] AS x FROM split_items, range(1, 65) t(i)), m AS (SELECT i, avg(x) AS mu, stddev_pop(x) AS sd FROM e WHERE split = 'train' GROUP BY i)
@@ -163,19 +181,27 @@ def m1(spark, sf_dir):
 def _ready(spark, sf_dir):
     train, test = (learnable(x) for x in item_splits(spark, sf_dir))
     fitted = ml.fit_standard(train)
-    return ml.standardise(train, fitted).cache(), ml.standardise(test, fitted).cache()
+    return materialize(ml.standardise(train, fitted), "train"), materialize(ml.standardise(test, fitted), "test")
 
 
 @query("m2_pca_project")
 def m2(spark, sf_dir):
     train, test = _ready(spark, sf_dir)
-    return ml.pca_project(train, test, 10).select("item_id", F.posexplode("features").alias("component", "value"))
+    return ml.pca_project(train, test).select("item_id", F.posexplode("features").alias("component", "value"))
 
 
 @query("m3_grid_search_cv")
 def m3(spark, sf_dir):
-    rows = splits.stratified_kfold(learnable(v.items(spark, sf_dir)), "item_id", "y_true", 2)
-    found = ml.grid_search_cv(rows.cache(), ml.random_forest, {"trees": [5], "depth": [2, 4]}, K3, 2)
+    rows = materialize(splits.stratified_group_kfold(learnable(v.items(spark, sf_dir)), "y_true", "grp", 5), "folds")
+    found = ml.grid_search_cv(rows, ml.random_forest, {"trees": [5, 10], "depth": [2, 4]}, K3, 5)
+    return spark.createDataFrame([(str(p), s) for p, s in found], "params string, macro_f1 double")
+
+
+@query("m6_oversampled_folds")
+def m6_smote(spark, sf_dir):
+    """The forest with made-up rows in the training part of each fold."""
+    rows = materialize(splits.stratified_group_kfold(learnable(v.items(spark, sf_dir)), "y_true", "grp", 3), "folds")
+    found = ml.grid_search_cv(rows, ml.random_forest, {"trees": [5], "depth": [4]}, K3, 3, ml.oversampled)
     return spark.createDataFrame([(str(p), s) for p, s in found], "params string, macro_f1 double")
 
 
@@ -207,13 +233,13 @@ def m8(spark, sf_dir):
 @query("m9_data_efficiency_sweep")
 def m9(spark, sf_dir):
     train, test = _ready(spark, sf_dir)
-    return ml.data_efficiency_sweep(train, test, lambda r: ml.random_forest(r, 5, 3), K3, (0.25, 1.0))
+    return ml.data_efficiency_sweep(train, test, lambda r: ml.random_forest(r, 5, 3), K3)
 
 
 @query("m10_train_select_refit")
 def m10(spark, sf_dir):
     s = splits.group_split(v.items(spark, sf_dir))
-    parts = [learnable(s.filter(F.col("split") == x)).cache() for x in ("train", "val", "test")]
+    parts = [materialize(learnable(s.filter(F.col("split") == x)), x) for x in ("train", "val", "test")]
     best, model, _ = ml.train_select_refit(parts[0], parts[1], {"rf2": lambda r: ml.random_forest(r, 5, 2), "rf5": lambda r: ml.random_forest(r, 5, 5)}, K3)
     return ml.score(model, parts[2], K3, best).select("model", "item_id", "y_true", "y_pred")
 
@@ -221,12 +247,12 @@ def m10(spark, sf_dir):
 @query("m11_permutation_importance")
 def m11(spark, sf_dir):
     train, test = _ready(spark, sf_dir)
-    return ml.permutation_importance(ml.random_forest(train, 10, 4), test, {"first": range(32), "second": range(32, 64)}, K3)
+    return ml.permutation_importance(ml.random_forest(train, 10, 4), test, {"first": range(32), "second": range(32, 64)}, K3, 10)
 
 
 @query("m12_occlusion_map")
 def m12(spark, sf_dir):
     table = images.pixel_table(v.items(spark, sf_dir))
     rows = images.feature_matrix(table).select("item_id", F.col("features").cast("array<double>").alias("features"), F.pmod(F.substring("class", 2, 9).cast("int"), F.lit(K3)).alias("y_true"))
-    model = ml.random_forest(rows.cache(), 5, 4)
+    model = ml.random_forest(materialize(rows, "image-features"), 5, 4)
     return ml.occlusion_map(model, table, images.feature_matrix, K3, patch=4, stride=2)

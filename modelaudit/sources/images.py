@@ -1,10 +1,14 @@
-"""Images as tables: scan, standardise, views, features."""
+"""Images as tables: write, scan, standardise, views, features."""
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,30 @@ def scan_images(spark: SparkSession, root: str, classes: list[str]) -> DataFrame
     return rows.select("item_id", "class", "image")
 
 
+def png(image: np.ndarray) -> bytes:
+    """A grey 8-bit PNG file."""
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
+    rows = b"".join(b"\0" + row.tobytes() for row in image)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def write_images(images: DataFrame, root: str) -> int:
+    """Write (item_id, class, pixels, height, width) as ``<root>/<class>/<item_id>``, grey PNG files; tasks write, a repeated task
+    writes the same again. Returns how many files."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = fs.FileSystem.from_uri(root) if ":/" in root else (fs.LocalFileSystem(), root)
+        for df in frames:
+            for item, klass, *image in zip(df["item_id"], df["class"], df["pixels"], df["height"], df["width"], strict=True):
+                store.create_dir(f"{base}/{klass}", recursive=True)
+                with store.open_output_stream(f"{base}/{klass}/{item}") as out:
+                    out.write(png(_image(*image)))
+            yield pd.DataFrame({"n": [len(df)]})
+
+    return images.select("item_id", "class", "pixels", "height", "width").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def standardise_images(images: DataFrame, size: int = pixels.SIZE) -> DataFrame:
     """Grey, cropped, resized."""
 
@@ -36,9 +64,7 @@ def standardise_images(images: DataFrame, size: int = pixels.SIZE) -> DataFrame:
     return images.select("item_id", "class", "image.data", "image.height", "image.width", "image.nChannels").mapInPandas(run, STANDARD)
 
 
-def _image(data: bytes, h: int, w: int):  # noqa: ANN202
-    import numpy as np
-
+def _image(data: bytes, h: int, w: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(h, w)
 
 
@@ -66,8 +92,8 @@ def feature_matrix(images: DataFrame) -> DataFrame:
     return images.select("item_id", "class", "pixels", "height", "width").mapInPandas(run, "item_id string, class string, features array<float>")
 
 
-def pixel_table(items: DataFrame) -> DataFrame:
-    """Vectors of 64 values as 8 x 8 images: (item_id string, class, pixels, height, width)."""
+def pixel_table(items: DataFrame, name: str = "item_id") -> DataFrame:
+    """Vectors of 64 values as 8 x 8 images: (item_id string, class, pixels, height, width); ``name`` is the column of the ids."""
     value = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128.0) + F.lit(512.0) * x)))
     hexes = F.array_join(F.transform("features", lambda x: F.lpad(F.hex(value(x).cast("long")), 2, "0")), "")
-    return items.select(F.col("item_id").cast("string").alias("item_id"), "class", F.unhex(hexes).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return items.select(F.col(name).cast("string").alias("item_id"), "class", F.unhex(hexes).alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))

@@ -99,8 +99,10 @@ def boosted_trees(rows: DataFrame, rounds: int = 5, depth: int = 3) -> Model:
 
 def round_losses(model: Model, label: int, rows: DataFrame) -> list[float]:
     """M7: loss after each round of the member for ``label``, for W4."""
-    test = rows.select((F.col("y_true") == label).cast("double").alias("label"), array_to_vector("features").alias("v"))
-    return model.models[label].evaluateEachIteration(test, "logistic")
+    member = model.models[label]
+    # one-vs-rest gives its members columns of its own names
+    test = rows.select((F.col("y_true") == label).cast("double").alias(member.getLabelCol()), F.lit(1.0).alias(member.getWeightCol()), array_to_vector("features").alias("v"))
+    return member.evaluateEachIteration(test)
 
 
 def score(model: Model, rows: DataFrame, k: int, name: str = "model") -> DataFrame:

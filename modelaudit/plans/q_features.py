@@ -152,6 +152,23 @@ def f2(spark, sf_dir):
     return kernel(spark, sf_dir, f, ["contrast", "dissimilarity", "homogeneity"])
 
 
+_GLCM = ("contrast", "dissimilarity", "homogeneity", "energy", "correlation", "asm")
+
+
+@query("f2_glcm_features", f"""WITH {PIX}, q AS (SELECT item_id, CAST(floor(v * 64 / 256) AS INTEGER) AS g, CAST(floor(pos / 8) AS INTEGER) AS y, pos % 8 AS x FROM px),
+sh AS (SELECT * FROM (VALUES (1, 0, 1), (1, -1, 1), (1, -1, 0), (1, -1, -1), (3, 0, 3), (3, -2, 2), (3, -3, 0), (3, -2, -2)) t(d, dy, dx)),
+pr AS (SELECT a.item_id, d, dy, dx, a.g AS i, b.g AS j FROM q a CROSS JOIN sh JOIN q b ON a.item_id = b.item_id AND b.y = a.y + dy AND b.x = a.x + dx),
+sy AS (SELECT * FROM pr UNION ALL SELECT item_id, d, dy, dx, j, i FROM pr),
+m AS (SELECT item_id, d, dy, dx, i, j, count(*) / sum(count(*)) OVER (PARTITION BY item_id, d, dy, dx) AS p FROM sy GROUP BY 1, 2, 3, 4, 5, 6),
+mu AS (SELECT item_id, d, dy, dx, sum(p * i) AS mi FROM m GROUP BY 1, 2, 3, 4),
+st AS (SELECT m.item_id, m.d, m.dy, m.dx, sum(p * power(i - j, 2)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + power(i - j, 2))) AS homogeneity, sqrt(sum(p * p)) AS energy, CASE WHEN sum(p * power(i - mi, 2)) > 1e-15 THEN sum(p * (i - mi) * (j - mi)) / sum(p * power(i - mi, 2)) ELSE 1 END AS correlation, sum(p * p) AS asm FROM m JOIN mu ON m.item_id = mu.item_id AND m.d = mu.d AND m.dy = mu.dy AND m.dx = mu.dx GROUP BY 1, 2, 3, 4)
+SELECT item_id, {', '.join(f'round(avg({x}) FILTER (d = {d}), 6) AS {x}{d}' for d in (1, 3) for x in _GLCM)} FROM st GROUP BY 1""")
+def f2_all(spark, sf_dir):
+    from modelaudit.kernels import pixels
+
+    return kernel(spark, sf_dir, pixels.glcm_features, [f"{x}{d}" for d in (1, 3) for x in _GLCM])
+
+
 @query("f_feature_matrix")
 def f_all(spark, sf_dir):
     """All 138 features (F0-F7) of each image, long."""

@@ -61,6 +61,81 @@ def test_glcm_equals_loops(img):
         assert np.allclose(pixels.glcm(img, dy, dx), m / m.sum())
 
 
+def test_clahe_equals_loops():
+    """Each pixel by itself: the maps of the (up to four) tiles around it, weighted by how near their centres are."""
+    img = np.random.default_rng(3).integers(0, 200, (64, 96), dtype=np.uint8)
+    img[:20, :40] = 30
+
+    def tile_map(i, j):
+        part = img[32 * i : 32 * i + 32, 32 * j : 32 * j + 32].ravel().tolist()
+        counts = [part.count(v) for v in range(256)]
+        limit = max(1.0, pixels.CLIP * 1024)
+        spare = sum(max(c - limit, 0) for c in counts) / 256
+        total, out = 0.0, []
+        for c in counts:
+            total += min(c, limit) + spare
+            out.append(total / 1024 * 255)
+        return out
+
+    maps, got = {(i, j): tile_map(i, j) for i in range(2) for j in range(3)}, pixels.clahe(img)
+    for y in range(0, 64, 3):
+        for x in range(0, 96, 5):
+            fy, fx = min(max((y - 15.5) / 32, 0), 1), min(max((x - 15.5) / 32, 0), 2)
+            value = sum(max(0, 1 - abs(fy - i)) * max(0, 1 - abs(fx - j)) * m[img[y, x]] for (i, j), m in maps.items())
+            assert abs(float(got[y, x]) - value) <= 0.5 + 1e-9
+
+
+def test_patterns_equal_loops():
+    img = np.random.default_rng(4).integers(0, 256, (12, 14), dtype=np.uint8)
+    at = lambda y, x: float(img[min(max(y, 0), 11), min(max(x, 0), 13)])
+    want = []
+    for points, radius in pixels.LBP_RINGS:
+        hist = [0] * (points + 2)
+        for y in range(12):
+            for x in range(14):
+                bits = []
+                for k in range(points):
+                    py = min(max(y - round(radius * np.sin(2 * np.pi * k / points), 5), 0), 11)
+                    px = min(max(x + round(radius * np.cos(2 * np.pi * k / points), 5), 0), 13)
+                    y0, x0 = int(np.floor(py)), int(np.floor(px))
+                    v = (1 - py + y0) * ((1 - px + x0) * at(y0, x0) + (px - x0) * at(y0, x0 + 1)) + (py - y0) * ((1 - px + x0) * at(y0 + 1, x0) + (px - x0) * at(y0 + 1, x0 + 1))
+                    bits.append(int(round(v, 6) >= img[y, x]))
+                changes = sum(bits[k] != bits[k - 1] for k in range(points))
+                hist[sum(bits) if changes <= 2 else points + 1] += 1
+        want += [h / (12 * 14) for h in hist]
+    assert pixels.lbp_features(img) == pytest.approx(want)
+
+
+def test_gabor_equals_direct_sums():
+    """The response at each place as a sum over the image, which wraps around."""
+    img, n, want = np.random.default_rng(5).integers(0, 256, (10, 10), dtype=np.uint8), 10, []
+    for f in pixels.FREQUENCIES:
+        sigma = np.sqrt(np.log(2) / 2) * 3 / (np.pi * f)
+        for angle in pixels.ANGLES:
+            size = np.zeros((n, n))
+            for y in range(n):
+                for x in range(n):
+                    total = 0j
+                    for v in range(n):
+                        for u in range(n):
+                            dy, dx = (y - v + n // 2) % n - n // 2, (x - u + n // 2) % n - n // 2
+                            wave = np.exp(2j * np.pi * f * (dx * np.cos(angle) + dy * np.sin(angle)))
+                            total += img[v, u] / 255 * np.exp(-(dx * dx + dy * dy) / (2 * sigma**2)) / (2 * np.pi * sigma**2) * wave
+                    size[y, x] = abs(total)
+            want += [size.mean(), size.std()]
+    assert pixels.gabor_features(img) == pytest.approx(want)
+
+
+def test_bright_regions_by_hand():
+    img = np.zeros((40, 40), np.uint8)
+    img[:30, :5] = 250  # 150 pixels
+    img[35:, 35:] = 250  # 25
+    img[34, 34] = 250  # touches the second at a corner
+    assert np.percentile(img, 90) == 250
+    assert pixels.bright_region_features(img) == [2, 150, 88, 62, 1]
+    assert pixels.bright_region_features(np.full((30, 30), 9, np.uint8)) == [1, 900, 900, 0, 0]
+
+
 def test_features_of_simple_images(img):
     assert len(pixels.features(pixels.standardise(img))) == 138
     flat = np.full((32, 32), 100, np.uint8)

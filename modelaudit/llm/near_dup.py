@@ -377,10 +377,11 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     marked = gone.select("doc_id", "text_hash", F.lit(False).alias("_again")).unionByName(again.withColumn("_again", F.lit(True)))
     marked = materialize(marked.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"}), "near-dup-marked")
     on = docs["doc_id"].cast("long").eqNullSafe(marked["_id"]) & (text_hash(docs["text"].cast("string")) == marked["_hash"])
-    rest = docs.join(marked, on, "left_anti")
+    # what goes grows with the documents, so it is shuffled at every size; hashed, so that texts are not sorted
+    rest = docs.join(marked.hint("shuffle_hash"), on, "left_anti")
     if not marked.filter("_again").limit(1).count():
         return rest
-    repeated = docs.join(marked.filter("_again"), on, "left_semi")
+    repeated = docs.join(marked.filter("_again").hint("shuffle_hash"), on, "left_semi")
     return rest.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from modelaudit.sources.shared import materialize
+
 RANGES = 64
 
 
@@ -21,9 +23,18 @@ def cut_points(rows: DataFrame, value: str, n: int = RANGES) -> list[float]:
     return sorted({float(x) for x in found or []})
 
 
-def range_of(value: Column, cuts: Sequence[float]) -> Column:
-    """The number of a value's range; it never falls as values rise, and a null is in the first."""
-    return F.size(F.filter(F.lit(list(cuts)), lambda c: c < value)) if cuts else F.lit(0)
+def range_of(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
+    """The number of a value's range, found by halving; it never falls as values rise, and a null is in the first."""
+    if not cuts:
+        return F.lit(first)
+    half = len(cuts) // 2
+    return F.when(value > cuts[half], range_of(value, cuts[half + 1 :], first + half + 1)).otherwise(range_of(value, cuts[:half], first))
+
+
+def in_ranges(rows: DataFrame, value: str, bin: str) -> DataFrame:
+    """Write ``rows`` to the shared folder, so that they are computed once, and add the number of the range of ``value``."""
+    rows = materialize(rows, "in-ranges")
+    return rows.withColumn(bin, range_of(F.col(value), cut_points(rows, value)))
 
 
 def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, name: str, bin: str) -> DataFrame:
@@ -44,8 +55,7 @@ def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str
     """A row a group with one exact percentile (interpolated) for each of ``shares``: values are counted, then ranked by their
     counts, so a group may have any number of distinct values. Nulls are left out."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_range", range_of(F.col("_value"), cut_points(rows, value)))
-    counts = running_before(counts, by, [F.col("_value")], F.col("_n"), "_before", "_range")
+    counts = running_before(in_ranges(counts, "_value", "_range"), by, [F.col("_value")], F.col("_n"), "_before", "_range")
     sizes = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("_n").alias("_all"))
     on = F.lit(True)
     for c in by:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.functions.items import let
-from modelaudit.functions.ranges import cut_points, percentiles, range_of, running_before
+from modelaudit.functions.ranges import in_ranges, percentiles, running_before
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -59,13 +59,13 @@ def roc_auc(preds: DataFrame, k: int, by: Sequence[str] = ("model",)) -> DataFra
     Rows are counted by class and distinct score first. The running counts are taken in ranges between quantiles of the score,
     so neither a class nor scores that crowd near 0 and 1 are one task.
     """
-    cells = lambda p: F.struct((F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-3).cast("int").alias("odd"), p.alias("p"))
+    odd = lambda p: (F.abs(F.aggregate(p, F.lit(0.0), lambda a, x: a + x) - 1) > 1e-3).cast("int")
+    cells = lambda p: F.transform(p, lambda x, i: F.struct(i.alias("label"), x.alias("score"), odd(p).alias("odd")))
     # outer: for an inner one Spark infers a filter on the array and computes it once more to test that
-    long = preds.select(*by, "y_true", let(F.col("y_prob"), cells).alias("s")).select(*by, "y_true", F.col("s.odd").alias("odd"), F.posexplode_outer("s.p").alias("label", "score")).filter("label is not null")
+    long = preds.select(*by, "y_true", F.inline_outer(let(F.col("y_prob"), cells))).filter("label is not null")
     positive = (F.col("y_true") == F.col("label")).cast("long")
     scores = long.groupBy(*by, "label", "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"), F.max("odd").alias("odd"))
-    scores = scores.withColumn("bin", range_of(F.col("score"), cut_points(long, "score")))
-    ranked = running_before(scores, [*by, "label"], [F.col("score")], F.col("neg"), "under", "bin")
+    ranked = running_before(in_ranges(scores, "score", "bin"), [*by, "label"], [F.col("score")], F.col("neg"), "under", "bin")
     u = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
     each = ranked.groupBy(*by, "label").agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("odd").alias("odd"))
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n")))

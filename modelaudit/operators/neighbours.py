@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.functions.items import cosine, hash01, vector_key
-from modelaudit.functions.ranges import cut_points, range_of, running_before
+from modelaudit.functions.ranges import in_ranges, running_before
 from modelaudit.operators.splits import random_pool, ranked
 from modelaudit.sources.shared import materialize
 
@@ -103,13 +103,12 @@ def k_nearest_by_id(test: DataFrame, train: DataFrame, number: str, key: str = "
     training rows around it come by an equi-join on (class, place), and the k nearest of them (first in training order on ties)
     are kept. Classes with a pool of k or fewer are left out. Numbers are unique in a class's pool.
     """
-    pool = train.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("train_key"), F.col("features").alias("train_features"))
-    asked = test.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("key"), "features")
+    pool = train.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("train_key"))
+    asked = test.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("key"))
     both = pool.select("class", "number", F.lit(None).cast("long").alias("key"), F.lit(1).alias("t")).unionByName(asked.select("class", "number", "key", F.lit(0).alias("t")))
-    bin = range_of(F.col("number"), cut_points(pool, "number"))
-    both = running_before(both.withColumn("_range", bin), ["class"], [F.col("number"), F.desc("t")], F.col("t"), "place", "_range")
+    both = running_before(in_ranges(both, "number", "_range"), ["class"], [F.col("number"), F.desc("t")], F.col("t"), "place", "_range")
     placed = both.filter("t = 0").select("key", "class", F.col("number").alias("test_number"), "place")
-    numbered = running_before(pool.withColumn("_range", bin), ["class"], [F.col("number"), F.col("train_key")], F.lit(1), "before", "_range")
+    numbered = running_before(in_ranges(pool, "number", "_range"), ["class"], [F.col("number"), F.col("train_key")], F.lit(1), "before", "_range")
     numbered = numbered.withColumn("place", F.col("before") + 1).drop("before", "_range")
     large = pool.groupBy("class").count().filter(F.col("count") > k).select("class")
     numbered = numbered.join(large, "class", "left_semi")
@@ -117,7 +116,8 @@ def k_nearest_by_id(test: DataFrame, train: DataFrame, number: str, key: str = "
     found = around.join(numbered, ["class", "place"]).withColumn("gap", F.abs(F.col("number") - F.col("test_number")))
     first = F.row_number().over(Window.partitionBy("key").orderBy("gap", "train_key"))
     best = found.withColumn("rank", first).filter(F.col("rank") <= k)
-    return best.join(asked.select("key", "features"), "key").select("key", "class", "train_key", "gap", cosine(F.col("features"), F.col("train_features")).alias("sim"))
+    best = best.join(test.select(F.col(key).alias("key"), "features"), "key").join(train.select(F.col(key).alias("train_key"), F.col("features").alias("train_features")), "train_key")
+    return best.select("key", "class", "train_key", "gap", cosine(F.col("features"), F.col("train_features")).alias("sim"))
 
 
 def random_baseline(test: DataFrame, train: DataFrame, key: str = "item_id", klass: str = "class") -> DataFrame:

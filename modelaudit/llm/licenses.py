@@ -10,7 +10,8 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased. B
 labels of their own and a score, the largest covered share (1 for a phrase, 0 without any span).
 
 Defined cases: a null text is an empty one; rows that repeat an id and text have the same result; an id may be null; a
-text of one word has no pairs; phrases may overlap and each place counts; empty tables give empty results.
+text of one word has no pairs; phrases may overlap and each place counts; other columns are ignored; empty tables give empty
+results. A long text is one array of its words and one of their pairs' hashes, which are then rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ model as one array of weights inside the plan. The labelled table that trains it
 rows at most are taken), so its size does not follow the corpus.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, fits no rule and is judged on the empty
-string; repeated rows are judged alike, each by itself; other columns are carried along untouched.
+string; repeated rows are judged alike, each by itself; other columns are carried along untouched, but those named like
+results (host, path, rule, score, verdict), which are replaced; an empty table gives an empty one. A long URL costs in
+proportion to its length and is one array of characters; ties between rules of one length go to the alphabetically first.
 """
 
 from __future__ import annotations
@@ -79,7 +81,9 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, reg: float = 0.002) -> tu
     grams = rows.select("url", "label", F.explode(ngram_buckets(F.concat(host, path), buckets=buckets)).alias("b"))
     sets = grams.groupBy("url", "label").agg(F.collect_set("b").alias("b"))
     counts = sets.select(F.col("label").cast("double").alias("label"), F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.when(F.array_contains("b", k), 1.0).otherwise(0.0)).alias("x"))
-    model = LogisticRegression(regParam=reg, maxIter=25, standardization=False).fit(counts.select("label", array_to_vector("x").alias("features")).coalesce(1).cache())
+    held = counts.select("label", array_to_vector("x").alias("features")).coalesce(1).cache()
+    model = LogisticRegression(regParam=reg, maxIter=25, standardization=False).fit(held)
+    held.unpersist()
     return [float(x) for x in model.coefficients.toArray()], float(model.intercept)
 
 

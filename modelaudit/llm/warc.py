@@ -10,7 +10,8 @@ Reading streams each archive (one task a file, one record in memory), then resol
 
 Defined cases: a null payload is empty; a null id or URL is written as an absent field and read back as null; rows that
 repeat the largest id of an equal payload are each a response, with a record id that names one of them; smaller payloads
-than ``min_revisit`` are always responses; no rows give no archives and an empty result. Extra columns are ignored.
+than ``min_revisit`` are always responses; no rows give no archives and an empty result. Extra columns are ignored. A long
+payload is one record of any length: writer and reader hold it whole, a few times over, and nothing else beside a batch.
 """
 
 from __future__ import annotations

@@ -246,10 +246,10 @@ def completing_links(classes: DataFrame, loose: DataFrame) -> DataFrame | None:
     large = materialize(rows.groupBy("tree", "region").count().filter(F.col("count") > REGION), "near-dup-large")
     if not large.limit(1).count():
         return None
-    inside = rows.join(F.broadcast(large), ["tree", "region"]).join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    inside = rows.join(large, ["tree", "region"]).join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     inside = materialize(inside, "near-dup-inside")
     mixed = inside.groupBy("tree", "region").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("tree", "region")
-    members = inside.join(F.broadcast(mixed), ["tree", "region"]).join(classes.select("digest", "signature"), "digest")
+    members = inside.join(mixed, ["tree", "region"]).join(classes.select("digest", "signature"), "digest")
     parts = F.ceil(F.col("count") / PART).cast("int")
     members = members.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("digest"), parts).cast("int")})
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

@@ -10,7 +10,8 @@ lang, source and doc_id are never inputs of a score.
 
 Defined cases: a null text counts as an empty one, whose statistics are all zero; labels that are null, or of ids that no
 document has, are left out; a document with several labels is several training rows; with no labels, or one class only, each
-score is the share of that class (0.5 without labels); other columns are carried along.
+score is the share of that class (0.5 without labels); ties in the training sample go by id; other columns are carried along;
+an empty table gives an empty one. Statistics hold a long text's words at once. The same rows give the same model.
 """
 
 from __future__ import annotations
@@ -127,8 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, penalty:
     sample = materialize(sample, "quality-sample")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     x = F.array(*[f"_{s}" for s in STATISTICS])
-    rows = with_statistics(texts.select("label", "text")).withColumn("features", array_to_vector(x)).coalesce(4)
-    rows = materialize(rows, "quality-train").repartition(2)
+    rows = with_statistics(texts.select("doc_id", "label", "text")).withColumn("features", array_to_vector(x)).coalesce(4)
+    # learners draw by a row's place, so the order is fixed
+    rows = materialize(rows, "quality-train").repartition(2, "doc_id").sortWithinPartitions("doc_id", "label", *[f"_{s}" for s in STATISTICS])
     shares = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two classes at most
     if len(shares) < 2:
         p = next(iter(shares), 0.5)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelaudit.llm.components import connected_components
-from modelaudit.llm.storage import groups, materialize
+from modelaudit.llm.storage import groups, materialize, release
 
 SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, BASE_DEPTH = 16, 8, 2
@@ -154,6 +154,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     else:
                         digest.append(None), regions.append(None), signs.append(None)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regions, pa.list_(pa.int64())), pa.array(signs, pa.binary())], ["doc_id", "text_hash", "n_shingles", "digest", "regions", "signature"])
+        release()
 
     return docs.select("doc_id", "text", text_hash(F.col("text")).alias("text_hash")).mapInArrow(make, SKETCH)
 
@@ -334,6 +335,7 @@ def confirmed_links(docs: DataFrame, classes: DataFrame, loose: DataFrame, perce
                     a_out, b_out = [], []
             if a_out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(a_out, pa.binary()), "b": pa.array(b_out, pa.binary())})
+        release()
 
     return dealt.mapInArrow(confirm, "a binary, b binary").distinct()
 

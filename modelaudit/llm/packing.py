@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.llm.storage import materialize
-from modelaudit.llm.tokens import encoder, release, slices
+from modelaudit.llm.storage import materialize, release
+from modelaudit.llm.tokens import encoder, slices
 
 TOKENIZER, SEQ_LEN, END_ID, RANK_GROUP = "byte_bpe_50k.json", 2048, 0, 512
 PIECE = "doc_id long, piece int, start long, length long, ids binary, task int, local_rank long"

@@ -26,7 +26,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelaudit.llm.storage import materialize
+from modelaudit.llm.storage import materialize, release
 
 MAX_TRAIN, TREES, DEPTH, THRESHOLD = 20_000, 24, 4, 0.3
 STATISTICS = (
@@ -74,6 +74,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             rows = np.array([statistics(x.as_py()) for x in batch[text]], float).reshape(-1, len(STATISTICS))
             names = [f.name for f in kept]
             yield pa.RecordBatch.from_arrays([batch[x] for x in names] + [pa.array(rows[:, i]) for i in range(len(STATISTICS))], names + [f"_{x}" for x in STATISTICS])
+        release()
 
     return docs.mapInArrow(measure, schema)
 

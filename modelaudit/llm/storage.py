@@ -8,6 +8,7 @@ but an unread file.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -52,6 +53,14 @@ def unique_name(prefix: str, suffix: str) -> str:
     return f"{prefix}-{uuid.uuid4().hex}{suffix}"
 
 
+def release() -> None:
+    """Give back what Arrow and the C library keep of freed memory; a reused worker would hold it through other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Split a stream of batches that is sorted by ``key`` into one table per key value (neighbours only)."""
     held: list[pa.RecordBatch] = []

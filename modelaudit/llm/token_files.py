@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.llm.storage import filesystem, materialize, new_dir, unique_name
-from modelaudit.llm.tokens import encoder, release, slices
+from modelaudit.llm.storage import filesystem, materialize, new_dir, release, unique_name
+from modelaudit.llm.tokens import encoder, slices
 
 TOKENIZER, END_ID, FRAME_BYTES, TEXT_BYTES = "word_bpe_49k.json", 2, 256 << 10, 24 << 20
 # fixed values of the zstandard seekable format

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-KNOWN_BYTES = 24 << 20
+KNOWN_BYTES = 12 << 20
 #: Every character that any library takes for white space counts, and marks without width.
 SPACE = "\\s\\x00-\\x1f\u0085\u00a0\u1680\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff\u180e"
 CUT = re.compile(f"(?<=[^{SPACE}]) (?=[^{SPACE}])")
@@ -167,15 +167,10 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: pa.StringArray, most: int = 1 << 23) -> Iterator[tuple[int, pa.StringArray]]:
+def slices(texts: pa.StringArray, most: int = 1 << 22) -> Iterator[tuple[int, pa.StringArray]]:
     """Texts in runs of about ``most`` bytes, each with its first place, so that what one call holds is bounded."""
     size, first = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy()), 0
     while first < len(texts):
         last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + most)))
         yield first, texts.slice(first, last - first)
         first = last
-
-
-def release() -> None:
-    """Give back what Arrow keeps for later; a reused worker would hold it through other stages."""
-    pa.default_memory_pool().release_unused()

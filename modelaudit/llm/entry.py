@@ -16,6 +16,7 @@ TABLE = {
     "op9_decontaminate": ("decontam", "op9_decontaminate", "SQL"),
     "op5_quality": ("quality", "op5_quality", None),
     "op3_licenses": ("licenses", "op3_licenses", None),
+    "op11_variants": ("variants", "op11_variants", "SQL"),
 }
 
 

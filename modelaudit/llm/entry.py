@@ -17,6 +17,7 @@ TABLE = {
     "op5_quality": ("quality", "op5_quality", None),
     "op3_licenses": ("licenses", "op3_licenses", None),
     "op11_variants": ("variants", "op11_variants", "SQL"),
+    "op12_hard_negatives": ("negatives", "op12_hard_negatives", "SQL"),
 }
 
 

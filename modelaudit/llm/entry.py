@@ -18,6 +18,7 @@ TABLE = {
     "op3_licenses": ("licenses", "op3_licenses", None),
     "op11_variants": ("variants", "op11_variants", "SQL"),
     "op12_hard_negatives": ("negatives", "op12_hard_negatives", "SQL"),
+    "op13_pitman_yor": ("pitman_yor", "op13_pitman_yor", None),
 }
 
 

@@ -1,66 +1,109 @@
-"""Running sums and percentiles within groups of any size.
+"""Running sums, ranks and percentiles within groups of any size.
 
-A group's rows are dealt to ranges of the value that orders them. Windows run inside ranges, and what lies in the ranges below
-comes from a table of range totals, so no group is one task however many rows it has.
+Rows are dealt to ranges of the order that counts, as many as their number asks for (``ROWS`` rows each), so a group with most rows
+is many ranges and small groups share one. Sums run inside a range as its sorted rows stream by; what lies in the ranges before
+comes from a table of range totals, whose prefix sums are taken on two levels (``FAN`` ranges, then what they hold together). So no
+step has a task that grows with the rows: a range has about ``ROWS``, a window at most ``FAN`` or one row for each ``FAN`` ranges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.sources.shared import materialize
 
-RANGES = 64
+ROWS, LEAST, FAN = 1_000_000, 20_000, 1_000
 
 
-def cut_points(rows: DataFrame, value: str, n: int = RANGES) -> list[float]:
-    """About ``n`` approximate quantiles of a column: one pass, and as many numbers to the driver. They only balance ranges."""
-    found = rows.agg(F.percentile_approx(value, [i / n for i in range(1, n)], 1000).alias("q")).first()["q"]
-    return sorted({float(x) for x in found or []})
+def pieces(rows: DataFrame, per_range: int | None = None) -> int:
+    """How many ranges the rows take: so many that each has ``per_range``, and of less than that one for each core."""
+    n = rows.count()
+    return max(1, -(-n // (per_range or ROWS)), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST))
 
 
-def range_of(value: Column, cuts: Sequence[float], first: int = 0) -> Column:
-    """The number of a value's range, found by halving; it never falls as values rise, and a null is in the first."""
-    if not cuts:
-        return F.lit(first)
-    half = len(cuts) // 2
-    return F.when(value > cuts[half], range_of(value, cuts[half + 1 :], first + half + 1)).otherwise(range_of(value, cuts[:half], first))
-
-
-def in_ranges(rows: DataFrame, value: str, bin: str) -> DataFrame:
-    """Write ``rows`` to the shared folder, so that they are computed once, and add the number of the range of ``value``."""
-    rows = materialize(rows, "in-ranges")
-    return rows.withColumn(bin, range_of(F.col(value), cut_points(rows, value)))
-
-
-def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, name: str, bin: str) -> DataFrame:
-    """Add ``name``, the sum of ``amount`` over the rows of the same group that come before in ``order``. ``bin`` is a column of
-    range numbers that never fall in that order; ties in ``order`` share a range."""
-    totals = rows.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col(bin).alias("_bin_of")).agg(F.sum(amount).alias("_sum"))
-    below = Window.partitionBy(*[f"_by_{c}" for c in by]).orderBy("_bin_of").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_base", F.coalesce(F.sum("_sum").over(below), F.lit(0))).drop("_sum")
-    inside = Window.partitionBy(*by, bin).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inside", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    on = rows[bin] == totals["_bin_of"]
+def same(left: DataFrame, right: DataFrame, by: Sequence[str], prefix: str) -> Column:
+    """The condition that joins ``by`` of ``left``, nulls included, to the columns of ``right`` that have the prefix."""
+    on = F.lit(True)
+    for c in by:
+        on = on & left[c].eqNullSafe(right[f"{prefix}{c}"])
+    return on
+
+
+def sums_before(totals: DataFrame, by: Sequence[str], bin: str, amount: str, name: str, fan: int | None = None) -> DataFrame:
+    """Add ``name``, the sum of ``amount`` over the rows of the same group with smaller ``bin``, on two levels. A group has a bin once."""
+    fan = fan or FAN
+    rows = totals.withColumn("_over", F.floor(F.col(bin) / fan))
+    inside = Window.partitionBy(*by, "_over").orderBy(bin).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_lower", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
+    upper = totals.groupBy(*[F.col(c).alias(f"_up_{c}") for c in by], F.floor(F.col(bin) / fan).alias("_up_over")).agg(F.sum(amount).alias("_all"))
+    below = Window.partitionBy(*[f"_up_{c}" for c in by]).orderBy("_up_over").rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.withColumn("_upper", F.coalesce(F.sum("_all").over(below), F.lit(0))).drop("_all")
+    joined = rows.join(upper, same(rows, upper, by, "_up_") & (rows["_over"] == upper["_up_over"]))
+    return joined.withColumn(name, F.col("_lower") + F.col("_upper")).drop("_over", "_lower", "_upper", "_up_over", *[f"_up_{c}" for c in by])
+
+
+def _starts(batch: pa.RecordBatch, by: Sequence[str], before: list | None) -> np.ndarray:
+    """Places where a row's group differs from that of the row before; ``before`` has the values ahead of the batch, or is None."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = [batch[c][0].as_py() for c in by] != before
     for c in by:
-        on = on & rows[c].eqNullSafe(totals[f"_by_{c}"])
-    return rows.join(totals, on).withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "_bin_of", *[f"_by_{c}" for c in by])
+        a, b = batch[c][1:], batch[c][:-1]
+        differs = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.not_equal(pc.is_null(a), pc.is_null(b)))
+        new[1:] |= differs.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: str, per_range: int | None = None) -> DataFrame:
+    """Write ``rows``, sorted in ranges of (by, order), with ``_bin``, the range's number, and ``_inside``, the sum of ``amount`` (whole
+    numbers) over the rows of the same group and range that come before. Input and result are written, so a lost task finds the
+    same ranges."""
+    rows = materialize(rows, "to-ranges")
+    dealt = rows.repartitionByRange(pieces(rows, per_range), *by, *order).sortWithinPartitions(*by, *order)
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "_bin int, _inside long"])
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bin, last, carried = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = pc.fill_null(batch[amount], 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            total = carried + np.cumsum(x) - x  # from the group ahead of the batch on
+            starts = _starts(batch, by, last)
+            base = np.zeros(batch.num_rows, np.int64)
+            base[starts] = np.diff(total[starts], prepend=0)
+            inside = total - np.cumsum(base)
+            carried, last = int(inside[-1] + x[-1]), [batch[c][batch.num_rows - 1].as_py() for c in by]
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(np.full(batch.num_rows, bin, np.int32)), pa.array(inside)], [*names, "_bin", "_inside"])
+
+    return materialize(dealt.mapInArrow(run, schema), "in-ranges")
+
+
+def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, name: str, per_range: int | None = None) -> DataFrame:
+    """Add ``name``, the sum of ``amount`` (whole numbers) over the rows of the same group that come before in ``order``. Rows alike in
+    ``by`` and ``order`` share a range and come one after another in any order."""
+    ranged = in_ranges(rows.withColumn("_of", amount.cast("long")), by, order, "_of", per_range)
+    totals = ranged.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_bin_of")).agg(F.sum("_of").alias("_sum"))
+    totals = sums_before(totals, [f"_by_{c}" for c in by], "_bin_of", "_sum", "_base").drop("_sum")
+    joined = ranged.join(totals, same(ranged, totals, by, "_by_") & (ranged["_bin"] == totals["_bin_of"]))
+    return joined.withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "_bin", "_bin_of", "_of", *[f"_by_{c}" for c in by])
 
 
 def percentiles(rows: DataFrame, by: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
     """A row a group with one exact percentile (interpolated) for each of ``shares``: values are counted, then ranked by their
     counts, so a group may have any number of distinct values. Nulls are left out."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_value")).agg(F.count("*").alias("_n"))
-    counts = running_before(in_ranges(counts, "_value", "_range"), by, [F.col("_value")], F.col("_n"), "_before", "_range")
+    counts = running_before(counts, by, [F.col("_value")], F.col("_n"), "_before")
     sizes = counts.groupBy(*[F.col(c).alias(f"_of_{c}") for c in by]).agg(F.sum("_n").alias("_all"))
-    on = F.lit(True)
-    for c in by:
-        on = on & counts[c].eqNullSafe(sizes[f"_of_{c}"])
-    placed = counts.join(sizes, on)
+    placed = counts.join(sizes, same(counts, sizes, by, "_of_"))
     at = lambda k: F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_n")), F.col("_value")))
     parts = []
     for name, share in shares.items():

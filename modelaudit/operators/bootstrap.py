@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelaudit.functions.items import hash01
-
 
 def bootstrap_f1(counts: DataFrame, k: int, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """Mean and 2.5 / 97.5 percentiles of macro-F1 (label null) and each class's F1, by model.
@@ -45,26 +45,61 @@ def summary(values: DataFrame, by: list[str]) -> DataFrame:
     return values.groupBy(*by).agg(F.avg("value").alias("mean"), F.get(ends, F.lit(0)).alias("lo"), F.get(ends, F.lit(1)).alias("hi"))
 
 
-def poisson_weight(key: Column, replicate: Column, seed: int = 42) -> Column:
-    """A Poisson(1) weight from a hash, by inversion; at most 8."""
-    u, total, term, out = hash01(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), replicate.cast("string"))), 0.0, float(np.exp(-1)), F.lit(8)
-    bounds = []
-    for i in range(8):
-        total += term
-        term /= i + 1
-        bounds.append(total)
-    for i in reversed(range(8)):
-        out = F.when(u < bounds[i], F.lit(i)).otherwise(out)
-    return out
+#: P(Poisson(1) <= i); beyond its last bound no 32-bit draw falls
+POISSON = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(16)])
+
+
+def draw_key(key: Column, seed: int = 42) -> Column:
+    """A 32-bit number from seed and key; ``draws`` mixes it with the replicate's number."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string"))), 1, 8), 16, 10).cast("long")
+
 
+def draws(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """(key, replicate) matrix of numbers in [0, 1): the sum of key and replicate * 2654435769, mixed by shifts and odd factors modulo
+    2**32, which any engine with 64-bit integers can repeat."""
+    x = (keys.astype(np.uint32)[:, None] + replicates.astype(np.uint32)[None, :] * np.uint32(2654435769)).astype(np.uint32)
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        x ^= x >> np.uint32(shift)
+        x *= np.uint32(factor)
+    return (x ^ (x >> np.uint32(16))) / 4294967296.0
 
-def bootstrap_ci(rows: DataFrame, key: str, metric: Callable[[Column], Column], replicates: int = 100, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
-    """Interval of any weighted aggregate: ``metric(weight)`` is an aggregate of rows with that weight, as in
-    ``lambda w: F.sum(w * x) / F.sum(w)``. Weights are Poisson; partial sums combine before the shuffle."""
-    drawn = rows.withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = drawn.withColumn("_w", poisson_weight(F.col(key), F.col("_rep"), seed))
-    values = drawn.groupBy(*by, "_rep").agg(metric(F.col("_w")).alias("value"))
-    return summary(values, list(by))
+
+def bootstrap_ci(rows: DataFrame, key: str, terms: dict[str, Column], metric: Callable[[dict[str, Column]], Column], replicates: int = 1000, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """Mean and 2.5 / 97.5 percentiles of a metric of weighted sums, as in ``terms={"hits": x, "n": lit(1)}`` with
+    ``metric=lambda s: s["hits"] / s["n"]``. A row's weight in a replicate is a Poisson(1) draw by inversion.
+
+    Rows are never repeated: a task multiplies the weights of some thousand rows with their terms and keeps one sum for each group,
+    replicate and term, so what is shuffled doesn't grow with the rows. Null terms count 0. Without rows it is an error.
+    """
+    if rows.isEmpty():
+        raise ValueError("no rows to draw from")
+    names = list(terms)
+    given = rows.select(*by, draw_key(F.col(key), seed).alias("_key"), *[F.coalesce(terms[n].cast("double"), F.lit(0.0)).alias(f"_t_{n}") for n in names])
+    kinds = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"{kinds}{', ' if by else ''}_sums array<array<double>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, sums = np.arange(replicates), {}
+        for batch in batches:
+            keys, x = batch["_key"].to_numpy(), np.stack([batch[f"_t_{n}"].to_numpy() for n in names], axis=1)
+            groups: dict[tuple, list] = {}
+            for i, group in enumerate(zip(*[batch[c].to_pylist() for c in by], strict=True) if by else [()] * batch.num_rows):
+                groups.setdefault(group, []).append(i)
+            for group, at in groups.items():
+                total = sums.setdefault(group, np.zeros((replicates, len(names))))
+                for i in range(0, len(at), 2048):
+                    some = np.array(at[i : i + 2048])
+                    weights = np.searchsorted(POISSON, draws(keys[some], numbers), side="right")
+                    total += weights.T.astype(float) @ x[some]
+        if sums:
+            yield pa.RecordBatch.from_arrays([
+                *[pa.array([g[i] for g in sums], batch.schema.field(c).type) for i, c in enumerate(by)], pa.array([s.tolist() for s in sums.values()], pa.list_(pa.list_(pa.float64()))),
+            ], [*by, "_sums"])
+
+    parts = given.mapInArrow(run, schema).select(*by, F.posexplode("_sums").alias("_rep", "_s"))
+    totals = parts.groupBy(*by, "_rep").agg(*[F.sum(F.get("_s", F.lit(i))).alias(n) for i, n in enumerate(names)])
+    out = summary(totals.select(*by, metric({n: F.col(n) for n in names}).alias("value")), list(by))
+    return out
 
 
 def bootstrap_udf(rows: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray], float], replicates: int = 100, seed: int = 42) -> DataFrame:

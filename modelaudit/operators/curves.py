@@ -44,10 +44,15 @@ def loss_rebound(epochs: DataFrame, least: int = 5) -> DataFrame:
 
 
 def round_curve(rounds: DataFrame, deployed: int) -> DataFrame:
-    """Boosting series (run, round, train_loss, val_loss): first best round, losses at the deployed one, the final gap
-    (validation minus training) and what it says."""
+    """Boosting series (run, round, train_loss, val_loss, and train_error, val_error if there are errors): first best round, losses
+    at the deployed one, the final gap (validation minus training) and what it says; of errors the first best round, the least and the
+    deployed ones, and the final gap."""
     at = lambda c: F.max(F.when(F.col("round") == deployed, F.col(c)))
-    out = rounds.groupBy("run").agg(F.min_by("round", F.struct("val_loss", "round")).alias("best_round"), F.min("val_loss").alias("best_val"), at("train_loss").alias("deployed_train"), at("val_loss").alias("deployed_val"), F.max_by(F.col("val_loss") - F.col("train_loss"), "round").alias("final_gap"), F.max("round").alias("last_round"))
+    gap = lambda what: F.max_by(F.col(f"val_{what}") - F.col(f"train_{what}"), "round")
+    columns = [F.min_by("round", F.struct("val_loss", "round")).alias("best_round"), F.min("val_loss").alias("best_val"), at("train_loss").alias("deployed_train"), at("val_loss").alias("deployed_val"), gap("loss").alias("final_gap"), F.max("round").alias("last_round")]
+    if "val_error" in rounds.columns:
+        columns += [F.min_by("round", F.struct("val_error", "round")).alias("best_error_round"), F.min("val_error").alias("best_error"), at("train_error").alias("deployed_train_error"), at("val_error").alias("deployed_val_error"), gap("error").alias("final_error_gap")]
+    out = rounds.groupBy("run").agg(*columns)
     return out.withColumn("verdict", F.when(F.col("final_gap") > 0.05, F.when(F.col("best_round") < F.col("last_round"), "overfits after the best round").otherwise("wide gap, still improving")).otherwise("no wide gap"))
 
 

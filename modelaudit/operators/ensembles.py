@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,10 +38,14 @@ def weight_grid(preds: DataFrame, a: str, b: str, k: int, steps: int = 20) -> Da
     return table.join(F.broadcast(first)).withColumn("best", F.col("step") == F.col("first")).drop("top", "first")
 
 
-def _mean(preds: DataFrame, weight: F.Column | None, name: str) -> DataFrame:
-    long = preds.select("item_id", "y_true", F.posexplode("y_prob").alias("label", "p"), (weight if weight is not None else F.lit(1.0)).alias("w"))
-    each = long.groupBy("item_id", "label").agg(F.min("y_true").alias("y_true"), (F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
-    rows = each.groupBy("item_id").agg(F.min("y_true").alias("y_true"), F.transform(F.array_sort(F.collect_list(F.struct("label", "p"))), lambda x: x["p"]).alias("y_prob"))
+def _mean(preds: DataFrame, weight: Column | None, name: str) -> DataFrame:
+    """Probabilities of an item's rows, added label by label and divided by the sum of weights: one shuffle of items."""
+    row = F.struct((weight if weight is not None else F.lit(1.0)).alias("w"), F.col("y_prob").alias("p"))
+    items = preds.groupBy("item_id").agg(F.min("y_true").alias("y_true"), F.array_sort(F.collect_list(row)).alias("rows"))  # a row a model or view
+    zero = F.transform(F.get("rows", F.lit(0))["p"], lambda _: F.lit(0.0))
+    sums = F.aggregate("rows", zero, lambda s, r: F.zip_with(s, r["p"], lambda a, x: a + r["w"] * x))
+    total = F.aggregate("rows", F.lit(0.0), lambda s, r: s + r["w"])
+    rows = items.select("item_id", "y_true", sums.alias("s"), total.alias("w")).select("item_id", "y_true", F.transform("s", lambda x: x / F.col("w")).alias("y_prob"))
     return rows.select(F.lit(name).alias("model"), "item_id", "y_true", argmax_class(F.col("y_prob")).alias("y_pred"), "y_prob")
 
 

@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from modelaudit.functions.items import argmax_class
+from modelaudit.functions.items import argmax_class, order_key
 from modelaudit.operators import metrics
 from modelaudit.operators.bootstrap import bootstrap_f1
 from modelaudit.operators.leakage import pool_splits
 from modelaudit.operators.neighbours import borderline_smote
-from modelaudit.operators.splits import class_weights, ranked, stratified_fraction
+from modelaudit.operators.splits import class_weights, ranked, stratified_fraction, stratified_kfold
+from modelaudit.operators.trees import boosting_rounds, forest_cells
 from modelaudit.sources.shared import materialize
 
 
@@ -62,55 +63,164 @@ def _fit_cached(learner: Estimator, rows: DataFrame) -> Model:
 
 
 def linear_svm(rows: DataFrame, reg: float = 0.01, iterations: int = 10) -> Model:
-    """M4: one-vs-rest linear machines on balanced weights. It has margins only; ``score`` takes their softmax, uncalibrated."""
+    """M4: one-vs-rest linear machines on balanced weights. It has margins only, of which ``score`` takes the softmax; for probabilities
+    see ``calibrated_svm``."""
     base = LinearSVC(featuresCol="v", labelCol="label", weightCol="weight", regParam=reg, maxIter=iterations)
     return _fit_cached(OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight"), rows)
 
 
+class Calibrated:
+    """A one-vs-rest machine with a sigmoid for each member's margin; probabilities are the sigmoids' shares of their sum."""
+
+    def __init__(self, model: Model, sigmoids: list[tuple[float, float]]) -> None:
+        self.model, self.sigmoids = model, sigmoids
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        margins = self.model.transform(rows)
+        m = vector_to_array("rawPrediction")
+        each = F.array(*[F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * F.get(m, F.lit(i)) + F.lit(b)))) for i, (a, b) in enumerate(self.sigmoids)])
+        margins = margins.withColumn("_each", each)
+        total = F.aggregate("_each", F.lit(1e-300), lambda s, x: s + x)
+        return margins.withColumn("_total", total).withColumn("probability", array_to_vector(F.transform("_each", lambda x: x / F.col("_total")))).drop("_each", "_total")
+
+
+def fit_sigmoids(margins: DataFrame, k: int) -> list[tuple[float, float]]:
+    """Slope and intercept of each class's sigmoid by maximum likelihood on (y_true, margins), with targets (n1 + 1) / (n1 + 2) and
+    1 / (n0 + 2) in place of 1 and 0, so that margins that part the classes have a finite slope. Newton steps; each is one pass, whose
+    few sums for all classes go to the driver."""
+    counts = {r["y_true"]: r["count"] for r in margins.groupBy("y_true").count().collect()}  # a row a class
+    n = sum(counts.values())
+    found = [(1.0, 0.0)] * k
+    for _ in range(30):
+        sums = []
+        for i, (a, b) in enumerate(found):
+            n1 = counts.get(i, 0)
+            t = F.when(F.col("y_true") == i, F.lit((n1 + 1.0) / (n1 + 2.0))).otherwise(F.lit(1.0 / (n - n1 + 2.0)))
+            x = F.get("margins", F.lit(i))
+            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(a) * x + F.lit(b))))
+            sums += [F.sum(y).alias(f"{name}{i}") for name, y in (("ga", (t - p) * x), ("gb", t - p), ("aa", p * (1 - p) * x * x), ("ab", p * (1 - p) * x), ("bb", p * (1 - p)))]
+        r = margins.agg(*sums).first()
+        moved, largest = [], 0.0
+        for i, (a, b) in enumerate(found):
+            g, h = np.array([r[f"ga{i}"], r[f"gb{i}"]]), np.array([[r[f"aa{i}"], r[f"ab{i}"]], [r[f"ab{i}"], r[f"bb{i}"]]]) + 1e-10 * np.eye(2)
+            step = np.linalg.solve(h, g)
+            step *= min(1.0, 2.0 / max(np.abs(step).max(), 1e-12))
+            moved.append((a + step[0], b + step[1]))
+            largest = max(largest, float(np.abs(step).max()))
+        found = [(float(a), float(b)) for a, b in moved]
+        if largest < 1e-6:
+            break
+    return found
+
+
+def calibrated_svm(rows: DataFrame, k: int, folds: int = 5, fit: Callable[[DataFrame], Model] = linear_svm) -> Calibrated:
+    """M4 with probabilities: sigmoids are fitted to margins of rows that the machine hasn't seen (stratified folds), then the machine is
+    fitted on all rows."""
+    dealt = materialize(stratified_kfold(rows.select("item_id", "features", "y_true"), "item_id", "y_true", folds), "calibration-folds")
+
+    def unseen(f: int) -> DataFrame:
+        model = fit(dealt.filter(F.col("fold") != f).drop("fold"))
+        out = model.transform(dealt.filter(F.col("fold") == f).withColumn("v", array_to_vector("features")))
+        return materialize(out.select("y_true", vector_to_array("rawPrediction").alias("margins")), "margins")
+
+    with ThreadPoolExecutor(4) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(unseen), range(folds)))
+    return Calibrated(fit(rows), fit_sigmoids(pool_splits(*parts), k))
+
+
+def _waves(dim: int, gamma: float, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, np.sqrt(2 * gamma), (dim, n)), rng.uniform(0, 2 * np.pi, n)
+
+
 def fourier(rows: DataFrame, gamma: float, n: int = 128, seed: int = 42) -> DataFrame:
     """M5: random Fourier features of the RBF kernel exp(-gamma * |x - y|^2)."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for df in batches:
             x = np.stack(df["features"].to_numpy()) if len(df) else np.empty((0, 1))
-            rng = np.random.default_rng(seed)
-            w, b = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], n)), rng.uniform(0, 2 * np.pi, n)
+            w, b = _waves(x.shape[1], gamma, n, seed)
             df["features"] = list(np.sqrt(2 / n) * np.cos(x @ w + b))
             yield df
 
     return rows.mapInPandas(run, rows.schema)
 
 
+def kernel_error(x: np.ndarray, gamma: float, n: int, seed: int = 42) -> float:
+    """Root mean square difference of the kernel and its approximation by ``n`` features, over all pairs of the rows of ``x``."""
+    w, b = _waves(x.shape[1], gamma, n, seed)
+    z = np.sqrt(2 / n) * np.cos(x @ w + b)
+    true = np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * x @ x.T, 0))
+    return float(np.sqrt(np.mean((z @ z.T - true) ** 2)))
+
+
+def fourier_size(rows: DataFrame, gamma: float, bound: float = 0.03, most: int = 8192, sample: int = 256, seed: int = 42) -> tuple[int, float]:
+    """How many Fourier features keep the kernel's error within ``bound``, and that error: measured on ``sample`` rows (those with the
+    smallest hashes), doubling from 64. Beyond ``most`` features it is an error, as the bound was not met."""
+    some = rows.orderBy(order_key(F.col("item_id")), "item_id").select("features").limit(sample).collect()
+    x = np.array([r["features"] for r in some], float)
+    n = 64
+    while (error := kernel_error(x, gamma, n, seed)) > bound:
+        n *= 2
+        if n > most:
+            raise ValueError(f"{most} features leave an error of {error:.3f}, over {bound}")
+    return n, error
+
+
+class KernelMachine:
+    """M5: a linear machine on Fourier features, which it makes of the rows it is given."""
+
+    def __init__(self, model: Model | Calibrated, gamma: float, n: int, error: float) -> None:
+        self.model, self.gamma, self.n, self.error = model, gamma, n, error
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        given = fourier(rows.drop("v"), self.gamma, self.n)
+        return self.model.transform(given.withColumn("v", array_to_vector("features")))
+
+
+def rbf_svm(rows: DataFrame, c: float = 1.0, gamma: float | str = "scale", bound: float = 0.03, iterations: int = 20) -> KernelMachine:
+    """M5: an RBF machine with cost ``c`` and ``gamma`` (a number; scale: 1 / (dimensions * variance of all values); auto: 1 / dimensions),
+    on as many Fourier features as the bound on the kernel's error asks for."""
+    if isinstance(gamma, str):
+        r = rows.select(F.size("features").alias("d"), F.explode("features").alias("x")).agg(F.max("d").alias("d"), F.var_pop("x").alias("v")).first()
+        gamma = 1 / r["d"] if gamma == "auto" else 1 / (r["d"] * (r["v"] or 1.0))
+    n, error = fourier_size(rows, gamma, bound)
+    count = rows.count()
+    return KernelMachine(linear_svm(fourier(rows, gamma, n), 1 / (max(count, 1) * c), iterations), gamma, n, error)
+
+
 def oversampled(rows: DataFrame, m: int = 10, k: int = 5) -> DataFrame:
     """M6 with T9: training rows and the made-up ones of smaller classes; made-up rows have the id of the row they lie next to."""
     return borderline_smote(rows, klass="y_true", m=m, k=k).select("item_id", "features", "y_true")
 
 
-def random_forest(rows: DataFrame, trees: int = 20, depth: int = 5) -> Model:
-    """M6."""
-    return RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=42).fit(_weighted(rows))
+def random_forest(rows: DataFrame, trees: int = 20, depth: int = 5, features: str = "sqrt", least: int = 1) -> Model:
+    """M6. ``features``: how many of them a split looks at (sqrt, log2, all or a number); ``least``: rows in a leaf."""
+    learner = RandomForestClassifier(featuresCol="v", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, featureSubsetStrategy=features, minInstancesPerNode=least, seed=42)
+    return learner.fit(_weighted(rows))
 
 
-def boosted_trees(rows: DataFrame, rounds: int = 5, depth: int = 3) -> Model:
-    """M7."""
-    base = GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=42)
+def boosted_trees(rows: DataFrame, rounds: int = 5, depth: int = 3, rate: float = 0.1, features: str = "all", share: float = 1.0) -> Model:
+    """M7. ``rate``: a round's weight; ``features``: the share of columns a split looks at; ``share``: of rows in a round."""
+    base = GBTClassifier(featuresCol="v", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=rate, featureSubsetStrategy=features, subsamplingRate=share, seed=42)
     return _fit_cached(OneVsRest(classifier=base, featuresCol="v", labelCol="label", weightCol="weight"), rows)
 
 
-def round_losses(model: Model, label: int, rows: DataFrame) -> list[float]:
-    """M7: loss after each round of the member for ``label``, for W4."""
-    member = model.models[label]
-    # one-vs-rest gives its members columns of its own names
-    test = rows.select((F.col("y_true") == label).cast("double").alias(member.getLabelCol()), F.lit(1.0).alias(member.getWeightCol()), array_to_vector("features").alias("v"))
-    return member.evaluateEachIteration(test)
+def round_series(model: Model, train: DataFrame, val: DataFrame) -> DataFrame:
+    """M7, for W4: (run, round, train_loss, val_loss, train_error, val_error) of each member (run: its label) and of all together (run:
+    all), after every round, in one pass over the rows."""
+    both = train.select("features", "y_true", F.lit("train").alias("part")).unionByName(val.select("features", "y_true", F.lit("val").alias("part")))
+    series = boosting_rounds(train.sparkSession, model, both, ("part",))
+    at = lambda part, c: F.max(F.when(F.col("part") == part, F.col(c))).alias(f"{part}_{c}")
+    return series.groupBy(F.coalesce(F.col("label").cast("string"), F.lit("all")).alias("run"), "round").agg(*[at(p, c) for c in ("loss", "error") for p in ("train", "val")])
 
 
 def score(model: Model, rows: DataFrame, k: int, name: str = "model") -> DataFrame:
     """M8: model, item_id, y_true, y_pred, y_prob."""
     out = model.transform(rows.withColumn("v", array_to_vector("features")))
-    raw = vector_to_array("probability" if "probability" in out.columns else "rawPrediction")
-    out = out.select("item_id", "y_true", raw.alias("raw"))
-    if not getattr(model, "hasParam", lambda _: False)("probabilityCol"):
+    known = "probability" in out.columns
+    out = out.select("item_id", "y_true", vector_to_array("probability" if known else "rawPrediction").alias("raw"))
+    if not known:
         total = F.aggregate(F.transform("raw", lambda x: F.exp(x)), F.lit(0.0), lambda a, x: a + x)
         out = out.withColumn("raw", F.transform("raw", lambda x: F.exp(x) / total))
     prob = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.get("raw", i), F.lit(0.0)))
@@ -122,13 +232,9 @@ def macro_f1(preds: DataFrame, k: int) -> float:
     return metrics.headline(metrics.cells(preds), k).first()["macro_f1"]
 
 
-def grid_search_cv(rows: DataFrame, fit: Callable[..., Model], grid: dict[str, Sequence], k: int, folds: int, oversample: Callable[[DataFrame], DataFrame] | None = None, at_once: int = 4) -> list[tuple[dict, float]]:
-    """M3: mean macro-F1 over folds (column ``fold``) of each parameter set, in the grid's order.
-
-    What belongs to a fold is made once for all parameter sets: the scaling is fitted on its training rows, which are scaled and,
-    with ``oversample`` (as ``oversampled``, T9), filled up; its test rows are only scaled. ``at_once`` fits run side by side.
-    """
-    sets = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+def prepared_folds(rows: DataFrame, folds: int, oversample: Callable[[DataFrame], DataFrame] | None, pool: ThreadPoolExecutor) -> list[tuple[DataFrame, DataFrame]]:
+    """What belongs to a fold: the scaling is fitted on its training rows, which are scaled and, with ``oversample`` (as ``oversampled``,
+    T9), filled up; its test rows are only scaled."""
 
     def prepared(f: int) -> tuple[DataFrame, DataFrame]:
         train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
@@ -136,17 +242,49 @@ def grid_search_cv(rows: DataFrame, fit: Callable[..., Model], grid: dict[str, S
         train = standardise(train, fitted)
         return materialize(oversample(train) if oversample else train, "fold-train"), materialize(standardise(test, fitted), "fold-test")
 
+    return list(pool.map(inheritable_thread_target(rows.sparkSession)(prepared), range(folds)))
+
+
+def grid_search_cv(rows: DataFrame, fit: Callable[..., Model], grid: dict[str, Sequence], k: int, folds: int, oversample: Callable[[DataFrame], DataFrame] | None = None, at_once: int = 4) -> list[tuple[dict, float]]:
+    """M3: mean macro-F1 over folds (column ``fold``) of each parameter set, in the grid's order. Folds are made once for all sets;
+    ``at_once`` fits run side by side."""
+    sets = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+
     def scored(job: tuple[dict, tuple[DataFrame, DataFrame]]) -> float:
         params, (train, test) = job
         return macro_f1(score(fit(train, **params), test, k), k)
 
-    spark = rows.sparkSession
     with ThreadPoolExecutor(at_once) as pool:
-        parts = list(pool.map(inheritable_thread_target(spark)(prepared), range(folds)))
-        scores = list(pool.map(inheritable_thread_target(spark)(scored), [(params, part) for params in sets for part in parts]))
+        parts = prepared_folds(rows, folds, oversample, pool)
+        scores = list(pool.map(inheritable_thread_target(rows.sparkSession)(scored), [(params, part) for params in sets for part in parts]))
     return [(params, float(np.mean(scores[i * folds : (i + 1) * folds]))) for i, params in enumerate(sets)]
 
 
+def forest_search_cv(rows: DataFrame, grid: dict[str, Sequence], k: int, folds: int, oversample: Callable[[DataFrame], DataFrame] | None = None, at_once: int = 4) -> list[tuple[dict, float]]:
+    """M3 for forests (``trees`` and ``depth``, and any other of ``random_forest``): as ``grid_search_cv``, but a fold is fitted once for
+    all numbers of trees and all depths. The largest, deepest forest has the others inside: its first trees, cut at a depth.
+    Draws differ from those of a forest fitted at the smaller size, the distribution doesn't."""
+    others = {p: values for p, values in grid.items() if p not in ("trees", "depth")}
+    sets = [dict(zip(others, values, strict=True)) for values in product(*others.values())]
+    sizes, depths, spark = list(grid["trees"]), list(grid["depth"]), rows.sparkSession
+
+    def scored(job: tuple[dict, tuple[DataFrame, DataFrame]]) -> dict[tuple[int, int], float]:
+        params, (train, test) = job
+        model = random_forest(train, max(sizes), max(depths), **params)
+        table = metrics.headline(forest_cells(spark, model, test, sizes, depths), k, ("trees", "depth"))
+        return {(r["trees"], r["depth"]): r["macro_f1"] for r in table.collect()}  # a row a parameter set
+
+    with ThreadPoolExecutor(at_once) as pool:
+        parts = prepared_folds(rows, folds, oversample, pool)
+        found = list(pool.map(inheritable_thread_target(spark)(scored), [(params, part) for params in sets for part in parts]))
+    out = []
+    for values in product(*grid.values()):
+        params = dict(zip(grid, values, strict=True))
+        i = sets.index({p: params[p] for p in others})
+        out.append((params, float(np.mean([f[params["trees"], params["depth"]] for f in found[i * folds : (i + 1) * folds]]))))
+    return out
+
+
 def train_select_refit(train: DataFrame, val: DataFrame, candidates: dict[str, Callable[[DataFrame], Model]], k: int) -> tuple[str, Model, dict[str, float]]:
     """Fit each candidate, take the best macro-F1 on val (first on ties), fit it again on train and val together."""
     scores = {name: macro_f1(score(fit(train), val, k), k) for name, fit in candidates.items()}

@@ -1,7 +1,6 @@
 """Similarity between splits: nearest neighbours, neighbours by number, components of near copies, borderline oversampling.
 
-Vectors are multiplied block by block: rows are packed into blocks of bounded size, each block of one side meets each of
-the other through an equi-join on the block's number, and only the best of each row is kept.
+Vectors meet through an exact index (``vector_index``): rows visit only the rings of vectors that may hold what they look for.
 """
 
 from __future__ import annotations
@@ -15,79 +14,64 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.functions.items import cosine, hash01, vector_key
-from modelaudit.functions.ranges import in_ranges, running_before
+from modelaudit.functions.ranges import running_before
 from modelaudit.operators.splits import random_pool, ranked
+from modelaudit.operators.vector_index import RING, SLACK, Index, distance
 from modelaudit.sources.shared import materialize
 
-BLOCK = 2048
 
-
-def _blocks(rows: DataFrame, name: str, key: str, n: int) -> DataFrame:
-    dealt = rows.filter(F.col("features").isNotNull()).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
-    ordered = F.array_sort(F.collect_list(F.struct(key, "features")))
-    return dealt.groupBy("_b").agg(ordered.alias("_rows")).select(F.col("_b").alias(f"{name}_block"), F.transform("_rows", lambda x: x[key]).alias(f"{name}_ids"), F.transform("_rows", lambda x: x["features"]).alias(f"{name}_vecs"))
-
-
-def _unit(cell: pa.ListScalar) -> np.ndarray:
-    rows = cell.values
-    flat = rows.flatten().to_numpy(zero_copy_only=False).astype(float)
-    x = flat.reshape(len(rows), -1)
-    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-
-
-def _block_pairs(b: DataFrame, a: DataFrame, key: str, block: int) -> DataFrame:
-    """(b_block, a_block, b_ids, b_vecs, a_ids, a_vecs): each pair of blocks is a key of its own, so pairs spread over all tasks."""
-    n_a, n_b = (max(1, -(-x.count() // block)) for x in (a, b))
-    to = lambda rows, name, n: rows.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return to(_blocks(b, "b", key, n_b), "a_block", n_a).join(to(_blocks(a, "a", key, n_a), "b_block", n_b).hint("shuffle_hash"), ["a_block", "b_block"])
-
-
-def top_neighbours(b: DataFrame, a: DataFrame, key: str = "item_id", k: int = 1, block: int = BLOCK) -> DataFrame:
+def top_neighbours(b: DataFrame, a: DataFrame, key: str = "item_id", k: int = 1, ring: int = RING, pivots: int | None = None) -> DataFrame:
     """(b_id, a_id, sim, rank): for each row of ``b`` the k most similar rows of ``a`` by cosine (smaller a_id on ties). Never a
-    row with itself."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                b_ids, a_ids = (np.array(batch[x][r].as_py(), np.int64) for x in ("b_ids", "a_ids"))
-                sims = np.round(_unit(batch["b_vecs"][r]) @ _unit(batch["a_vecs"][r]).T, 9)
-                sims[b_ids[:, None] == a_ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(a_ids, sims.shape), -sims), axis=1)[:, :k]
-                i, j = np.repeat(np.arange(len(b_ids)), order.shape[1]), order.ravel()
-                keep = np.isfinite(sims[i, j])
-                yield pa.RecordBatch.from_pydict({"b_id": b_ids[i][keep], "a_id": a_ids[j][keep], "sim": sims[i, j][keep]})
-
-    found = _block_pairs(b, a, key, block).select("b_ids", "b_vecs", "a_ids", "a_vecs").mapInArrow(search, "b_id long, a_id long, sim double")
+    row with itself. Each row visits the ring it lies in first; the k-th best there bounds which other rings it visits."""
+
+    def search(b_ids: np.ndarray, x: np.ndarray, a_ids: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sims = np.round(x @ y.T, 9)
+        sims[b_ids[:, None] == a_ids[None, :]] = -np.inf
+        least = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] >= k else np.full(len(x), -np.inf)
+        i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+        order = np.lexsort((a_ids[j], -sims[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        yield pa.RecordBatch.from_pydict({"b_id": pa.array(b_ids[i], pa.int64()), "a_id": pa.array(a_ids[j], pa.int64()), "sim": sims[i, j]})
+
+    schema = "b_id long, a_id long, sim double"
     rank = F.row_number().over(Window.partitionBy("b_id").orderBy(F.desc("sim"), "a_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
-def spanning_links(rows: DataFrame, threshold: float, key: str = "item_id", block: int = BLOCK) -> DataFrame:
-    """(a, b): links between rows whose cosine is over ``threshold``; of each pair of blocks as many as join all that it joins,
-    so m alike rows give about m links a pair of blocks and not their square."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                if batch["b_block"][r].as_py() > batch["a_block"][r].as_py():
-                    continue
-                b_ids, a_ids = (np.array(batch[x][r].as_py(), np.int64) for x in ("b_ids", "a_ids"))
-                sims = np.round(_unit(batch["b_vecs"][r]) @ _unit(batch["a_vecs"][r]).T, 9)
-                i, j = np.nonzero((sims > threshold) & (b_ids[:, None] != a_ids[None, :]))
-                ids, at = np.unique(np.concatenate([b_ids[i], a_ids[j]]), return_inverse=True)
-                up, kept = np.arange(len(ids)), []
-                for n, (x, y) in enumerate(zip(at[: len(i)].tolist(), at[len(i) :].tolist(), strict=True)):
-                    while up[x] != x:
-                        up[x] = x = up[up[x]]
-                    while up[y] != y:
-                        up[y] = y = up[up[y]]
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
-                        kept.append(n)
-                yield pa.RecordBatch.from_pydict({"a": b_ids[i][kept], "b": a_ids[j][kept]})
-
-    pairs = _block_pairs(rows, rows, key, block)
-    return pairs.select("a_block", "b_block", "b_ids", "b_vecs", "a_ids", "a_vecs").mapInArrow(link, "a long, b long")
+    best = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    index = Index(a, key, ring, pivots)
+    rows = materialize(b.filter(F.col("features").isNotNull()).select(F.col(key).alias("id"), "features"), "neighbour-rows")
+    first = materialize(index.visits(rows, None, k, own=True), "first-visits")
+    found = materialize(index.meet(rows, first, search, schema), "first-neighbours")
+    within = F.when(F.count("*") >= k, F.sqrt(F.greatest(2 - 2 * F.min("sim") + F.lit(4e-9), F.lit(0.0))) + F.lit(SLACK))
+    bounds = best(found).groupBy(F.col("b_id").alias("id")).agg(within.alias("within"))
+    more = index.visits(rows.join(bounds, "id", "left"), "within", k).join(first, ["id", "cell", "ring"], "left_anti")
+    more = materialize(more, "more-visits")
+    return best(found.unionByName(index.meet(rows, more, search, schema)))
+
+
+def spanning_links(rows: DataFrame, threshold: float, key: str = "item_id", ring: int = RING, pivots: int | None = None) -> DataFrame:
+    """(a, b): links between rows whose cosine is over ``threshold``; of what meets in a ring, as many as join all that it joins, so
+    m alike rows give about m links and not their square. Rows visit the rings within the threshold's distance alone."""
+
+    def link(b_ids: np.ndarray, x: np.ndarray, a_ids: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sims = np.round(x @ y.T, 9)
+        i, j = np.nonzero((sims > threshold) & (b_ids[:, None] != a_ids[None, :]))
+        ids, at = np.unique(np.concatenate([b_ids[i], a_ids[j]]), return_inverse=True)
+        up, kept = np.arange(len(ids)), []
+        for n, (x1, y1) in enumerate(zip(at[: len(i)].tolist(), at[len(i) :].tolist(), strict=True)):
+            while up[x1] != x1:
+                up[x1] = x1 = up[up[x1]]
+            while up[y1] != y1:
+                up[y1] = y1 = up[up[y1]]
+            if x1 != y1:
+                up[max(x1, y1)] = min(x1, y1)
+                kept.append(n)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(b_ids[i][kept], pa.int64()), "b": pa.array(a_ids[j][kept], pa.int64())})
+
+    index = Index(rows, key, ring, pivots)
+    near = rows.filter(F.col("features").isNotNull()).select(F.col(key).alias("id"), "features", F.lit(float(distance(np.float64(threshold)))).alias("within"))
+    visits = materialize(index.visits(near, "within"), "link-visits")
+    return index.meet(near, visits, link, "a long, b long")
 
 
 def nearest_neighbour(b: DataFrame, a: DataFrame, key: str = "item_id") -> DataFrame:
@@ -96,6 +80,13 @@ def nearest_neighbour(b: DataFrame, a: DataFrame, key: str = "item_id") -> DataF
     return near.withColumns({"near_duplicate": F.col("sim") >= 0.9999, "very_close": (F.col("sim") >= 0.999) & (F.col("sim") < 0.9999)})
 
 
+def nearest_summary(near: DataFrame) -> DataFrame:
+    """One row with the number of rows, the largest and the mean of their best similarities, and how many are near duplicates or
+    very close. ``near``: ``nearest_neighbour``."""
+    flag = lambda name: F.coalesce(F.sum(F.col(name).cast("long")), F.lit(0)).alias(name)
+    return near.agg(F.count("*").alias("n"), F.max("sim").alias("most"), F.avg("sim").alias("mean"), flag("near_duplicate"), flag("very_close"))
+
+
 def k_nearest_by_id(test: DataFrame, train: DataFrame, number: str, key: str = "item_id", klass: str = "class", k: int = 5) -> DataFrame:
     """For each test row the k training rows of its class with the nearest numbers: (key, class, train_key, gap, sim).
 
@@ -106,10 +97,10 @@ def k_nearest_by_id(test: DataFrame, train: DataFrame, number: str, key: str = "
     pool = train.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("train_key"))
     asked = test.select(F.col(klass).alias("class"), F.col(number).alias("number"), F.col(key).alias("key"))
     both = pool.select("class", "number", F.lit(None).cast("long").alias("key"), F.lit(1).alias("t")).unionByName(asked.select("class", "number", "key", F.lit(0).alias("t")))
-    both = running_before(in_ranges(both, "number", "_range"), ["class"], [F.col("number"), F.desc("t")], F.col("t"), "place", "_range")
+    both = running_before(both, ["class"], [F.col("number"), F.desc("t")], F.col("t"), "place")
     placed = both.filter("t = 0").select("key", "class", F.col("number").alias("test_number"), "place")
-    numbered = running_before(in_ranges(pool, "number", "_range"), ["class"], [F.col("number"), F.col("train_key")], F.lit(1), "before", "_range")
-    numbered = numbered.withColumn("place", F.col("before") + 1).drop("before", "_range")
+    numbered = running_before(pool, ["class"], [F.col("number"), F.col("train_key")], F.lit(1), "before")
+    numbered = numbered.withColumn("place", F.col("before") + 1).drop("before")
     large = pool.groupBy("class").count().filter(F.col("count") > k).select("class")
     numbered = numbered.join(large, "class", "left_semi")
     around = placed.withColumn("place", F.explode(F.sequence(F.col("place") - k + 1, F.col("place") + k)))

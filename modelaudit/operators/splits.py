@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.functions.items import SEED, hash01, order_key
+from modelaudit.functions.ranges import pieces, running_before, sums_before
 
 SPLITS = ("train", "val", "test")
 
@@ -19,11 +20,10 @@ def _cut(rank: Column, n: Column, test: float, val: float) -> Column:
 
 
 def group_split(items: DataFrame, klass: str = "class", group: str = "grp", val: float = 0.15, test: float = 0.15) -> DataFrame:
-    """Add ``split``; the groups of each class are shuffled and cut, so no group straddles splits. The window runs on groups."""
-    groups = items.select(klass, group).distinct()
-    by_class = Window.partitionBy(klass)
-    ranked = groups.withColumn("_r", F.row_number().over(by_class.orderBy(order_key(F.col(group)), group))).withColumn("_n", F.count("*").over(by_class))
-    cut = ranked.select(F.col(klass).alias("_c"), F.col(group).alias("_g"), _cut(F.col("_r"), F.col("_n"), test, val).alias("split"))
+    """Add ``split``; the groups of each class are shuffled and cut, so no group straddles splits. Groups are ranked in shards of
+    their hash (see ``ranked``), so a class may have any number of them."""
+    groups = ranked(items.select(F.col(klass).alias("_c"), F.col(group).alias("_g")).distinct(), "_g", "_c")
+    cut = groups.select("_c", "_g", _cut(F.col("rank"), F.col("n"), test, val).alias("split"))
     return items.join(cut, items[klass].eqNullSafe(cut["_c"]) & items[group].eqNullSafe(cut["_g"])).drop("_c", "_g")
 
 
@@ -33,13 +33,14 @@ def stratified_split(items: DataFrame, key: str, klass: str = "class", val: floa
     return rows.withColumn("split", _cut(F.col("rank"), F.col("n"), test, val)).drop("rank", "n")
 
 
-def ranked(items: DataFrame, key: str, klass: str = "class", shards: int = 64, seed: int = SEED) -> DataFrame:
-    """Add ``rank`` (from 1) in the hash order of each class and the class's ``n``. A class is ranked in ``shards`` ranges of
-    its hash, whose counts add up, so a class with most rows is no single task."""
-    rows = items.withColumn("_o", order_key(F.col(key), seed)).withColumn("_s", F.floor(F.conv(F.substring("_o", 1, 4), 16, 10).cast("long") * F.lit(shards) / F.lit(65536)).cast("int"))
+def ranked(items: DataFrame, key: str, klass: str = "class", seed: int = SEED, per_shard: int | None = None) -> DataFrame:
+    """Add ``rank`` (from 1) in the hash order of each class and the class's ``n``. A class is ranked in ranges of its hash, whose
+    counts add up. How many ranges follows from the number of rows, so no task grows with them."""
+    shards = pieces(items.select(key), per_shard)
+    rows = items.withColumn("_o", order_key(F.col(key), seed)).withColumn("_s", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * F.lit(shards) / F.lit(2**32)).cast("int"))
     counts = rows.groupBy(F.col(klass).alias("_c"), F.col("_s").alias("_t")).count()
-    by_class = Window.partitionBy("_c")
-    counts = counts.withColumn("_before", F.coalesce(F.sum("count").over(by_class.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("count").over(by_class)).drop("count")
+    sizes = counts.groupBy(F.col("_c").alias("_k")).agg(F.sum("count").alias("n"))
+    counts = sums_before(counts, ["_c"], "_t", "count", "_before").drop("count").join(sizes, F.col("_c").eqNullSafe(F.col("_k"))).drop("_k")
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(klass, "_s").orderBy("_o", key)))
     rows = rows.join(counts, rows[klass].eqNullSafe(counts["_c"]) & (rows["_s"] == counts["_t"]))
     return rows.withColumn("rank", F.col("_r") + F.col("_before")).drop("_o", "_s", "_r", "_c", "_t", "_before")
@@ -66,11 +67,11 @@ def stratified_kfold(items: DataFrame, key: str, klass: str = "class", k: int =
 
 
 def stratified_group_kfold(items: DataFrame, klass: str = "class", group: str = "grp", k: int = 5) -> DataFrame:
-    """Add ``fold``; groups, largest first, are dealt in snake order to the folds of their class."""
+    """Add ``fold``; groups, largest first, are dealt in snake order to the folds of their class. Their places are running counts
+    in ranges of (size, hash), so a class may have any number of groups."""
     sizes = items.groupBy(F.col(klass).alias("_c"), F.col(group).alias("_g")).count()
-    order = Window.partitionBy("_c").orderBy(F.desc("count"), order_key(F.col("_g")), "_g")
-    at = (F.row_number().over(order) - 1).alias("at")
-    dealt = sizes.select("_c", "_g", at).withColumn("_m", F.pmod("at", F.lit(k))).withColumn("fold", F.when(F.pmod(F.floor(F.col("at") / k), F.lit(2)) == 0, F.col("_m")).otherwise(F.lit(k - 1) - F.col("_m")).cast("int"))
+    at = running_before(sizes, ["_c"], [F.desc("count"), order_key(F.col("_g")), F.col("_g")], F.lit(1), "at")
+    dealt = at.withColumn("_m", F.pmod("at", F.lit(k))).withColumn("fold", F.when(F.pmod(F.floor(F.col("at") / k), F.lit(2)) == 0, F.col("_m")).otherwise(F.lit(k - 1) - F.col("_m")).cast("int"))
     dealt = dealt.select("_c", "_g", "fold")
     return items.join(dealt, items[klass].eqNullSafe(dealt["_c"]) & items[group].eqNullSafe(dealt["_g"])).drop("_c", "_g")
 

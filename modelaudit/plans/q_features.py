@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelaudit.functions import items as fn
-from modelaudit.operators import metrics, ml, splits
+from modelaudit.operators import curves, ensembles, metrics, ml, splits
 from modelaudit.plans import views as v
 from modelaudit.plans.catalog import query
-from modelaudit.plans.q_metrics import CELLS, K, per_class_sql
+from modelaudit.plans.q_metrics import CELLS, GRID, K, STAGES_SQL, per_class_sql, stage_table
 from modelaudit.plans.q_models import EPOCHS, epochs, item_splits
 from modelaudit.sources import images, stores
 from modelaudit.sources.shared import materialize, new_dir
@@ -59,12 +59,16 @@ def s6(spark, sf_dir):
     return spark.read.parquet(path).select("model", "item_id", "y_true", "y_pred")
 
 
-@query("s7_reports", f"WITH {CELLS}, {per_class_sql()}, m AS (SELECT model, sum(tp) / sum(support) AS accuracy FROM pc GROUP BY 1) SELECT model, round(accuracy, 6) AS scores_accuracy FROM m")
+@query("s7_reports", f"""WITH {CELLS}, {per_class_sql()}, {GRID}, m AS (SELECT model, sum(tp) / sum(support) AS accuracy, avg(f1) FILTER (support + predicted > 0) AS macro_f1, list(round(f1, 6) ORDER BY label) AS f1 FROM pc GROUP BY 1),
+l AS (SELECT model, y_true, list(n ORDER BY y_pred) AS r FROM cm GROUP BY 1, 2), x AS (SELECT model, CAST(to_json(list(r ORDER BY y_true)) AS VARCHAR) AS matrix FROM l GROUP BY 1)
+SELECT m.model, round(accuracy, 6) AS report_accuracy, round(macro_f1, 6) AS report_macro_f1, f1[3] AS f1_of_2, matrix FROM m JOIN x ON m.model = x.model""")
 def s7(spark, sf_dir):
+    """Nested reports, written as JSON and read back."""
     path = new_dir(spark, "reports")
-    board = metrics.headline(metrics.cells(v.predictions(spark, sf_dir)), K)
-    stores.write_reports(board.select("model", F.struct("accuracy", "macro_f1").alias("scores")), path)
-    return stores.read_reports(spark, path, ["model", "scores.accuracy"]).withColumn("scores_accuracy", F.round("scores_accuracy", 6))
+    stores.write_reports(metrics.report(metrics.cells(v.predictions(spark, sf_dir)), K), path)
+    fields = ["model", "report.accuracy", "report.macro_f1", "report.per_class", "report.matrix"]
+    out = stores.read_reports(spark, path, fields)
+    return out.select("model", *R6("report_accuracy", "report_macro_f1"), F.round(F.get("report_per_class", F.lit(2))["f1"], 6).alias("f1_of_2"), F.to_json("report_matrix").alias("matrix"))
 
 
 @query("s8_read_run_logs", f"WITH {EPOCHS} SELECT CAST(run AS VARCHAR) AS run, idx AS index, stage, epoch, round(val_loss, 6) AS val_loss FROM ep")
@@ -76,11 +80,12 @@ def s8(spark, sf_dir):
     return stores.read_run_logs(spark, path, multi_line=False).select("run", "index", "stage", "epoch", *R6("val_loss"))
 
 
-@query("s9_metrics_table", f"WITH {CELLS}, {per_class_sql()} SELECT model, label, round(f1, 4) AS f1 FROM pc")
+@query("s9_metrics_table", STAGES_SQL.format(4))
 def s9(spark, sf_dir):
-    path = new_dir(spark, "table")
-    stores.write_metrics_table(metrics.per_class(metrics.cells(v.predictions(spark, sf_dir)), K).select("model", "label", "f1"), path)
-    return spark.read.schema("model string, label int, f1 double").csv(path, header=True)
+    """Precision, recall and F1 of three stages side by side, a row a class and one for the means, as a CSV table of four decimals."""
+    path, names = new_dir(spark, "table"), [f"{s}_{m}" for s in ("train", "val", "test") for m in ("precision", "recall", "f1")]
+    stores.write_metrics_table(stage_table(spark, sf_dir).select("label", *names), path)
+    return spark.read.schema(", ".join(["label int", *[f"{n} double" for n in names]])).csv(path, header=True)
 
 
 @query("s10_missing_files", f"WITH {v.ITEMS} SELECT class, name AS filename FROM items WHERE item_id % 7 = 0")
@@ -209,8 +214,9 @@ def m2(spark, sf_dir):
 
 @query("m3_grid_search_cv")
 def m3(spark, sf_dir):
+    """Sixteen forests by five group-aware folds from twenty fits."""
     rows = materialize(splits.stratified_group_kfold(learnable(v.items(spark, sf_dir)), "y_true", "grp", 5), "folds")
-    found = ml.grid_search_cv(rows, ml.random_forest, {"trees": [5, 10], "depth": [2, 4]}, K3, 5)
+    found = ml.forest_search_cv(rows, {"trees": [5, 10], "depth": [2, 4], "features": ["sqrt", "log2"], "least": [1, 2]}, K3, 5)
     return spark.createDataFrame([(str(p), s) for p, s in found], "params string, macro_f1 double")
 
 
@@ -235,10 +241,27 @@ query("m6_random_forest")(_scored(ml.random_forest))
 query("m7_boosted_trees")(_scored(lambda rows: ml.boosted_trees(rows, 3, 2)))
 
 
+@query("m4_calibrated_svm")
+def m4_calibrated(spark, sf_dir):
+    """The linear machine's calibrated probabilities, in a soft vote with a forest (H1)."""
+    train, test = _ready(spark, sf_dir)
+    both = ml.score(ml.calibrated_svm(train, K3, 3), test, K3, "svm").unionByName(ml.score(ml.random_forest(train, 5, 4), test, K3, "forest"))
+    out = both.unionByName(ensembles.soft_vote(materialize(both, "votes"), "svm", "forest"))
+    return out.select("model", "item_id", "y_true", "y_pred", F.round(fn.predicted_confidence(F.col("y_prob"), F.col("y_pred")), 6).alias("confidence"))
+
+
 @query("m5_rbf_svm")
 def m5(spark, sf_dir):
+    """As many Fourier features as keep the kernel's error within 0.05."""
+    train, test = _ready(spark, sf_dir)
+    return ml.score(ml.rbf_svm(train, 1.0, 1 / 128, 0.05), test, K3).select("item_id", "y_true", "y_pred")
+
+
+@query("w4_boosting_rounds")
+def w4_rounds(spark, sf_dir):
+    """Loss and error of boosted trees after each round on train and test, and what W4 says of them."""
     train, test = _ready(spark, sf_dir)
-    return ml.score(ml.linear_svm(ml.fourier(train, 1 / 128)), ml.fourier(test, 1 / 128), K3).select("item_id", "y_true", "y_pred")
+    return curves.round_curve(ml.round_series(ml.boosted_trees(train, 5, 2), train, test), 3)
 
 
 @query("m8_score")

@@ -47,10 +47,10 @@ def j9(spark, sf_dir):
     return paired.align(v.predictions(spark, sf_dir), ["A", "B", "C"])
 
 
-_GRID = f"g AS (SELECT model, CAST(t AS INTEGER) AS y_true, CAST(p AS INTEGER) AS y_pred FROM (SELECT DISTINCT model FROM cells), range({K}) a(t), range({K}) b(p)), cm AS (SELECT g.*, coalesce(c.n, 0) AS n FROM g LEFT JOIN cells c ON c.model = g.model AND c.y_true = g.y_true AND c.y_pred = g.y_pred)"
+GRID = f"g AS (SELECT model, CAST(t AS INTEGER) AS y_true, CAST(p AS INTEGER) AS y_pred FROM (SELECT DISTINCT model FROM cells), range({K}) a(t), range({K}) b(p)), cm AS (SELECT g.*, coalesce(c.n, 0) AS n FROM g LEFT JOIN cells c ON c.model = g.model AND c.y_true = g.y_true AND c.y_pred = g.y_pred)"
 
 
-@query("e1_confusion_matrix", f"WITH {CELLS}, {_GRID} SELECT * FROM cm")
+@query("e1_confusion_matrix", f"WITH {CELLS}, {GRID} SELECT * FROM cm")
 def e1(spark, sf_dir):
     return metrics.confusion_matrix(cells(spark, sf_dir), K)
 
@@ -86,25 +86,29 @@ def e6(spark, sf_dir):
     return bootstrap.bootstrap_f1(cells(spark, sf_dir), K)
 
 
-_W = "CASE " + " ".join(f"WHEN u < {b!r} THEN {i}" for i, b in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253])) + " ELSE 8 END"
+_BOUNDS = [float(x) for x in bootstrap.POISSON[:12]]  # 32-bit draws end before the others
+_W = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {i}" for i, b in enumerate(_BOUNDS)) + " ELSE 12 END"
 
 
-@query("e7_bootstrap_ci", f"""WITH {v.PREDICTIONS}, d AS (SELECT model, y_true = y_pred AS ok, {v.h01("'42|' || item_id || '|' || rep")} AS u, rep FROM predictions, range(20) t(rep)),
+@query("e7_bootstrap_ci", f"""WITH {v.PREDICTIONS}, k AS MATERIALIZED (SELECT model, y_true = y_pred AS ok, CAST('0x' || substr(md5('42|' || item_id), 1, 8) AS UBIGINT) AS k FROM predictions),
+d0 AS (SELECT model, ok, rep, (k + CAST(rep AS UBIGINT) * 2654435769) % 4294967296 AS x FROM k, range(1000) t(rep)),
+d1 AS (SELECT model, ok, rep, xor(x, x >> 16) * 2246822507 % 4294967296 AS x FROM d0), d2 AS (SELECT model, ok, rep, xor(x, x >> 13) * 3266489909 % 4294967296 AS x FROM d1),
+d AS (SELECT model, ok, rep, xor(x, x >> 16) / 4294967296.0::DOUBLE AS u FROM d2),
 w AS (SELECT model, rep, ok, {_W} AS w FROM d), m AS (SELECT model, rep, sum(CASE WHEN ok THEN w ELSE 0 END) / sum(w) AS value FROM w GROUP BY 1, 2)
 SELECT model, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM m GROUP BY 1""")
 def e7(spark, sf_dir):
     ok = (F.col("y_true") == F.col("y_pred")).cast("int")
-    return bootstrap.bootstrap_ci(v.predictions(spark, sf_dir), "item_id", lambda w: F.sum(w * ok) / F.sum(w), 20, ("model",)).select("model", *R6("mean", "lo", "hi"))
+    return bootstrap.bootstrap_ci(v.predictions(spark, sf_dir), "item_id", {"hits": ok, "n": F.lit(1)}, lambda s: s["hits"] / s["n"], 1000, ("model",)).select("model", *R6("mean", "lo", "hi"))
 
 
 _PAIR = f"""WITH {v.PREDICTIONS}, o AS (SELECT model, item_id, y_true = y_pred AS ok FROM predictions),
 q AS (SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (a.ok AND b.ok) AS both_right, count(*) FILTER (NOT a.ok AND b.ok) AS only_a, count(*) FILTER (a.ok AND NOT b.ok) AS only_b, count(*) FILTER (NOT a.ok AND NOT b.ok) AS both_wrong FROM o a JOIN o b ON a.item_id = b.item_id AND a.model < b.model GROUP BY 1, 2),
-s AS (SELECT *, only_a + only_b AS discordant, round(CASE WHEN only_a + only_b < 25 THEN least(only_a, only_b) ELSE power(abs(only_a - only_b) - 1, 2) / (only_a + only_b) END, 6) AS statistic FROM q)"""
+s AS (SELECT *, only_a + only_b AS discordant, round(CASE WHEN only_a + only_b < 25 THEN least(only_a, only_b) ELSE power(abs(only_a - only_b) - 1, 2) / (only_a + only_b) END, 6) AS statistic, round({v.mcnemar_sql('only_a', 'only_b')}, 6) AS p FROM q)"""
 
 
-@query("e8_mcnemar", f"{_PAIR} SELECT model_a, model_b, only_a, only_b, statistic FROM s WHERE model_a = 'A' AND model_b = 'B'")
+@query("e8_mcnemar", f"{_PAIR} SELECT model_a, model_b, only_a, only_b, statistic, p FROM s WHERE model_a = 'A' AND model_b = 'B'")
 def e8(spark, sf_dir):
-    return paired.all_pairs(v.predictions(spark, sf_dir).filter("model in ('A', 'B')")).select("model_a", "model_b", "only_a", "only_b", *R6("statistic"))
+    return paired.all_pairs(v.predictions(spark, sf_dir).filter("model in ('A', 'B')")).select("model_a", "model_b", "only_a", "only_b", *R6("statistic", "p"))
 
 
 @query("e9_pair_summary", f"{_PAIR} SELECT both_right, only_a, only_b, both_wrong, discordant FROM s WHERE model_a = 'A' AND model_b = 'C'")
@@ -114,7 +118,7 @@ def e9(spark, sf_dir):
 
 @query("e10_all_pairs", f"{_PAIR} SELECT * FROM s")
 def e10(spark, sf_dir):
-    return paired.all_pairs(v.predictions(spark, sf_dir)).drop("p").withColumn("statistic", F.round("statistic", 6))
+    return paired.all_pairs(v.predictions(spark, sf_dir)).withColumns({"statistic": F.round("statistic", 6), "p": F.round("p", 6)})
 
 
 @query("e11_confusion_pairs", f"""WITH {v.PREDICTIONS}, w AS (SELECT item_id, any_value(y_true) AS y_true, max(y_pred) FILTER (model = 'A') AS pa, max(y_pred) FILTER (model = 'B') AS pb FROM predictions GROUP BY 1),
@@ -125,7 +129,7 @@ def e11(spark, sf_dir):
     return paired.confusion_pairs(paired.outcomes(paired.align(v.predictions(spark, sf_dir), ["A", "B"]), "A", "B"))
 
 
-@query("e12_row_normalised_confusion", f"WITH {CELLS}, {_GRID} SELECT model, y_true, y_pred, n, round(n / nullif(sum(n) OVER (PARTITION BY model, y_true), 0), 6) AS share FROM cm")
+@query("e12_row_normalised_confusion", f"WITH {CELLS}, {GRID} SELECT model, y_true, y_pred, n, round(n / nullif(sum(n) OVER (PARTITION BY model, y_true), 0), 6) AS share FROM cm")
 def e12(spark, sf_dir):
     return metrics.row_normalised(metrics.confusion_matrix(cells(spark, sf_dir), K)).select("model", "y_true", "y_pred", "n", *R6("share"))
 
@@ -138,12 +142,20 @@ def split_predictions(spark, sf_dir):
 SPLIT_PRED = f"{v.PREDICTIONS}, {v.split_sql('ord')}, sp AS (SELECT p.*, split FROM predictions p JOIN split_items s ON p.item_id = s.item_id)"
 
 
-@query("e13_metrics_table", f"""WITH {SPLIT_PRED}, cells AS (SELECT split AS stage, y_true, y_pred, count(*) AS n FROM sp WHERE model = 'A' GROUP BY 1, 2, 3), {per_class_sql(by='stage')},
-al AS (SELECT stage, label, precision, recall, f1 FROM pc UNION ALL SELECT stage, NULL, avg(precision), avg(recall), avg(f1) FROM pc GROUP BY stage)
-SELECT label, {', '.join(f"round(max({m}) FILTER (stage = '{s}'), 6) AS {s}_{m}" for s in ('train', 'val', 'test') for m in ('precision', 'recall', 'f1'))} FROM al GROUP BY label""")
-def e13(spark, sf_dir):
+#: to be formatted with the number of decimals
+STAGES_SQL = (f"""WITH {SPLIT_PRED}, cells AS (SELECT split AS stage, y_true, y_pred, count(*) AS n FROM sp WHERE model = 'A' GROUP BY 1, 2, 3), {per_class_sql(by='stage')},
+al AS (SELECT stage, label, precision, recall, f1 FROM pc UNION ALL SELECT stage, NULL, avg(precision), avg(recall), avg(f1) FROM pc GROUP BY stage)""".replace("{", "{{").replace("}", "}}")
++ f" SELECT label, {', '.join(f'round(max({m}) FILTER (stage = {chr(39)}{s}{chr(39)}), {{0}}) AS {s}_{m}' for s in ('train', 'val', 'test') for m in ('precision', 'recall', 'f1'))} FROM al GROUP BY label")
+
+
+def stage_table(spark, sf_dir):
     c = metrics.cells(split_predictions(spark, sf_dir).filter("model = 'A'").withColumn("stage", F.col("split")), ("stage",))
-    out = metrics.metrics_table(c, K, ["train", "val", "test"])
+    return metrics.metrics_table(c, K, ["train", "val", "test"])
+
+
+@query("e13_metrics_table", STAGES_SQL.format(6))
+def e13(spark, sf_dir):
+    out = stage_table(spark, sf_dir)
     return out.select("label", *R6(*[c for c in out.columns if c != "label"]))
 
 

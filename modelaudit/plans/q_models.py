@@ -57,10 +57,10 @@ def h5(spark, sf_dir):
 
 @query("h7_ensemble_vs_components", f"""WITH {v.PREDICTIONS}, {_vote('0.5::DOUBLE * a[#] + (1.0::DOUBLE - 0.5::DOUBLE) * b[#]')},
 o AS (SELECT model, item_id, y_true = y_pred AS ok FROM predictions WHERE model IN ('A', 'B') UNION ALL SELECT 'ensemble', item_id, y_true = y_pred FROM en)
-SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT a.ok AND b.ok) AS only_a, count(*) FILTER (a.ok AND NOT b.ok) AS only_b FROM o a JOIN o b ON a.item_id = b.item_id AND a.model < b.model WHERE b.model = 'ensemble' GROUP BY 1, 2""")
+SELECT *, round({v.mcnemar_sql('only_a', 'only_b')}, 6) AS p FROM (SELECT a.model AS model_a, b.model AS model_b, count(*) FILTER (NOT a.ok AND b.ok) AS only_a, count(*) FILTER (a.ok AND NOT b.ok) AS only_b FROM o a JOIN o b ON a.item_id = b.item_id AND a.model < b.model WHERE b.model = 'ensemble' GROUP BY 1, 2)""")
 def h7(spark, sf_dir):
     p = v.predictions(spark, sf_dir).filter("model in ('A', 'B')")
-    return paired.all_pairs(p.unionByName(ensembles.soft_vote(p, "A", "B"))).filter("model_b = 'ensemble'").select("model_a", "model_b", "only_a", "only_b")
+    return paired.all_pairs(p.unionByName(ensembles.soft_vote(p, "A", "B"))).filter("model_b = 'ensemble'").select("model_a", "model_b", "only_a", "only_b", F.round("p", 6).alias("p"))
 
 
 @query("k1_most_confident_errors", f"WITH {v.PREDICTIONS} SELECT model, item_id, y_true, y_pred, round(y_prob[y_pred + 1], 6) AS confidence FROM predictions WHERE y_true <> y_pred ORDER BY y_prob[y_pred + 1] DESC, model, item_id LIMIT 50")
@@ -194,6 +194,13 @@ def j6(spark, sf_dir):
     return neighbours.nearest_neighbour(test, train).withColumn("sim", F.round("sim", 6))
 
 
+@query("j6_nearest_summary", f"""WITH {_SIM}, s AS (SELECT b.item_id AS b_id, max(round(list_dot_product(b.features, a.features) / (a.nn * b.nn), 9)) AS sim FROM u b, u a WHERE b.split = 'test' AND a.split = 'train' GROUP BY 1)
+SELECT count(*) AS n, round(max(sim), 6) AS most, round(avg(sim), 6) AS mean, count(*) FILTER (sim >= 0.9999) AS near_duplicate, count(*) FILTER (sim >= 0.999 AND sim < 0.9999) AS very_close FROM s""")
+def j6_summary(spark, sf_dir):
+    train, test = item_splits(spark, sf_dir)
+    return neighbours.nearest_summary(neighbours.nearest_neighbour(test, train)).select("n", "near_duplicate", "very_close", *R6("most", "mean"))
+
+
 _KNN = """, pr AS (SELECT b.item_id AS key, b.class, a.item_id AS train_key, abs(a.item_id - b.item_id) AS gap, list_dot_product(b.features, a.features) / (a.nn * b.nn) AS sim, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(a.item_id - b.item_id), a.item_id) AS r FROM u b JOIN u a ON a.class = b.class WHERE b.split = 'test' AND a.split = 'train' AND b.class IN (SELECT class FROM u WHERE split = 'train' GROUP BY class HAVING count(*) > 5)),
 near AS (SELECT * FROM pr WHERE r <= 5)"""
 

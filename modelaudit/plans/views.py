@@ -57,6 +57,18 @@ def h01(text: str) -> str:
     return H01.format(text)
 
 
+def erfc_sql(z: str) -> str:
+    """erfc by Simpson's rule on exp(-z^2) * integral of exp(-u^2 - 2uz) from 0 to 12, for z of either sign."""
+    tail = f"(2 / sqrt(pi()) * exp(-abs({z}) * abs({z})) / 600 * list_sum(list_transform(range(0, 2401), lambda i: (CASE WHEN i IN (0, 2400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-(i / 200.0::DOUBLE) * (i / 200.0::DOUBLE) - (i / 100.0::DOUBLE) * abs({z})))))"
+    return f"(CASE WHEN {z} < 0 THEN 2 - {tail} ELSE {tail} END)"
+
+
+def mcnemar_sql(a: str, b: str) -> str:
+    """p of McNemar's test: binomial below 25 discordant items, else chi-square with continuity correction."""
+    exact = f"least(1.0::DOUBLE, 2 * list_sum(list_transform(range(0, least({a}, {b}) + 1), lambda i: CAST(factorial(CAST(least({a} + {b}, 25) AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(least(i, 25) AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(greatest(least({a} + {b}, 25) - i, 0) AS INTEGER)) AS DOUBLE))) / power(2.0::DOUBLE, {a} + {b}))"
+    return f"(CASE WHEN {a} + {b} < 25 THEN {exact} ELSE {erfc_sql(f'(abs(abs({a} - {b}) - 1) / sqrt(2.0::DOUBLE * greatest({a} + {b}, 1)))')} END)"
+
+
 SPLIT_RULE = "CASE WHEN r <= ceil(round(n * 0.15, 9)) THEN 'test' WHEN r <= ceil(round(n * 0.15, 9)) + ceil(round((n - ceil(round(n * 0.15, 9))) * (0.15 / 0.85), 9)) THEN 'val' ELSE 'train' END"
 
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import time
+import uuid
+from collections.abc import Callable
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelaudit.functions.items import class_index
+from modelaudit.sources.shared import file_system
 
 MANIFEST = "filename string, class string, split string"
 SPLITS = ("train", "val", "test")
@@ -35,16 +40,38 @@ def missing_keys(store: DataFrame, wanted: DataFrame, key: str = "item_id") -> D
     return wanted.join(store.select(key).distinct(), key, "left_anti")
 
 
-def append_features(spark: SparkSession, wanted: DataFrame, compute, path: str, key: str = "item_id") -> DataFrame:  # noqa: ANN001
-    """Compute what the Parquet store at ``path`` lacks, append it, return the store's rows for ``wanted``."""
-    try:
-        wanted_now = missing_keys(spark.read.parquet(path), wanted, key)
-    except AnalysisException as e:  # of reading the store alone; nothing has run yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        wanted_now = wanted
-    compute(wanted_now).write.mode("append").parquet(path)
-    return spark.read.parquet(path).join(wanted.select(key), key, "left_semi")
+def commits(path: str) -> list[str]:
+    """The folders of a store's commits, oldest first. A commit is a folder of its own that its writer has marked as whole, so what a
+    lost or running append has written is not there yet."""
+    store, base = file_system(path)
+    found = store.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    names = sorted(f.base_name for f in found if f.type == fs.FileType.Directory and f.base_name.startswith("commit="))
+    whole = store.get_file_info([f"{base}/{n}/_SUCCESS" for n in names])
+    return [f"{path.rstrip('/')}/{n}" for n, f in zip(names, whole, strict=True) if f.type == fs.FileType.File]
+
+
+def read_features(spark: SparkSession, path: str, key: str = "item_id") -> DataFrame | None:
+    """A store's rows, each key once: where appends overlapped, the latest commit's row (the largest, if that has several). One
+    aggregation by key. None if nothing is there."""
+    folders = commits(path)
+    if not folders:
+        return None
+    rows = spark.read.option("basePath", path).option("mergeSchema", True).parquet(*folders).withColumn("commit", F.col("commit").cast("string"))
+    others = [c for c in rows.columns if c not in (key, "commit")]
+    newest = rows.groupBy(key).agg(F.max(F.struct("commit", *others)).alias("_row"))
+    return newest.select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
+
+
+def append_features(spark: SparkSession, wanted: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, key: str = "item_id") -> DataFrame:
+    """Compute what the Parquet store at ``path`` lacks, append it as one commit, return the store's rows for ``wanted``.
+
+    Appends may run side by side or again: each writes a folder of its own, named by time and chance, which counts once it is whole, and
+    rows that two appends have both computed are read once.
+    """
+    there = read_features(spark, path, key)
+    lacking = wanted if there is None else missing_keys(there, wanted, key)
+    compute(lacking).write.parquet(f"{path.rstrip('/')}/commit={time.time_ns():020d}-{uuid.uuid4().hex}")
+    return read_features(spark, path, key).join(wanted.select(key), key, "left_semi")
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:

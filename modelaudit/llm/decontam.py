@@ -136,29 +136,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(docs, benchmark).drop("text_hash")
 
 
-#: The SQL's own seeds; they miss some of what ``MASKS`` find.
-SQL_MASKS = ("1101101011", "1011100111", "1110011101")
-
-
-def _sql_seeds() -> str:
-    parts = []
-    for k, mask in enumerate(SQL_MASKS):
-        kept = [f"ws[i + {j + 1}]" for j, x in enumerate(mask) if x == "1"]
-        parts.append(f"SELECT id, {k} AS mask, i, concat_ws(' ', {', '.join(kept)}) AS seed FROM {{0}}, unnest(range(0, len(ws) - {SPAN - 1})) AS r(i)")
-    return " UNION ALL ".join(parts)
-
-
+#: Without seeds: equal words fix a shift each, and a shift counts if enough of them fall into one window.
 SQL = rf"""
-WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda w: w <> '') AS ws FROM documents),
+WITH d0 AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda w: w <> '') AS ws FROM (SELECT DISTINCT doc_id, text FROM documents)),
 b0 AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '{NOT_WORD}'), lambda w: w <> '') AS ws FROM benchmark),
-b AS (SELECT min(item_id) AS id, ws FROM b0 WHERE len(ws) > 0 GROUP BY ws),
-ds AS ({_sql_seeds().format('d')}),
-bs AS ({_sql_seeds().format('(SELECT * FROM b WHERE len(ws) >= ' + str(SPAN) + ')')}),
-h AS (SELECT DISTINCT ds.id AS doc_id, bs.id AS item_id, ds.i - bs.i AS shift FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed
-      UNION SELECT d.id, b.id, i FROM b, d, unnest(range(0, len(d.ws) - len(b.ws) + 1)) AS r(i) WHERE len(b.ws) < {SPAN} AND (len(b.ws) >= {LEAST} OR len(b.ws) = len(d.ws)) AND d.ws[i + 1 : i + len(b.ws)] = b.ws),
-e AS (SELECT h.*, len(b.ws) AS n, list_transform(range(0, len(b.ws)), lambda j: CASE WHEN shift + j >= 0 AND shift + j < len(d.ws) AND d.ws[shift + j + 1] = b.ws[j + 1] THEN 1 ELSE 0 END) AS eq
-      FROM h JOIN d ON d.id = h.doc_id JOIN b ON b.id = h.item_id),
-r AS (SELECT *, list_max(list_transform(range(0, n - least(n, {WINDOW}) + 1), lambda s: list_sum(eq[s + 1 : s + least(n, {WINDOW})]))) AS best FROM e)
-SELECT doc_id, item_id, CAST(max(list_sum(eq)) AS INTEGER) AS matched, CAST(max(n) AS INTEGER) AS item_words, CAST(min(greatest(shift, 0)) AS INTEGER) AS first_word
-FROM r WHERE best >= CASE WHEN n < {SPAN} THEN n ELSE ceil(least(n, {WINDOW}) * {SHARE}) END GROUP BY doc_id, item_id
+b1 AS (SELECT min(item_id) AS item_id, ws, len(ws) AS n FROM b0 WHERE len(ws) > 0 GROUP BY ws),
+b AS MATERIALIZED (SELECT item_id, n, unnest(ws) AS w, unnest(range(0, n)) AS j, CASE WHEN n < {SPAN} THEN n ELSE CAST(ceil(least(n, {WINDOW}) * {SHARE}) AS BIGINT) END AS need FROM b1),
+d AS (SELECT r, doc_id, len(ws) AS words, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM d0),
+s AS (SELECT r, any_value(doc_id) AS doc_id, item_id, i - j AS shift, any_value(n) AS n, any_value(need) AS need, list(j ORDER BY j) AS js FROM d JOIN b ON d.w = b.w
+      WHERE n >= {LEAST} OR n = words GROUP BY r, item_id, i - j HAVING count(*) >= any_value(need)),
+g AS (SELECT *, list_max(list_transform(range(1, len(js) - need + 2), lambda k: CASE WHEN js[k + need - 1] - js[k] < {WINDOW} THEN 1 ELSE 0 END)) AS ok FROM s)
+SELECT doc_id, item_id, CAST(max(len(js)) AS INTEGER) AS matched, CAST(max(n) AS INTEGER) AS item_words, CAST(min(greatest(shift, 0)) AS INTEGER) AS first_word
+FROM g WHERE ok = 1 GROUP BY r, doc_id, item_id
 """

@@ -9,7 +9,8 @@ line or a large host is one row a task. The lists are written and joined back to
 if their files are small enough, else pages of a host are dealt over ``SALTS`` partitions. Pages are never regrouped.
 
 Defined cases: a null host is a host of its own; a null text stays null; an empty one stays empty; a page that has nothing but
-boilerplate becomes empty and stays; each row counts as a page, repeated rows too; other columns are carried along.
+boilerplate becomes empty and stays; each row counts as a page, rows that repeat an id too; a long text is one array of its lines
+and one of two hashes a distinct line; other columns are carried along.
 
 With ``spare_copies`` (for a pipeline that looks for near duplicates next) copies are no boilerplate: rows of a host with
 equal texts count as one page, and a page is left whole if the lines that would go are so much of it that two pages with
@@ -77,15 +78,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
-x AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT r, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM d),
 y AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS t FROM x),
 n AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
-c AS (SELECT source, t, count(DISTINCT doc_id) AS k FROM y WHERE t <> '' GROUP BY source, t),
+c AS (SELECT source, t, count(DISTINCT r) AS k FROM y WHERE t <> '' GROUP BY source, t),
 b AS (SELECT c.source, c.t FROM c JOIN n ON c.source IS NOT DISTINCT FROM n.source WHERE k >= {MIN_PAGES} AND k > {RATIO} * pages),
-k AS (SELECT y.doc_id, y.line, y.pos, b.t IS NULL AS keep FROM y LEFT JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.t = b.t),
-r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
-             md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS clean_md5 FROM k GROUP BY doc_id)
-SELECT o.doc_id, o.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, clean_md5
-FROM documents o LEFT JOIN r ON o.doc_id = r.doc_id
+k AS (SELECT y.r, y.line, y.pos, b.t IS NULL AS keep FROM y LEFT JOIN b ON y.source IS NOT DISTINCT FROM b.source AND y.t = b.t),
+e AS (SELECT r, count(*) AS n_lines, count(*) FILTER (NOT keep) AS n_dropped,
+             md5(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (keep), '')) AS clean_md5 FROM k GROUP BY r)
+SELECT d.doc_id, d.source, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, clean_md5
+FROM d LEFT JOIN e ON d.r = e.r
 """

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -286,6 +287,12 @@ def test_line_dedup(spark, docs):
     small = spark.createDataFrame([(i, h, f"menu\nown {h} {i}") for h, n in (("four", 4), ("five", 5)) for i in range(n)], "doc_id long, source string, text string")
     dropped = {(r.source, r.n_dropped) for r in line_dedup.drop_boilerplate(small).collect()}
     assert dropped == {("four", 0), ("five", 1)} and line_dedup.MIN_PAGES == 5  # on fewer pages a line is no boilerplate
+    # rows that repeat an id count each, as in the SQL
+    again = spark.createDataFrame([(i // 6, "h", f"menu\nown {i // 6}") for i in range(24)] + [(50 + i, "h", f"page {i}\nmenu") for i in range(9)] + [(7, None, None), (8, "h", "")], "doc_id long, source string, text string")
+    con = duckdb.connect()
+    con.register("documents", again.toPandas())
+    want = sorted(map(str, con.execute(f"SELECT doc_id, n_lines, n_dropped FROM ({line_dedup.SQL})").fetchall()))
+    assert sorted(str((r.doc_id, r.n_lines, r.n_dropped)) for r in line_dedup.drop_boilerplate(again).collect()) == want and want[0] == "(0, 2, 2)"
     assert line_dedup.drop_boilerplate(empty(spark)).count() == 0
     assert line_dedup.drop_boilerplate(docs).count() == docs.count()
 
@@ -402,6 +409,10 @@ def test_decontamination_equals_a_seedless_search(spark, monkeypatch):
         got = {(r.doc_id, r.item_id): r.matched for r in decontam.overlaps(docs, bench).collect()}
         assert got == want and len(want) > 800
     assert {b for _, b in want} == set(range(len(items)))
+    con = duckdb.connect()
+    for name, df in (("documents", docs.withColumn("x", F.lit(1))), ("benchmark", bench)):
+        con.register(name, df.toPandas())
+    assert {(d, b): m for d, b, m in con.execute(f"SELECT doc_id, item_id, matched FROM ({decontam.SQL})").fetchall()} == want  # the SQL finds them, too
 
 
 def test_near_duplicates_that_share_a_template(spark):

@@ -37,17 +37,23 @@ def same(left: DataFrame, right: DataFrame, by: Sequence[str], prefix: str) -> C
     return on
 
 
-def sums_before(totals: DataFrame, by: Sequence[str], bin: str, amount: str, name: str, fan: int | None = None) -> DataFrame:
-    """Add ``name``, the sum of ``amount`` over the rows of the same group with smaller ``bin``, on two levels. A group has a bin once."""
-    fan = fan or FAN
+def sums_before(totals: DataFrame, by: Sequence[str], bin: str, amount: str, name: str, bins: int, all: str | None = None, fan: int | None = None) -> DataFrame:
+    """Add ``name``, the sum of ``amount`` over the rows of the same group with smaller ``bin``, and ``all``, the group's sum. A group has
+    each of the ``bins`` once at most. Up to ``fan`` of them are one window; more are summed on two levels."""
+    fan, first = fan or FAN, Window.unboundedPreceding
+    if bins <= fan:
+        group = Window.partitionBy(*by)
+        out = totals.withColumn(name, F.coalesce(F.sum(amount).over(group.orderBy(bin).rowsBetween(first, -1)), F.lit(0)))
+        return out.withColumn(all, F.sum(amount).over(group)) if all else out
     rows = totals.withColumn("_over", F.floor(F.col(bin) / fan))
-    inside = Window.partitionBy(*by, "_over").orderBy(bin).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_over").orderBy(bin).rowsBetween(first, -1)
     rows = rows.withColumn("_lower", F.coalesce(F.sum(amount).over(inside), F.lit(0)))
-    upper = totals.groupBy(*[F.col(c).alias(f"_up_{c}") for c in by], F.floor(F.col(bin) / fan).alias("_up_over")).agg(F.sum(amount).alias("_all"))
-    below = Window.partitionBy(*[f"_up_{c}" for c in by]).orderBy("_up_over").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.withColumn("_upper", F.coalesce(F.sum("_all").over(below), F.lit(0))).drop("_all")
-    joined = rows.join(upper, same(rows, upper, by, "_up_") & (rows["_over"] == upper["_up_over"]))
-    return joined.withColumn(name, F.col("_lower") + F.col("_upper")).drop("_over", "_lower", "_upper", "_up_over", *[f"_up_{c}" for c in by])
+    upper = totals.groupBy(*[F.col(c).alias(f"_up_{c}") for c in by], F.floor(F.col(bin) / fan).alias("_up_over")).agg(F.sum(amount).alias("_of_bins"))
+    group = Window.partitionBy(*[f"_up_{c}" for c in by])
+    upper = upper.withColumns({"_upper": F.coalesce(F.sum("_of_bins").over(group.orderBy("_up_over").rowsBetween(first, -1)), F.lit(0)), "_of_all": F.sum("_of_bins").over(group)})
+    joined = rows.join(upper, same(rows, upper, by, "_up_") & (rows["_over"] == upper["_up_over"])).withColumn(name, F.col("_lower") + F.col("_upper"))
+    joined = joined.withColumn(all, F.col("_of_all")) if all else joined
+    return joined.drop("_over", "_lower", "_upper", "_up_over", "_of_bins", "_of_all", *[f"_up_{c}" for c in by])
 
 
 def _starts(batch: pa.RecordBatch, by: Sequence[str], before: list | None) -> np.ndarray:
@@ -61,10 +67,10 @@ def _starts(batch: pa.RecordBatch, by: Sequence[str], before: list | None) -> np
     return np.flatnonzero(new)
 
 
-def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: str, per_range: int | None = None) -> DataFrame:
-    """Write ``rows``, sorted in ranges of (by, order), with ``_bin``, the range's number, and ``_inside``, the sum of ``amount`` (whole
-    numbers) over the rows of the same group and range that come before. Input and result are written, so a lost task finds the
-    same ranges."""
+def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: str, per_range: int | None = None, keep: bool = True) -> DataFrame:
+    """``rows``, sorted in ranges of (by, order), with ``_bin``, the range's number, and ``_inside``, the sum of ``amount`` (whole
+    numbers) over the rows of the same group and range that come before. The input is written, and with ``keep`` the result, so that all
+    who read it find the same ranges; without, it may be used once."""
     rows = materialize(rows, "to-ranges")
     dealt = rows.repartitionByRange(pieces(rows, per_range), *by, *order).sortWithinPartitions(*by, *order)
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema], "_bin int, _inside long"])
@@ -84,7 +90,22 @@ def in_ranges(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amoun
             carried, last = int(inside[-1] + x[-1]), [batch[c][batch.num_rows - 1].as_py() for c in by]
             yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(np.full(batch.num_rows, bin, np.int32)), pa.array(inside)], [*names, "_bin", "_inside"])
 
-    return materialize(dealt.mapInArrow(run, schema), "in-ranges")
+    ranged = dealt.mapInArrow(run, schema)
+    return materialize(ranged, "in-ranges") if keep else ranged
+
+
+def rank_sums(counts: DataFrame, by: Sequence[str], value: str, pos: str, neg: str, sums: dict[str, Column] | None = None, most: dict[str, Column] | None = None) -> DataFrame:
+    """(*by, u, p, n, and the named sums and maxima): u counts the pairs of a ``pos`` and a ``neg`` with the smaller value, and half of those with equal ones, from
+    counts by distinct value; p and n are all of either. Ranges are summed up where they are sorted, and what is left is a row a
+    range."""
+    sums, most = sums or {}, most or {}
+    ranged = in_ranges(counts, by, [F.col(value)], neg, keep=False)
+    u = F.sum(F.col(pos) * (F.col("_inside") + F.col(neg) / 2)).alias("u")
+    bins = materialize(ranged.groupBy(*by, "_bin").agg(u, F.sum(pos).alias("p"), F.sum(neg).alias("n"), *[F.sum(c).alias(x) for x, c in sums.items()], *[F.max(c).alias(x) for x, c in most.items()]), "range-sums")
+    n_bins = bins.agg(F.coalesce(F.max("_bin"), F.lit(0)) + 1).first()[0]
+    before = sums_before(bins, by, "_bin", "n", "_under", n_bins)
+    rest = [*[F.sum(x).alias(x) for x in sums], *[F.max(x).alias(x) for x in most]]
+    return before.groupBy(*by).agg(F.sum(F.col("u") + F.col("_under") * F.col("p")).alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"), *rest)
 
 
 def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column], amount: Column, name: str, per_range: int | None = None) -> DataFrame:
@@ -92,7 +113,8 @@ def running_before(rows: DataFrame, by: Sequence[str], order: Sequence[Column],
     ``by`` and ``order`` share a range and come one after another in any order."""
     ranged = in_ranges(rows.withColumn("_of", amount.cast("long")), by, order, "_of", per_range)
     totals = ranged.groupBy(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bin").alias("_bin_of")).agg(F.sum("_of").alias("_sum"))
-    totals = sums_before(totals, [f"_by_{c}" for c in by], "_bin_of", "_sum", "_base").drop("_sum")
+    bins = ranged.agg(F.coalesce(F.max("_bin"), F.lit(0)) + 1).first()[0]
+    totals = sums_before(totals, [f"_by_{c}" for c in by], "_bin_of", "_sum", "_base", bins).drop("_sum")
     joined = ranged.join(totals, same(ranged, totals, by, "_by_") & (ranged["_bin"] == totals["_bin_of"]))
     return joined.withColumn(name, F.col("_inside") + F.col("_base")).drop("_inside", "_base", "_bin", "_bin_of", "_of", *[f"_by_{c}" for c in by])
 

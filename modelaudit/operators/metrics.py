@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from modelaudit.functions.items import let
-from modelaudit.functions.ranges import percentiles, running_before, same
+from modelaudit.functions.ranges import percentiles, rank_sums, same
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -53,18 +53,23 @@ def headline(counts: DataFrame, k: int, by: Sequence[str] = ("model",)) -> DataF
     )
 
 
+def _beside(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``a`` with the columns of ``b``, which has one row for each value of ``by``."""
+    b = b.withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return a.join(b, same(a, b, by, "_of_"), "left").drop(*[f"_of_{c}" for c in by])
+
+
 def report(counts: DataFrame, k: int, intervals: DataFrame | None = None, by: Sequence[str] = ("model",)) -> DataFrame:
     """E3 as one nested object a model: (*by, report) with n, accuracy, macro_f1, weighted_f1, per_class (an object a label), matrix (rows
     of true labels) and, with ``intervals`` (as ``bootstrap_f1``), the interval of macro-F1 and each class's."""
-    join = lambda a, b: a.join(b.withColumnsRenamed({c: f"_of_{c}" for c in by}), same(a, b.withColumnsRenamed({c: f"_of_{c}" for c in by}), by, "_of_"), "left").drop(*[f"_of_{c}" for c in by])
     row = F.struct("label", "precision", "recall", "f1", "support", "predicted")
     classes = per_class(counts, k, by).groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("per_class"))  # k rows a model
     lines = confusion_matrix(counts, k, by).groupBy(*by, "y_true").agg(F.array_sort(F.collect_list(F.struct("y_pred", "n"))).alias("_row"))
     matrix = lines.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("y_true", F.transform("_row", lambda x: x["n"]).alias("n")))).alias("_rows"))
-    out = join(join(headline(counts, k, by), classes), matrix.select(*by, F.transform("_rows", lambda x: x["n"]).alias("matrix")))
+    out = _beside(_beside(headline(counts, k, by), classes, by), matrix.select(*by, F.transform("_rows", lambda x: x["n"]).alias("matrix")), by)
     fields = ["n", "accuracy", "macro_f1", "weighted_f1", "per_class", "matrix"]
     if intervals is not None:
-        out = join(out, intervals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label", "mean", "lo", "hi"))).alias("intervals")))
+        out = _beside(out, intervals.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label", "mean", "lo", "hi"))).alias("intervals")), by)
         fields.append("intervals")
     return out.select(*by, F.struct(*fields).alias("report"))
 
@@ -81,9 +86,7 @@ def roc_auc(preds: DataFrame, k: int, by: Sequence[str] = ("model",)) -> DataFra
     long = preds.select(*by, "y_true", F.inline_outer(let(F.col("y_prob"), cells))).filter("label is not null")
     positive = (F.col("y_true") == F.col("label")).cast("long")
     scores = long.groupBy(*by, "label", "score").agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"), F.max("odd").alias("odd"))
-    ranked = running_before(scores, [*by, "label"], [F.col("score")], F.col("neg"), "under")
-    u = F.sum(F.col("pos") * (F.col("under") + F.col("neg") / 2))
-    each = ranked.groupBy(*by, "label").agg(u.alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.max("odd").alias("odd"))
+    each = rank_sums(scores, [*by, "label"], "score", "pos", "neg", most={"odd": F.col("odd")})
     auc = F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("u") / (F.col("p") * F.col("n")))
     out = each.groupBy(*by).agg(F.avg(auc).alias("auc"), F.count(auc).alias("labels"), F.max("odd").alias("odd"))
     problem = F.when(F.col("odd") > 0, "probabilities don't sum to 1").when(F.col("labels") < k, "a class is missing")

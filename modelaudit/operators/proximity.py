@@ -9,17 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelaudit.functions.ranges import running_before
+from modelaudit.functions.ranges import rank_sums
 
 
 def mann_whitney(values: DataFrame, klass: str = "class") -> DataFrame:
     """(class, n1, n2, u, p): U of ``side`` 1 over side 2 by midranks, and the one-sided normal p with tie and continuity
     correction. Values are counted before they are ranked, and ranked in ranges."""
     counts = values.groupBy(klass, "value").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == 2).cast("long")).alias("b"))
-    counts = running_before(counts, [klass], [F.col("value")], F.col("b"), "below")
     t = (F.col("a") + F.col("b")).cast("double")
-    out = counts.groupBy(klass).agg(F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("a") * (F.col("below") + F.col("b") / 2)).alias("u"), F.sum(t * t * t - t).alias("ties"))
-    return out.withColumn("p", _tail("n1", "n2", "u", "ties")).drop("ties")
+    out = rank_sums(counts, [klass], "value", "a", "b", {"ties": t * t * t - t}).withColumnsRenamed({"p": "n1", "n": "n2"})
+    return out.withColumn("p", _tail("n1", "n2", "u", "ties")).select(klass, "n1", "n2", "u", "p")
 
 
 @F.pandas_udf(T.DoubleType())

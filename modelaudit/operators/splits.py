@@ -37,13 +37,12 @@ def ranked(items: DataFrame, key: str, klass: str = "class", seed: int = SEED, p
     """Add ``rank`` (from 1) in the hash order of each class and the class's ``n``. A class is ranked in ranges of its hash, whose
     counts add up. How many ranges follows from the number of rows, so no task grows with them."""
     shards = pieces(items.select(key), per_shard)
-    rows = items.withColumn("_o", order_key(F.col(key), seed)).withColumn("_s", F.floor(F.conv(F.substring("_o", 1, 8), 16, 10).cast("long") * F.lit(shards) / F.lit(2**32)).cast("int"))
-    counts = rows.groupBy(F.col(klass).alias("_c"), F.col("_s").alias("_t")).count()
-    sizes = counts.groupBy(F.col("_c").alias("_k")).agg(F.sum("count").alias("n"))
-    counts = sums_before(counts, ["_c"], "_t", "count", "_before").drop("count").join(sizes, F.col("_c").eqNullSafe(F.col("_k"))).drop("_k")
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(klass, "_s").orderBy("_o", key)))
-    rows = rows.join(counts, rows[klass].eqNullSafe(counts["_c"]) & (rows["_s"] == counts["_t"]))
-    return rows.withColumn("rank", F.col("_r") + F.col("_before")).drop("_o", "_s", "_r", "_c", "_t", "_before")
+    rows = items.withColumn("_rank_o", order_key(F.col(key), seed)).withColumn("_rank_s", F.floor(F.conv(F.substring("_rank_o", 1, 8), 16, 10).cast("long") * F.lit(shards) / F.lit(2**32)).cast("int"))
+    counts = rows.groupBy(F.col(klass).alias("_rank_c"), F.col("_rank_s").alias("_rank_t")).count()
+    counts = sums_before(counts, ["_rank_c"], "_rank_t", "count", "_rank_before", shards, "n").drop("count")
+    rows = rows.withColumn("_rank_r", F.row_number().over(Window.partitionBy(klass, "_rank_s").orderBy("_rank_o", key)))
+    rows = rows.join(counts, rows[klass].eqNullSafe(counts["_rank_c"]) & (rows["_rank_s"] == counts["_rank_t"]))
+    return rows.withColumn("rank", F.col("_rank_r") + F.col("_rank_before")).drop("_rank_o", "_rank_s", "_rank_r", "_rank_c", "_rank_t", "_rank_before")
 
 
 def stratified_fraction(items: DataFrame, fraction: float, key: str, klass: str = "class") -> DataFrame:

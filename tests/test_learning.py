@@ -274,8 +274,8 @@ def test_prefix_sums_on_two_levels(spark):
     rows = [(g, int(b), int(rng.integers(0, 9))) for g in ("a", None) for b in rng.permutation(500)[:333]]
     df = spark.createDataFrame(rows, "g string, b int, n long")
     for fan in (7, 1000):
-        for r in ranges.sums_before(df, ["g"], "b", "n", "before", fan).collect():
-            assert r.before == sum(n for g, b, n in rows if g == r.g and b < r.b)
+        for r in ranges.sums_before(df, ["g"], "b", "n", "before", 500, "all", fan).collect():
+            assert r.before == sum(n for g, b, n in rows if g == r.g and b < r.b) and r["all"] == sum(n for g, _, n in rows if g == r.g)
 
 
 def test_ranks_and_folds_of_a_class_in_many_shards(spark):

@@ -260,11 +260,13 @@ def e18(spark, sf_dir):
     return out.select("class", "n1", "n2", "u", F.round("ratio", 4).alias("ratio"), *R6("near_mean", "random_mean", "near_std", "random_std", "delta", "d", "room", "cles"))
 
 
-@query("e19_mann_whitney", f"{_VALUES} SELECT class, n1, n2, u FROM ef")
+@query("e19_mann_whitney", f"""{_VALUES}, tie AS (SELECT class, sum(c * c * c - c) AS t FROM (SELECT class, value, count(*)::DOUBLE AS c FROM val GROUP BY 1, 2) GROUP BY 1),
+zs AS (SELECT ef.class, n1, n2, u, (u - n1 * n2 / 2.0::DOUBLE - 0.5) / sqrt(n1 * n2 / 6.0::DOUBLE * (n1 + n2 + 1 - t / ((n1 + n2) * (n1 + n2 - 1)))) AS z FROM ef JOIN tie ON ef.class = tie.class)
+SELECT class, n1, n2, u, round(0.5 * {v.erfc_sql('z')}, 6) AS p FROM zs""")
 def e19(spark, sf_dir):
     near, rand = _proximity(spark, sf_dir)
     both = near.select("class", F.col("sim").alias("value"), F.lit(1).alias("side")).unionByName(rand.select("class", F.col("sim").alias("value"), F.lit(2).alias("side")))
-    return proximity.mann_whitney(both).drop("p")
+    return proximity.mann_whitney(both).withColumn("p", F.round("p", 6))
 
 
 @query("e20_leakage_verdict", f"""{_VALUES}, n AS (SELECT count(*) FILTER (verdict = 'strong') AS strong, count(*) FILTER (verdict = 'saturated') AS saturated, count(*) FILTER (verdict = 'moderate') AS moderate, count(*) FILTER (verdict = 'none') AS none FROM vd)

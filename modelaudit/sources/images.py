@@ -17,18 +17,31 @@ from modelaudit.kernels import pixels
 STANDARD = "item_id string, class string, pixels binary, height int, width int"
 
 
+def _named(rows: DataFrame, path: str, encoded: bool = True) -> DataFrame:
+    """Add class and item_id (class/file), the last parts of a path or an encoded one; only jpg, jpeg and png files stay."""
+    rows = rows.withColumn("_path", F.url_decode(F.regexp_replace(path, r"\+", "%2B")) if encoded else F.col(path)).filter(F.col("_path").rlike(r"(?i)\.(jpg|jpeg|png)$"))
+    return rows.withColumns({"class": F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1), "item_id": F.regexp_extract("_path", r"([^/]+/[^/]+)$", 1)}).drop("_path")
+
+
 def scan_images(spark: SparkSession, root: str, classes: list[str]) -> DataFrame:
-    """(item_id, class, image) of the jpg, jpeg and png files in one folder a class; a class without files is an error."""
+    """(item_id, class, image) of the jpg, jpeg and png files in one folder a class; a class without files is an error. Files that are
+    no images are left out; ``unreadable_images`` names them."""
     rows = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
-    origin = F.url_decode(F.regexp_replace("image.origin", r"\+", "%2B"))
-    rows = rows.select("image", origin.alias("origin")).filter(F.col("origin").rlike(r"(?i)\.(jpg|jpeg|png)$"))
-    rows = rows.withColumns({"class": F.regexp_extract("origin", r"([^/]+)/[^/]+$", 1), "item_id": F.regexp_extract("origin", r"([^/]+/[^/]+)$", 1)}).filter(F.col("class").isin(classes))
+    rows = _named(rows, "image.origin").filter(F.col("class").isin(classes))
     found = {r["class"] for r in rows.select("class").distinct().collect()}  # the given classes at most
     if missing := [c for c in classes if c not in found]:
         raise FileNotFoundError(f"no images of {missing}")
     return rows.select("item_id", "class", "image")
 
 
+def unreadable_images(spark: SparkSession, root: str, classes: list[str]) -> DataFrame:
+    """(item_id, class) of files that are named as images and can't be read as such. Files are listed without their contents."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    listed = _named(listed, "path", encoded=False).filter(F.col("class").isin(classes)).select("item_id", "class")
+    read = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root)
+    return listed.join(_named(read.select("image.origin"), "origin").select("item_id"), "item_id", "left_anti")
+
+
 def png(image: np.ndarray) -> bytes:
     """A grey 8-bit PNG file."""
     part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))

@@ -9,6 +9,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: paths given out, by application
+MADE: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one that is then set, in one JVM only; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables and files that this session's jobs have left in the shared folder, and say how many. Results that still read them
+    must be written first; only paths made by ``new_dir`` here are touched."""
+    made = MADE.pop(spark.sparkContext.applicationId, [])
+    gone = 0
+    for path in made:
+        store, plain = file_system(path)
+        if store.get_file_info(plain).type == fs.FileType.Directory:
+            store.delete_dir(plain)
+            gone += 1
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

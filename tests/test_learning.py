@@ -493,3 +493,32 @@ def test_store_takes_concurrent_and_repeated_appends(spark, tmp_path):
     more.write.parquet(f"{store}/commit=99")
     (tmp_path / "store" / "commit=99" / "_SUCCESS").unlink()  # one that never ended doesn't count
     assert len(stores.commits(store)) == 5 and stores.read_features(spark, store).count() == 101
+
+
+def test_images_that_cannot_be_read_are_named(spark, tmp_path):
+    from modelaudit.sources import images
+
+    for klass in ("a b", "c+d"):
+        (tmp_path / klass).mkdir()
+        for n in (1, 2):
+            (tmp_path / klass / f"x ({n}).png").write_bytes(images.png(np.full((4, 4), 9, np.uint8)))
+    (tmp_path / "a b" / "broken%.png").write_bytes(b"no image")
+    (tmp_path / "a b" / "notes.txt").write_text("no image, and not named as one")
+    root, classes = f"file://{tmp_path}", ["a b", "c+d"]
+    assert images.scan_images(spark, root, classes).count() == 4
+    assert [tuple(r) for r in images.unreadable_images(spark, root, classes).collect()] == [("a b/broken%.png", "a b")]
+
+
+def test_shared_folder_is_cleared(spark):
+    from modelaudit.sources import shared
+
+    kept = dict(shared.MADE)
+    shared.MADE.clear()
+    try:
+        held = shared.materialize(spark.range(5), "to-clear")
+        path = shared.MADE[spark.sparkContext.applicationId][0]
+        assert held.count() == 5 and shared.clear(spark) == 1 and shared.clear(spark) == 0
+        store, plain = shared.file_system(path)
+        assert store.get_file_info(plain).type.name == "NotFound"
+    finally:
+        shared.MADE.update(kept)

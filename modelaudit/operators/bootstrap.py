@@ -64,9 +64,8 @@ def draws(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint32(16))) / 4294967296.0
 
 
-def bootstrap_ci(rows: DataFrame, key: str, terms: dict[str, Column], metric: Callable[[dict[str, Column]], Column], replicates: int = 1000, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
-    """Mean and 2.5 / 97.5 percentiles of a metric of weighted sums, as in ``terms={"hits": x, "n": lit(1)}`` with
-    ``metric=lambda s: s["hits"] / s["n"]``. A row's weight in a replicate is a Poisson(1) draw by inversion.
+def bootstrap_sums(rows: DataFrame, key: str, terms: dict[str, Column], replicates: int = 1000, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """(*by, _rep, and a column a term): weighted sums of each replicate. A row's weight is a Poisson(1) draw by inversion.
 
     Rows are never repeated: a task multiplies the weights of some thousand rows with their terms and keeps one sum for each group,
     replicate and term, so what is shuffled doesn't grow with the rows. Null terms count 0. Without rows it is an error.
@@ -97,9 +96,29 @@ def bootstrap_ci(rows: DataFrame, key: str, terms: dict[str, Column], metric: Ca
             ], [*by, "_sums"])
 
     parts = given.mapInArrow(run, schema).select(*by, F.posexplode("_sums").alias("_rep", "_s"))
-    totals = parts.groupBy(*by, "_rep").agg(*[F.sum(F.get("_s", F.lit(i))).alias(n) for i, n in enumerate(names)])
-    out = summary(totals.select(*by, metric({n: F.col(n) for n in names}).alias("value")), list(by))
-    return out
+    return parts.groupBy(*by, "_rep").agg(*[F.sum(F.get("_s", F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+
+def bootstrap_ci(rows: DataFrame, key: str, terms: dict[str, Column], metric: Callable[[dict[str, Column]], Column], replicates: int = 1000, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """Mean and 2.5 / 97.5 percentiles of a metric of weighted sums (``bootstrap_sums``), as in ``terms={"hits": x, "n": lit(1)}`` with
+    ``metric=lambda s: s["hits"] / s["n"]``."""
+    totals = bootstrap_sums(rows, key, terms, replicates, by, seed)
+    return summary(totals.select(*by, metric({n: F.col(n) for n in terms}).alias("value")), list(by))
+
+
+def bootstrap_f1_of_rows(preds: DataFrame, key: str, k: int, replicates: int = 1000, by: tuple[str, ...] = ("model",), seed: int = 42) -> DataFrame:
+    """E6 from weighted rows, with draws that SQL can repeat: the same intervals as ``bootstrap_f1`` up to chance. It passes over all rows
+    for each replicate, where that one draws counts of cells."""
+    true, said = F.col("y_true"), F.col("y_pred")
+    terms = {}
+    for i in range(k):
+        terms |= {f"tp{i}": ((true == i) & (said == i)).cast("int"), f"all{i}": (true == i).cast("int") + (said == i).cast("int")}
+    totals = bootstrap_sums(preds, key, terms, replicates, by, seed)
+    f1 = [F.when(F.col(f"all{i}") > 0, 2 * F.col(f"tp{i}") / F.col(f"all{i}")) for i in range(k)]
+    present = F.array_compact(F.array(*f1))
+    macro = F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present)
+    values = F.array(F.struct(F.lit(None).cast("int").alias("label"), macro.alias("value")), *[F.struct(F.lit(i).alias("label"), F.coalesce(x, F.lit(0.0)).alias("value")) for i, x in enumerate(f1)])
+    return summary(totals.select(*by, F.inline(values)), [*by, "label"])
 
 
 def bootstrap_udf(rows: DataFrame, metric_fn: Callable[[np.ndarray, np.ndarray], float], replicates: int = 100, seed: int = 42) -> DataFrame:

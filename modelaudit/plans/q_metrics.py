@@ -90,11 +90,21 @@ _BOUNDS = [float(x) for x in bootstrap.POISSON[:12]]  # 32-bit draws end before
 _W = "CASE " + " ".join(f"WHEN u < {b!r}::DOUBLE THEN {i}" for i, b in enumerate(_BOUNDS)) + " ELSE 12 END"
 
 
-@query("e7_bootstrap_ci", f"""WITH {v.PREDICTIONS}, k AS MATERIALIZED (SELECT model, y_true = y_pred AS ok, CAST('0x' || substr(md5('42|' || item_id), 1, 8) AS UBIGINT) AS k FROM predictions),
-d0 AS (SELECT model, ok, rep, (k + CAST(rep AS UBIGINT) * 2654435769) % 4294967296 AS x FROM k, range(1000) t(rep)),
-d1 AS (SELECT model, ok, rep, xor(x, x >> 16) * 2246822507 % 4294967296 AS x FROM d0), d2 AS (SELECT model, ok, rep, xor(x, x >> 13) * 3266489909 % 4294967296 AS x FROM d1),
-d AS (SELECT model, ok, rep, xor(x, x >> 16) / 4294967296.0::DOUBLE AS u FROM d2),
-w AS (SELECT model, rep, ok, {_W} AS w FROM d), m AS (SELECT model, rep, sum(CASE WHEN ok THEN w ELSE 0 END) / sum(w) AS value FROM w GROUP BY 1, 2)
+_DRAWS = f"""k AS MATERIALIZED (SELECT model, y_true, y_pred, CAST('0x' || substr(md5('42|' || item_id), 1, 8) AS UBIGINT) AS k FROM predictions),
+d0 AS (SELECT model, y_true, y_pred, rep, (k + CAST(rep AS UBIGINT) * 2654435769) % 4294967296 AS x FROM k, range(1000) t(rep)),
+d1 AS (SELECT model, y_true, y_pred, rep, xor(x, x >> 16) * 2246822507 % 4294967296 AS x FROM d0), d2 AS (SELECT model, y_true, y_pred, rep, xor(x, x >> 13) * 3266489909 % 4294967296 AS x FROM d1),
+d AS (SELECT model, y_true, y_pred, rep, xor(x, x >> 16) / 4294967296.0::DOUBLE AS u FROM d2),
+w AS (SELECT model, rep, y_true, y_pred, sum({_W}) AS w FROM d GROUP BY 1, 2, 3, 4)"""
+
+
+@query("e6_f1_of_weighted_rows", f"""WITH {v.PREDICTIONS}, {_DRAWS}, l AS (SELECT model, rep, CAST(l AS INTEGER) AS label, sum(CASE WHEN y_true = l AND y_pred = l THEN w ELSE 0 END) AS tp, sum(CASE WHEN y_true = l THEN w ELSE 0 END) + sum(CASE WHEN y_pred = l THEN w ELSE 0 END) AS n FROM w, range({K}) t(l) GROUP BY 1, 2, 3),
+f AS (SELECT model, rep, label, 2 * tp / nullif(n, 0) AS f1 FROM l), a AS (SELECT model, label, coalesce(f1, 0) AS value FROM f UNION ALL SELECT model, NULL, avg(f1) FROM f GROUP BY model, rep)
+SELECT model, label, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM a GROUP BY 1, 2""")
+def e6_rows(spark, sf_dir):
+    return bootstrap.bootstrap_f1_of_rows(v.predictions(spark, sf_dir), "item_id", K).select("model", "label", *R6("mean", "lo", "hi"))
+
+
+@query("e7_bootstrap_ci", f"""WITH {v.PREDICTIONS}, {_DRAWS}, m AS (SELECT model, rep, sum(CASE WHEN y_true = y_pred THEN w ELSE 0 END) / sum(w) AS value FROM w GROUP BY 1, 2)
 SELECT model, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS lo, round(quantile_cont(value, 0.975), 6) AS hi FROM m GROUP BY 1""")
 def e7(spark, sf_dir):
     ok = (F.col("y_true") == F.col("y_pred")).cast("int")

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,18 +36,17 @@ def read_trees(spark: SparkSession, model: Model, shares: bool) -> list[Tree]:
     model.write().save(path)
     nodes = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
     nodes = nodes.select("treeID", "id", "leftChild", "rightChild", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "prediction", "impurityStats")
-    by_tree: dict[int, list] = {}
-    for r in nodes.orderBy("treeID", "id").collect():  # a model's nodes: the driver has them already
-        by_tree.setdefault(r["treeID"], []).append(r)
-    out = []
-    for _, rows in sorted(by_tree.items()):
-        left, right, feature = (np.array([r[c] if r[c] is not None else -1 for r in rows]) for c in ("leftChild", "rightChild", "feature"))
-        threshold = np.array([r["threshold"] if r["threshold"] is not None else 0.0 for r in rows])
-        values = np.array([r["impurityStats"] for r in rows], float) if shares else np.array([[r["prediction"]] for r in rows])
-        if shares:
-            values = values / np.maximum(values.sum(axis=1, keepdims=True), 1e-300)
-        out.append(Tree(left, right, feature, threshold, values))
-    return out
+    table = nodes.orderBy("treeID", "id").toArrow()  # a model's nodes: the driver has them already
+    column = lambda name, missing: pc.fill_null(table[name].combine_chunks(), missing).to_numpy(zero_copy_only=False)
+    left, right, feature, threshold = column("leftChild", -1), column("rightChild", -1), column("feature", -1), column("threshold", 0.0)
+    if shares:
+        values = table["impurityStats"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        values = values / np.maximum(values.sum(axis=1, keepdims=True), 1e-300)
+    else:
+        values = column("prediction", 0.0)[:, None]
+    tree = column("treeID", 0)
+    cuts = np.append(np.flatnonzero(np.append(True, tree[1:] != tree[:-1])), len(tree))
+    return [Tree(left[i:j], right[i:j], feature[i:j], threshold[i:j], values[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def descend(tree: Tree, x: np.ndarray, depths: Sequence[int]) -> list[np.ndarray]:

@@ -3,8 +3,8 @@
 For each anchor its positives are the best rows of the same label by inner product; for each positive, the negatives are the
 best rows of other labels whose score lies in a window below the positive's: at most that score, at least ``low`` percent of it.
 
-Rows meet in tiles: the anchors are dealt into groups of about ``GROUP``, the candidates into lanes of about ``LANE`` rows, and
-each tile, a group with a lane, is a key of its own. A task holds one group and streams the lane's rows, batch by batch, as
+Rows meet in tiles: the anchors are dealt into groups of about ``GROUP``, the candidates into lanes of about ``LANE`` rows (of less,
+down to ``LEAST_LANE``, while lanes are fewer than cores), and each tile, a group with a lane, is a key of its own. A task holds one group and streams the lane's rows, batch by batch, as
 columns of dimensions. For an anchor it reads columns in descending order of the anchor's magnitude there. After each few columns,
 the least and most that the remaining ones can still add (from each column's minimum and maximum in the batch) bound every
 candidate's score from both sides, and the bitmap keeps candidates that may still be among the best: above the k-th best score so
@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from modelaudit.llm.storage import materialize
 
 K, LOW, SCALE = 5, 80, 256.0
-GROUP, LANE = 4096, 65_536
+GROUP, LANE, LEAST_LANE = 4096, 65_536, 4096
 STEPS = (4, 8, 16, 32)  # columns read when bounds are taken, and again at each doubling
 KEYS = ("dim", "part", "grp", "lane")
 
@@ -126,8 +126,10 @@ def _whole(score) -> int:  # noqa: ANN001
 def _tiles(anchors: DataFrame, candidates: DataFrame, group: int, lane: int) -> DataFrame:
     """Both sides as one table, in tiles: rows of a tile are neighbours, anchors first. Both have dim and part, which must be equal to
     meet. The numbers of groups and lanes follow from counts."""
-    count = lambda rows, size, name: rows.groupBy("dim", "part").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-    sizes = count(anchors, group, "groups").join(count(candidates, lane, "lanes"), ["dim", "part"])  # what has no other side meets nothing
+    cores = anchors.sparkSession.sparkContext.defaultParallelism
+    wide = F.greatest(F.ceil(F.count("*") / lane), F.least(F.lit(cores), F.ceil(F.count("*") / min(lane, LEAST_LANE)))).cast("int")
+    sizes = anchors.groupBy("dim", "part").agg(F.ceil(F.count("*") / group).cast("int").alias("groups"))
+    sizes = sizes.join(candidates.groupBy("dim", "part").agg(wide.alias("lanes")), ["dim", "part"])  # what has no other side meets nothing
     deal = lambda name: F.pmod(F.xxhash64("row"), F.col(name)).cast("int")
     each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
     left = anchors.join(sizes, ["dim", "part"]).withColumn("grp", deal("groups")).withColumn("lane", each("lanes")).withColumn("side", F.lit(0))

@@ -26,6 +26,9 @@ from modelaudit.operators.trees import boosting_rounds, forest_cells
 from modelaudit.sources.shared import materialize
 
 
+COVERED = 20_000  # covered images a task
+
+
 def fit_standard(train: DataFrame) -> tuple[list[float], list[float]]:
     """M1: mean and population std of each dimension of the training rows; 1 where the std is 0."""
     rows = train.select(F.posexplode("features").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()  # a row a dimension
@@ -341,7 +344,10 @@ def occlusion_map(model: Model, images: DataFrame, extract: Callable[[DataFrame]
     size = images.select("height").first()[0]
     starts = list(range(0, max(1, size - patch + 1), stride))
     spots = F.array(F.struct(F.lit(-1).alias("py"), F.lit(-1).alias("px")), *[F.struct(F.lit(y).alias("py"), F.lit(x).alias("px")) for y in starts for x in starts])
-    rows = images.withColumn("s", F.explode(spots)).select("class", "pixels", "height", "width", "s.py", "s.px", F.concat_ws("|", "item_id", F.col("s.py").cast("string"), F.col("s.px").cast("string")).alias("item_id"))
+    # few files may hold many images, and each is work for a task as often as there are positions
+    n = images.count()
+    parts = max(-(-n * (len(starts) ** 2 + 1) // COVERED), min(images.sparkSession.sparkContext.defaultParallelism, n), 1)
+    rows = images.repartition(parts, "item_id").withColumn("s", F.explode(spots)).select("class", "pixels", "height", "width", "s.py", "s.px", F.concat_ws("|", "item_id", F.col("s.py").cast("string"), F.col("s.px").cast("string")).alias("item_id"))
 
     def cover(frames):  # noqa: ANN001, ANN202
         for df in frames:

@@ -12,7 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelaudit.kernels import pixels
+from modelaudit.kernels import pixels, stacks
 
 STANDARD = "item_id string, class string, pixels binary, height int, width int"
 
@@ -96,11 +96,13 @@ def expand_views(images: DataFrame, views: str) -> DataFrame:
 
 
 def feature_matrix(images: DataFrame) -> DataFrame:
-    """(item_id, class, features array<float> of 138)."""
+    """(item_id, class, features array<float> of 138). Images of one size are worked on together."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
-            yield pd.DataFrame({"item_id": df["item_id"].astype(str), "class": df["class"], "features": [pixels.features(_image(*x)).tolist() for x in zip(df["pixels"], df["height"], df["width"], strict=True)]})
+            for (h, w), same in df.groupby(["height", "width"]):
+                found = stacks.features(np.stack([_image(x, h, w) for x in same["pixels"]]))
+                yield pd.DataFrame({"item_id": same["item_id"].astype(str), "class": same["class"], "features": list(found)})
 
     return images.select("item_id", "class", "pixels", "height", "width").mapInPandas(run, "item_id string, class string, features array<float>")
 

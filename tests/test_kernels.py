@@ -173,3 +173,23 @@ def test_images_from_files(spark, tmp_path, img):
 def test_unknown_split_is_an_error(spark):
     with pytest.raises(ValueError):
         stores.load_split(spark, "other", "x", "/", [])
+
+
+def test_stacks_equal_images_one_by_one():
+    """All features of a stack are those of each image; flat, black and two-valued ones among them."""
+    from modelaudit.kernels import stacks
+
+    rng = np.random.default_rng(5)
+    for h, w in ((8, 8), (12, 9), (40, 33), (64, 64)):
+        images = np.clip(128 + rng.normal(0, 60, (8, h, w)), 0, 255).astype(np.uint8)
+        images[0], images[1], images[2] = 7, 0, rng.integers(0, 2, (h, w)) * 255
+        want = np.stack([pixels.features(img) for img in images])
+        assert np.allclose(stacks.features(images), want, rtol=1e-5, atol=1e-6)
+
+
+def test_images_of_a_stack_share_calls(monkeypatch):
+    """Small images aren't taken one by one."""
+    from modelaudit.kernels import stacks
+
+    monkeypatch.setattr(pixels, "features", lambda img: pytest.fail("one by one"))
+    assert stacks.features(np.zeros((600, 8, 8), np.uint8)).shape == (600, 138)

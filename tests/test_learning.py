@@ -375,6 +375,24 @@ def test_index_equals_brute_force_and_skips(spark, clustered):
     assert shares[1] < 0.15 and looked[1] < 10 * looked[0]
 
 
+def test_visits_are_no_rows_of_a_shuffle(spark, monkeypatch):
+    """Vectors in all directions alike, which all visit all rings: dealt to tiles are a row's visit to its own ring, and no more."""
+    x = np.random.default_rng(11).normal(size=(300, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, features array<double>")
+    dealt, meet = [], vector_index.Index.meet
+
+    def counted(self, rows, visits, kernel, schema):
+        dealt.append(visits.count())
+        return meet(self, rows, visits, kernel, schema)
+
+    monkeypatch.setattr(vector_index.Index, "meet", counted)
+    got = {(r.b_id, r["rank"]): r.a_id for r in neighbours.top_neighbours(rows, rows, k=2, ring=40, pivots=4).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit @ unit.T - 9 * np.eye(300)
+    assert got == {(i, n + 1): a for i in range(300) for n, a in enumerate(np.argsort(-sims[i])[:2])}
+    assert neighbours.spanning_links(rows, 0.2, ring=40, pivots=4).count() > 0 and sum(dealt) == 300
+
+
 def test_near_copies_through_the_index_equal_brute_force(spark, clustered):
     df = spark.createDataFrame(clustered, "item_id long, features array<double>")
     x = np.array([r[1] for r in clustered])

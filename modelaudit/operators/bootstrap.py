@@ -45,6 +45,7 @@ def summary(values: DataFrame, by: list[str]) -> DataFrame:
     return values.groupBy(*by).agg(F.avg("value").alias("mean"), F.get(ends, F.lit(0)).alias("lo"), F.get(ends, F.lit(1)).alias("hi"))
 
 
+BLOCK = 128  # keys whose weights in all replicates stay in the cache
 #: P(Poisson(1) <= i); beyond its last bound no 32-bit draw falls
 POISSON = np.cumsum([np.exp(-1) / math.factorial(i) for i in range(16)])
 
@@ -64,10 +65,33 @@ def draws(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint32(16))) / 4294967296.0
 
 
+#: the least 32-bit numbers of which so many parts of 2**32 are at least a bound; larger bounds are never met
+BOUNDS = np.array([b for b in np.ceil(POISSON * 4294967296.0) if b < 4294967296.0]).astype(np.uint32)
+
+
+def weights(keys: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """(key, replicate) matrix of Poisson(1) weights, those that ``draws`` and inversion give, in whole numbers all the way. Few draws
+    are over the sixth bound, and those alone meet the others."""
+    x = keys.astype(np.uint32)[:, None] + (replicates.astype(np.uint32) * np.uint32(2654435769))[None, :]
+    moved = np.empty_like(x)
+    for shift, factor in ((16, 2246822507), (13, 3266489909)):
+        np.right_shift(x, np.uint32(shift), out=moved)
+        np.bitwise_xor(x, moved, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.right_shift(x, np.uint32(16), out=moved)
+    np.bitwise_xor(x, moved, out=x)
+    out = (x >= BOUNDS[0]).view(np.uint8)
+    for bound in BOUNDS[1:5]:
+        out += (x >= bound).view(np.uint8)
+    far = np.flatnonzero((x >= BOUNDS[5]).ravel())
+    out.ravel()[far] = np.searchsorted(BOUNDS, x.ravel()[far], side="right")
+    return out
+
+
 def bootstrap_sums(rows: DataFrame, key: str, terms: dict[str, Column], replicates: int = 1000, by: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
     """(*by, _rep, and a column a term): weighted sums of each replicate. A row's weight is a Poisson(1) draw by inversion.
 
-    Rows are never repeated: a task multiplies the weights of some thousand rows with their terms and keeps one sum for each group,
+    Rows are never repeated: a task multiplies the weights of some hundred keys with the terms of their rows and keeps one sum for each group,
     replicate and term, so what is shuffled doesn't grow with the rows. Null terms count 0. Without rows it is an error.
     """
     if rows.isEmpty():
@@ -80,16 +104,24 @@ def bootstrap_sums(rows: DataFrame, key: str, terms: dict[str, Column], replicat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, sums = np.arange(replicates), {}
         for batch in batches:
-            keys, x = batch["_key"].to_numpy(), np.stack([batch[f"_t_{n}"].to_numpy() for n in names], axis=1)
-            groups: dict[tuple, list] = {}
-            for i, group in enumerate(zip(*[batch[c].to_pylist() for c in by], strict=True) if by else [()] * batch.num_rows):
-                groups.setdefault(group, []).append(i)
-            for group, at in groups.items():
-                total = sums.setdefault(group, np.zeros((replicates, len(names))))
-                for i in range(0, len(at), 2048):
-                    some = np.array(at[i : i + 2048])
-                    weights = np.searchsorted(POISSON, draws(keys[some], numbers), side="right")
-                    total += weights.T.astype(float) @ x[some]
+            x = np.stack([batch[f"_t_{n}"].to_numpy() for n in names], axis=1)
+            groups: dict[tuple, int] = {}
+            code = np.array([groups.setdefault(g, len(groups)) for g in zip(*[batch[c].to_pylist() for c in by], strict=True)] if by else [groups.setdefault((), 0)] * batch.num_rows, int)
+            totals = [sums.setdefault(g, np.zeros((replicates, len(names)))) for g in groups]
+            # groups that share a key share its weights; where groups are many, each has its own
+            parts = [(range(len(groups)), np.arange(len(code)))] if len(groups) <= 8 else [([g], np.flatnonzero(code == g)) for g in range(len(groups))]
+            for some, at in parts:
+                keys, back = np.unique(batch["_key"].to_numpy()[at], return_inverse=True)
+                wide = np.zeros((len(keys), len(some), len(names)))
+                np.add.at(wide, (back, code[at] - some[0]), x[at])
+                wide = wide.reshape(len(keys), -1)
+                # sums of small whole numbers over a block are exact in single precision
+                small = len(wide) and np.abs(wide).max() <= 1000 and (wide == np.rint(wide)).all()
+                wide = wide.astype(np.float32 if small else np.float64)
+                for i in range(0, len(keys), BLOCK):
+                    got = (weights(keys[i : i + BLOCK], numbers).astype(wide.dtype).T @ wide[i : i + BLOCK]).reshape(replicates, len(some), -1)
+                    for j, g in enumerate(some):
+                        totals[g] += got[:, j]
         if sums:
             yield pa.RecordBatch.from_arrays([
                 *[pa.array([g[i] for g in sums], batch.schema.field(c).type) for i, c in enumerate(by)], pa.array([s.tolist() for s in sums.values()], pa.list_(pa.list_(pa.float64()))),

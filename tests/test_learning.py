@@ -540,3 +540,39 @@ def test_shared_folder_is_cleared(spark):
         assert store.get_file_info(plain).type.name == "NotFound"
     finally:
         shared.MADE.update(kept)
+
+
+def test_whole_number_weights_are_those_of_the_draws():
+    """Bounds of a Poisson draw met in whole numbers; a row's weight is the same in all groups, and term sums are exact."""
+    rng = np.random.default_rng(1)
+    keys, reps = rng.integers(0, 2**32, 3000), np.arange(200)
+    want = np.searchsorted(bootstrap.POISSON, bootstrap.draws(keys, reps), side="right")
+    assert (bootstrap.weights(keys, reps) == want).all() and want.max() >= 7
+    edges = np.concatenate([bootstrap.BOUNDS.astype(np.int64) - 1, bootstrap.BOUNDS.astype(np.int64)])
+    assert (np.searchsorted(bootstrap.BOUNDS, edges, side="right") == np.searchsorted(bootstrap.POISSON, edges / 2**32, side="right")).all()
+
+
+def test_cells_are_counted_once(spark):
+    """Metrics that read the cells several times don't read the rows again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.createDataFrame([("m", i % 3, i % 2) for i in range(60)], "model string, y_true int, y_pred int").mapInPandas(run, "model string, y_true int, y_pred int")
+    assert metrics.report(metrics.cells(rows), 3).first()["report"]["n"] == 60 and seen.value == 60
+
+
+def test_scores_travel_in_chunks(spark, monkeypatch):
+    """Scores reach the shuffle as a row a label, range and some thousand rows; many ranges, ties and all, give the AUC of all pairs."""
+    rng = np.random.default_rng(2)
+    p = np.round(rng.uniform(size=(900, 2)), 2)
+    rows = [("m", int(rng.integers(0, 2)), [float(a), float(1 - a)]) for a in p[:, 0]]
+    df = spark.createDataFrame(rows, "model string, y_true int, y_prob array<double>")
+    assert metrics.packed_scores(df.coalesce(1), ("model",), [0.3, 0.6]).count() == 2 * 3
+    monkeypatch.setattr(metrics, "RANGE", 100)
+    a, b = [x[2][1] for x in rows if x[1]], [x[2][1] for x in rows if not x[1]]
+    want = np.mean([(x > y) + 0.5 * (x == y) for x in a for y in b])
+    assert metrics.roc_auc(df, 2).first().auc == pytest.approx(want, abs=1e-12)

@@ -1,5 +1,7 @@
 """Learning operators against plain versions at small size, and against what must hold of fits."""
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -451,6 +453,59 @@ def test_smote_obeys_its_rules(spark):
         assert any(np.linalg.norm(f - a - np.dot(f - a, x[j] - a) / np.dot(x[j] - a, x[j] - a) * (x[j] - a)) < 1e-9 and 0 <= np.dot(f - a, x[j] - a) <= np.dot(x[j] - a, x[j] - a) for j in same)
 
 
+def test_smote_partners_come_from_the_whole_class(spark):
+    """A spawning row with one of its own class among its m nearest has k partners all the same; rows' own columns are no obstacle."""
+    rng = np.random.default_rng(21)
+    x = np.concatenate([rng.normal(0, 1, (70, 3)) + 2, rng.normal(0, 1, (12, 3)) + 1.2, rng.normal(0, 1, (3, 3)) + 2])
+    y = [0] * 70 + [1] * 12 + [2] * 3
+    rows = [(i, r.tolist(), c, "own", 7) for i, (r, c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (85, None, 1, "own", 7)], "item_id long, features array<double>, class int, grp string, of int")
+    got = {(r.item_id, r.i): r.features for r in neighbours.borderline_smote(df).collect() if r.synthetic}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)
+    draw = lambda what, *at: int(hashlib.md5("|".join(["42", what, *map(str, at)]).encode()).hexdigest()[:8], 16) / 2**32
+    order = [sorted((j for j in range(85) if j != i), key=lambda j: (-sims[i, j], j)) for i in range(85)]
+    want, beyond = {}, 0
+    for klass, need in ((1, 57), (2, 67)):
+        danger = [i for i in range(85) if y[i] == klass and 5 <= sum(y[j] != klass for j in order[i][:10]) < 10]
+        danger.sort(key=lambda i: hashlib.md5(f"42|{i}".encode()).hexdigest())
+        for n in range(1, need + 1) if danger else ():
+            a = danger[n % len(danger)]
+            same = [j for j in order[a] if y[j] == klass][:5]
+            j = same[int(draw("partner", a, n) * len(same))]
+            beyond += j not in order[a][:10]
+            want[a, n] = x[a] + draw("gap", a, n) * (x[j] - x[a])
+    assert beyond > 0 and got.keys() == want.keys()
+    assert all(got[at] == pytest.approx(f.tolist()) for at, f in want.items())
+
+
+def test_neighbours_in_groups_equal_brute_force(spark, clustered, monkeypatch):
+    """Groups of one row, of some, and of many rings; every third row asks."""
+    group = [0 if i < 900 else 1 if i < 1500 else 2 if i < 1530 else i for i in range(len(clustered))]
+    rows = [(i, g, group.count(g), i % 3 == 0 or g > 0, f) for g, (i, f) in zip(group, clustered, strict=True)]
+    df = spark.createDataFrame(rows, "id long, grp long, of long, asks boolean, features array<double>").repartition(3)
+    pairs, passing = [], vector_index.passing
+
+    def counted(rings, visitors, *args):
+        out = passing(rings, visitors, *args)
+        pairs.append((out.count(), rings.join(visitors, F.col("grp") == F.col("v_grp")).count()))
+        return out
+
+    monkeypatch.setattr(vector_index, "passing", counted)
+    asks = {r[0] for r in rows if r[3]}
+    for k, sizes in ((1, {"ring": 40, "pivots": 64}), (4, {"ring": 40, "pivots": 64}), (40, {"ring": 40, "pivots": 8}), (3, {"ring": 5000})):
+        got: dict = {}
+        for r in neighbours.top_in_groups(df, k, **sizes).orderBy("rank").collect():
+            got.setdefault(r.b_id, []).append(r.a_id)
+        want = {}
+        for g in (0, 1, 2):
+            want |= plain_neighbours([r for r, of in zip(clustered, group, strict=True) if of == g], k)
+        assert got == {i: [j for j in near if j != i] for i, near in want.items() if i in asks}
+    assert pairs[0][0] < 0.4 * pairs[0][1] and pairs[-1] == (0, 0)
+    assert neighbours.top_in_groups(df.limit(0), 3).count() == 0
+
+
+
 def test_leak_members_are_both_sides(spark):
     rows = [(1, "a", "train", "h"), (2, "a", "test", "h"), (3, "b", "test", "h"), (4, "a", "val", "g"), (5, "a", "val", "g"), (6, "b", "train", None), (7, "b", "test", None)]
     df = spark.createDataFrame(rows, "item_id long, class string, split string, hash string")
